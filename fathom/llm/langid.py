@@ -212,6 +212,26 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rate double")
 
 
+def filter_known(docs: DataFrame, model: Model, most_rate: float, text_col: str = "text") -> DataFrame:
+    """docs, all columns and repeated rows included, without texts that are undetermined or have more than most_rate phrases per 100 symbols.
+
+    Rows are judged where they are: no join, no shuffle. A model without languages keeps every text that has a letter.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            if held.value.langs:
+                keep = [f[0] != UNDETERMINED and f[2] <= most_rate for f in held.value.predict(texts)]
+            else:
+                keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~in_fold(F.col("doc_id"))))
