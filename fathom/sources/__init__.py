@@ -1 +1 @@
-
+"""Readers, views, synonym collections, sinks and cursors."""

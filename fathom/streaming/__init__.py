@@ -1 +1 @@
-
+"""Change streams into indexed tables."""
