@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators.scoring import apply_score
 from fathom.operators.text import Field, fields, matching_terms, term_options
-from fathom.plans.compiler import Compiler, Row, Scope
+from fathom.plans.compiler import Compiler, Row, Scope, let
 from fathom.plans.errors import need, only
 
 SPANS = "array<struct<s:int,e:int,n:int>>"
@@ -58,15 +58,15 @@ def spans_of(c: Compiler, scope: Scope, body: dict) -> Spans:
         same([big, little])
         holds = lambda b, s: (b["s"] <= s["s"]) & (s["e"] <= b["e"])
         if x["spanToReturn"] == "outer":
-            found = F.filter(big.spans, lambda b: F.exists(little.spans, lambda s: holds(b, s)))
+            found = let(little.spans, lambda inner: F.filter(big.spans, lambda b: F.exists(inner, lambda s: holds(b, s))))
         else:
-            found = F.filter(little.spans, lambda s: F.exists(big.spans, lambda b: holds(b, s)))
+            found = let(big.spans, lambda outer: F.filter(little.spans, lambda s: F.exists(outer, lambda b: holds(b, s))))
         return Spans(big.field, found, big.terms + little.terms)
     if kind == "subtract":
         only(x, "include! exclude! score", "subtract")
         inc, exc = spans_of(c, scope, x["include"]), spans_of(c, scope, x["exclude"])
         same([inc, exc])
-        found = F.filter(inc.spans, lambda p: ~F.exists(exc.spans, lambda q: (q["s"] < p["e"]) & (p["s"] < q["e"])))
+        found = let(exc.spans, lambda out: F.filter(inc.spans, lambda p: ~F.exists(out, lambda q: (q["s"] < p["e"]) & (p["s"] < q["e"]))))
         return Spans(inc.field, found, inc.terms)
     need(False, f"unknown span operator {kind}")
     raise AssertionError
@@ -86,8 +86,9 @@ def in_order(parts: list[Spans], slop: int) -> Column:
 
 
 def _joined(left: Column, right: Column, slop: int) -> Column:
-    pair = lambda a: F.transform(F.filter(right, lambda b: (b["s"] >= a["e"]) & (b["e"] - a["s"] - a["n"] - b["n"] <= slop)), lambda b: F.struct(a["s"].alias("s"), b["e"].alias("e"), (a["n"] + b["n"]).alias("n")))
-    return F.array_distinct(F.flatten(F.transform(left, pair)))
+    pair = lambda a, right: F.transform(F.filter(right, lambda b: (b["s"] >= a["e"]) & (b["e"] - a["s"] - a["n"] - b["n"] <= slop)), lambda b: F.struct(a["s"].alias("s"), b["e"].alias("e"), (a["n"] + b["n"]).alias("n")))
+    both = F.struct(left.alias("left"), right.alias("right"))
+    return let(both, lambda s: F.array_distinct(F.flatten(F.transform(s["left"], lambda a: pair(a, s["right"])))))
 
 
 def of_term(c: Compiler, scope: Scope, body: dict) -> Spans:

@@ -14,7 +14,7 @@ from fathom.functions import scores
 from fathom.functions.analysis import Analyzer, icu_fold
 from fathom.functions.distance import glob, whole_regex
 from fathom.operators.scoring import apply_score
-from fathom.plans.compiler import nothing, Compiler, Row, Scope, limit_error, sum_of
+from fathom.plans.compiler import Compiler, Row, Scope, let, limit_error, nothing, sum_of
 from fathom.plans.errors import QueryError, need, only
 
 #: What a synonym's scores other than the best add to a group; the factor of an exact match.
@@ -74,10 +74,7 @@ class Field:
                 starts = F.array_intersect(starts, other)
             freq = F.size(starts)
         else:
-            anchors = F.array_distinct(F.flatten(F.array(*shifted)))
-            widths = F.transform(anchors, lambda v: reduce(lambda a, b: F.greatest(a, b), [F.coalesce(F.array_min(F.filter(s, lambda p: p >= v)), F.lit(1 << 30)) for s in shifted], F.lit(0)) - v)
-            near = F.filter(widths, lambda w: w <= slop)
-            freq = F.aggregate(near, F.lit(0.0), lambda acc, w: acc + F.lit(1.0) / (F.lit(1.0) + w))
+            freq = let(F.array(*shifted), lambda own: _sloppy(own, slop))
         terms = [t for ts, _ in parts for t in ts]
         score = self.weighed(terms, freq)
         return Row(freq > 0, score, [(f'{self.path}:"{" ".join(terms)}"', score)])
@@ -86,6 +83,13 @@ class Field:
         return F.transform(F.filter(self.tokens, lambda t: t["term"].isin(terms)), lambda t: t["pos"] - by)
 
 
+def _sloppy(places: Column, slop: int) -> Column:
+    """Sum of 1 / (1 + width) over the first places of matches: width is how far the nearest following places of all parts reach."""
+    first = F.array_distinct(F.flatten(places))
+    width = lambda v: F.array_max(F.transform(places, lambda own: F.coalesce(F.array_min(F.filter(own, lambda p: p >= v)), F.lit(1 << 30)))) - v
+    return F.aggregate(F.filter(F.transform(first, width), lambda w: w <= slop), F.lit(0.0), lambda acc, w: acc + F.lit(1.0) / (F.lit(1.0) + w))
+
+
 def fields(c: Compiler, scope: Scope, path, positions: bool = False) -> list[tuple[Field, Analyzer]]:
     out = []
     for p, multi in c.paths(path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -85,13 +86,14 @@ def vector_search(c: Compiler, body: dict, embedder: Callable | None = None) ->
     path = body["path"]
     d = spec(c, path)
     q = query_vector(c, body, d, embedder)
-    df, ident = c.index.docs, c.index.id_col
+    ident = c.index.id_col
     nested = nested_root(c, path)
     mode = body.get("nestedOptions", {}).get("scoreMode", "max")
     need(mode in ("max", "avg"), "scoreMode is max or avg")
     if body.get("parentFilter") is not None:
         need(nested, "parentFilter is for nested vectors")
-        df = df.where(filter_column(c, Scope(), body["parentFilter"]))
+    conditions = [filter_column(c, Scope(), body[k]) for k in ("parentFilter", *(() if nested else ("filter",))) if body.get(k) is not None]
+    df = reduce(lambda d, x: d.where(x), conditions, c.docs())
     if nested:
         field = path[len(nested) + 1 :]
         df = df.withColumn("__vs_e", F.explode(elements(c, Scope(), nested)))
@@ -105,8 +107,6 @@ def vector_search(c: Compiler, body: dict, embedder: Callable | None = None) ->
         best = scored.groupBy(ident).agg((F.max("__s") if mode == "max" else F.avg("__s")).alias("__score"))
         hits = top(best, "__score", ident, body["limit"])
         return c.index.docs.join(F.broadcast(hits), ident) if body["limit"] <= 10_000 else c.index.docs.join(hits, ident)
-    if body.get("filter") is not None:
-        df = df.where(filter_column(c, Scope(), body["filter"]))
     v = F.col(path)
     if d["quantization"] == "binary" and not body.get("exact") and not isinstance(q, bytes):
         stored = f"__sgn_{path}"

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from fathom.functions import analysis
 from fathom.plans.definition import type_at
 from fathom.plans.errors import QueryError, need, only
-from fathom.plans.index import SearchIndex, tokens_of
+from fathom.plans.index import SearchIndex, token_column, tokens_of
 
 if TYPE_CHECKING:
     from collections.abc import Iterable
@@ -46,7 +46,6 @@ def everything() -> Row:
     return Row(F.lit(True), F.lit(1.0))
 
 
-
 @dataclass(frozen=True)
 class Scope:
     """root: path of the embedded documents, "" for documents. element: the struct that stands for one; number: its place in the array; outer: the scope around it."""
@@ -67,6 +66,7 @@ class Compiler:
         self.wanted: set[tuple[str, str, str]] = set()
         self.columns: dict[tuple[str, str], Column] = {}
         self.bases: dict[tuple[str, str], str] = {}
+        self.used: dict[str, Column] = {}
         self.dry = False
         self._expanded: dict = {}
 
@@ -89,10 +89,20 @@ class Compiler:
         need(len(op) == 1 and names, f"need exactly one operator, not {sorted(op)}")
         return OPERATORS[names[0]](self, scope, op[names[0]])
 
-    def base(self, root: str) -> DataFrame | None:
-        """One row per embedded document of a root, as __e; None for documents."""
+    def docs(self) -> DataFrame:
+        """The index's rows with the token arrays that what was compiled so far needs and the index doesn't store.
+
+        They come from a generator: each row is analysed once, and filters are pushed below it, but not copied into
+        it as into a projection.
+        """
+        if not self.used:
+            return self.index.docs
+        return self.index.docs.select("*", F.inline(F.array(F.struct(*[x.alias(c) for c, x in self.used.items()]))))
+
+    def base(self, root: str) -> DataFrame:
+        """The rows that statistics count: documents, or one row per embedded document of a root, as __e."""
         if not root:
-            return None
+            return self.docs()
         df, at, kind = self.index.docs, "", self.index.schema
         for part in root.split("."):
             at = f"{at}.{part}" if at else part
@@ -172,7 +182,10 @@ class Compiler:
             self.columns[key] = tokens_of(row, self.several(path, scope), analyzer)
             need(analyzer.native or not _in_lambda(scope), f"analyzer {analyzer.name} has steps in Python: text of embedded documents needs one without")
             return tokens_of(self.value(path, scope), self.several(path, scope), analyzer)
-        self.columns[key] = self.index.tokens(path, analyzer)
+        stored = token_column(path, analyzer.name)
+        if stored not in self.index.ready:
+            self.used[stored] = tokens_of(self.index.value(path), self.index.is_array(path), analyzer)
+        self.columns[key] = F.col(stored)
         return self.columns[key]
 
     def terms_of(self, analyzer: analysis.Analyzer, text: str) -> list[tuple[str, int]]:
@@ -206,6 +219,11 @@ def _in_lambda(scope: Scope) -> bool:
     return scope.number is not None
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, however often body names it: lambdas in body would compute it anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sum_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns) if columns else F.lit(0.0)
 

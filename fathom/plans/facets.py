@@ -127,7 +127,8 @@ def facet_counts(c: Compiler, operator: dict | None, facets: dict) -> DataFrame:
     out = []
     for name, f in facets.items():
         op = without(operator, name) if sideways else operator
-        df = c.index.docs.where(c.compile(op).match) if op else c.index.docs
+        match = c.compile(op).match if op else None
+        df = c.index.docs if match is None else c.docs().where(match)
         if f["type"] == "string":
             counted = string_facet(c, df, f).withColumn("at", F.row_number().over(_rank()) - 1)
         else:

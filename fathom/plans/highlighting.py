@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.analysis import STANDARD, Analyzer
 from fathom.functions.distance import glob
-from fathom.plans.compiler import Compiler
+from fathom.plans.compiler import Compiler, Scope
 from fathom.plans.errors import need, only
 
 KIND = "array<struct<path:string,texts:array<struct<value:string,type:string>>,score:double>>"
@@ -87,10 +87,10 @@ def wanted_terms(c: Compiler, op: dict, path: str, analyzer: Analyzer) -> tuple[
                 elif "fuzzy" in body:
                     key = (path, analyzer.name)
                     option = body["fuzzy"] if isinstance(body["fuzzy"], dict) else {}
-                    tokens = c.index.tokens(path, analyzer)
+                    tokens = c.tokens(path, analyzer, Scope())
                     for t, _ in c.terms_of(analyzer, q):
                         args = (t, option.get("maxEdits", 2), option.get("prefixLength", 0), option.get("maxExpansions", 50))
-                        terms.update(x for x, _ in c.expanded(("fuzzy", *key, *args), lambda a=args, s=tokens: c.index.fuzzy_terms(s, *a)))
+                        terms.update(x for x, _ in c.expanded(("fuzzy", *key, *args), lambda a=args, s=tokens: c.index.fuzzy_terms(s, *a, base=c.docs())))
                 else:
                     terms.update(t for t, _ in c.terms_of(analyzer, q))
 

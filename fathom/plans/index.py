@@ -9,6 +9,7 @@ A written index keeps the arrays in Parquet and prunes columns that a query does
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ class SearchIndex:
         self.schema: T.StructType = docs.schema
         self.spark: SparkSession = docs.sparkSession
         self.synonym_rows = synonyms or {}
+        self.path: str | None = None
         self._stats: dict = {}
         self._synonyms: dict[str, list] = {}
         self.ready = {c for c in docs.columns if c.startswith("__tok_")}
@@ -72,13 +74,6 @@ class SearchIndex:
             kind = kind[part].dataType if isinstance(kind, T.StructType) and part in kind.names else T.NullType()
         return isinstance(kind, T.ArrayType)
 
-    def tokens(self, path: str, analyzer: analysis.Analyzer) -> Column:
-        """The field's tokens: the stored array, if the index was written with it, else its analysis. Values of an array stand 100,000 positions apart."""
-        stored = token_column(path, analyzer.name)
-        if stored in self.ready:
-            return F.col(stored)
-        return tokens_of(self.value(path), self.is_array(path), analyzer)
-
     def analysed(self) -> dict[str, Column]:
         """The array columns of all string and autocomplete fields of a fixed path outside of embedded documents."""
         roots = self.definition.embedded_roots()
@@ -96,51 +91,67 @@ class SearchIndex:
     def materialized(self) -> SearchIndex:
         """The same index with its analysed arrays as columns (lazily, in the plan)."""
         new = {c: x for c, x in self.analysed().items() if c not in self.ready}
-        made = SearchIndex(self.docs.withColumns(new) if new else self.docs, self.definition, self.id_col, self.field_names_col, self.synonym_rows)
+        made = SearchIndex(self.docs.withColumns(new) if new else self.docs, self._plain(), self.id_col, self.field_names_col, self.synonym_rows)
         made.schema = T.StructType([f for f in made.schema if not f.name.startswith("__tok_")])
         return made
 
+    def _plain(self) -> IndexDefinition:
+        """The definition without its view, which self.docs has been through."""
+        return replace(self.definition, view=[])
+
     def write(self, path: str, mode: str = "overwrite") -> SearchIndex:
-        """Writes documents and analysed arrays, hash-partitioned by id and, with an index sort, sorted within files."""
-        df = self.materialized().docs
-        if self.definition.partitions > 1:
-            df = df.repartition(self.definition.partitions, self.id_col)
+        """Writes documents and analysed arrays, hash-partitioned by id if there are several partitions, with an index sort sorted within files.
+
+        A table of fewer input splits than the session has cores is dealt out before its texts are analysed.
+        """
+        docs, cores = self.docs, self.spark.sparkContext.defaultParallelism
+        n = self.definition.partitions if self.definition.partitions > 1 else cores if docs.rdd.getNumPartitions() < cores else 0
+        if n:
+            docs = docs.repartition(n, self.id_col)
+        df = SearchIndex(docs, self._plain(), self.id_col, self.field_names_col, self.synonym_rows).materialized().docs
         if self.definition.sort:
             df = df.sortWithinPartitions(*[F.col(p).asc_nulls_first() if (o if isinstance(o, int) else o.get("order", 1)) == 1 else F.col(p).desc_nulls_last() for p, o in self.definition.sort.items()])
         df.write.mode(mode).parquet(path)
-        return SearchIndex.open(self.spark, path, self.definition, self.id_col, self.field_names_col, self.synonym_rows)
+        return SearchIndex.open(self.spark, path, self._plain(), self.id_col, self.field_names_col, self.synonym_rows)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, definition: IndexDefinition | dict, id_col: str = "_id", field_names_col: str | None = None, synonyms: dict[str, DataFrame] | None = None) -> SearchIndex:
         made = cls(spark.read.parquet(path), definition, id_col, field_names_col, synonyms)
+        made.path = path
         made.schema = T.StructType([f for f in made.schema if not f.name.startswith("__tok_")])
         return made
 
     # Statistics
 
-    def load_stats(self, wanted: set[tuple[str, str, str]], columns: dict[tuple[str, str], Column], base: DataFrame | None = None) -> None:
-        """Counts for the (path, analyzer, term) wanted: one scan, one row back. Term "" asks for the field's counts only."""
+    def load_stats(self, wanted: set[tuple[str, str, str]], columns: dict[tuple[str, str], Column], base: DataFrame) -> None:
+        """Counts for the (path, analyzer, term) wanted: one scan, a row back for each. Term "" asks for the field's counts only.
+
+        Of each row come the wanted terms that it has (found by one pass over its tokens, however many are wanted) and
+        its length; each task sums them before anything is shuffled.
+        """
         missing = {w for w in wanted if w not in self._stats}
         if not missing:
             return
         by_field: dict[tuple[str, str], list[str]] = defaultdict(list)
         for path, analyzer, term in sorted(missing):
             by_field[path, analyzer].append(term)
-        aggs, at = [], {}
-        df = base if base is not None else self.docs
-        df = df.select(*[columns[k].alias(f"f{n}") for n, k in enumerate(by_field)])
+        counts = []
+        for n, (key, terms) in enumerate(by_field.items()):
+            own, named = columns[key], [t for t in terms if t]
+            found = F.array(_counted(n, F.lit(""), F.size(own)))
+            if named:
+                there = F.array_intersect(F.transform(own, lambda t: t["term"]), F.array(*map(F.lit, named)))
+                found = F.concat(found, _each_counted(n, there))
+            counts.append(F.when(F.size(own) > 0, found))
+        none = F.expr("array()").cast("array<struct<f:int,term:string,length:bigint>>")
+        every = F.concat(*[F.coalesce(c, none) for c in counts])
+        rows = base.select(F.inline(every)).groupBy("f", "term").agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()
+        held = {(r["f"], r["term"]): (r["n"], r["length"]) for r in rows}
         for n, (key, terms) in enumerate(by_field.items()):
-            own = F.col(f"f{n}")
-            aggs += [F.count_if(F.size(own) > 0).alias(f"n{n}"), F.coalesce(F.sum(F.when(F.size(own) > 0, F.size(own))), F.lit(0)).alias(f"l{n}")]
-            for m, term in enumerate(terms):
+            self._stats[key[0], key[1], ""] = held.get((n, ""), (0, 0))
+            for term in terms:
                 if term:
-                    aggs.append(F.count_if(_holds(own, term)).alias(f"d{n}_{m}"))
-                at[key, term] = (n, m)
-        row = df.agg(*aggs).first()
-        for (key, term), (n, m) in at.items():
-            self._stats[key[0], key[1], ""] = (row[f"n{n}"], row[f"l{n}"])
-            if term:
-                self._stats[key[0], key[1], term] = row[f"d{n}_{m}"]
+                    self._stats[key[0], key[1], term] = held.get((n, term), (0, 0))[0]
 
     def field_stats(self, path: str, analyzer: str) -> tuple[int, float]:
         """Documents that have the field, and the mean number of its terms."""
@@ -150,13 +161,12 @@ class SearchIndex:
     def df(self, path: str, analyzer: str, term: str) -> int:
         return self._stats[path, analyzer, term]
 
-    def vocabulary(self, tokens: Column, condition, base: DataFrame | None = None) -> DataFrame:
+    def vocabulary(self, tokens: Column, condition, base: DataFrame) -> DataFrame:
         """(term, df) of the distinct terms that fulfil condition(Column): pruned within the rows, counted with a partial aggregation."""
-        df = base if base is not None else self.docs
         distinct = F.array_distinct(F.transform(F.filter(tokens, lambda t: condition(t["term"])), lambda t: t["term"]))
-        return df.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return base.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-    def fuzzy_terms(self, tokens: Column, term: str, edits: int, prefix: int, most: int | None, base: DataFrame | None = None) -> list[tuple[str, int]]:
+    def fuzzy_terms(self, tokens: Column, term: str, edits: int, prefix: int, most: int | None, base: DataFrame) -> list[tuple[str, int]]:
         """Terms of the vocabulary within `edits` of a term, with their distance: nearest first, then in order, at most `most` (a limit of the query).
 
         A swap of neighbours counts once, which plain edit distance counts twice: twice the edits is the filter in
@@ -169,7 +179,7 @@ class SearchIndex:
         found = self.vocabulary(tokens, condition, base).withColumn("d", exact("term")).where(F.col("d") <= edits).orderBy("d", "term")
         return [(r["term"], r["d"]) for r in (found.limit(most) if most is not None else found).collect()]
 
-    def expand_terms(self, tokens: Column, condition, most: int | None, base: DataFrame | None = None) -> list[str]:
+    def expand_terms(self, tokens: Column, condition, most: int | None, base: DataFrame) -> list[str]:
         """Terms that fulfil a condition, in order, at most `most`."""
         found = self.vocabulary(tokens, condition, base).select("term").orderBy("term")
         return [r["term"] for r in (found.limit(most) if most is not None else found).collect()]
@@ -190,8 +200,12 @@ class SearchIndex:
         return self._synonyms[name]
 
 
-def _holds(tokens: Column, term: str) -> Column:
-    return F.exists(tokens, lambda t: t["term"] == term)
+def _counted(field: int, term: Column, length: Column) -> Column:
+    return F.struct(F.lit(field).alias("f"), term.alias("term"), length.cast("long").alias("length"))
+
+
+def _each_counted(field: int, terms: Column) -> Column:
+    return F.transform(terms, lambda t: _counted(field, t, F.lit(0)))
 
 
 def tokens_of(value: Column, several: bool, analyzer: analysis.Analyzer) -> Column:

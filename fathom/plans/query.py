@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,16 +90,16 @@ def _without(col, path: str, dropped: set[str]):
     return (col.dropFields(*inner) if inner else col).alias(path)
 
 
-def scoped(index: SearchIndex, path: str) -> tuple[DataFrame, Scope]:
-    """Embedded documents as rows: the document's columns, __e (the element), __pos; scopes of what is around it."""
-    c = Compiler(index)
+def scoped(c: Compiler, path: str) -> tuple[Callable[[DataFrame], DataFrame], Scope, int]:
+    """Embedded documents as rows: what adds __e (the element) and __pos to documents for each level, the innermost scope, and the number of levels."""
+    index = c.index
     need(index.kind(path, "embeddedDocuments"), f"returnScope path {path} must be indexed as embeddedDocuments")
     roots = [r for r in index.definition.embedded_roots() if path == r or path.startswith(r + ".")]
-    df, scope = index.docs, Scope()
+    scope, steps = Scope(), []
     for k, root in enumerate(roots):
-        df = df.select("*", F.posexplode(elements(c, scope, root)).alias(f"__pos{k}", f"__e{k}"))
+        steps.append(F.posexplode(elements(c, scope, root)).alias(f"__pos{k}", f"__e{k}"))
         scope = Scope(root, F.col(f"__e{k}"), None, scope)
-    return df, scope
+    return (lambda df: reduce(lambda d, s: d.select("*", s), steps, df)), scope, len(steps)
 
 
 def search(index: SearchIndex, query: dict) -> DataFrame:
@@ -113,17 +114,18 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
     if "returnScope" in query:
         need(index.definition.stored_source, "the index stores no source")
         path = query["returnScope"]["path"]
-        df, scope = scoped(index, path)
+        unfold, scope, levels = scoped(c, path)
         row = c.compile(op, scope)
+        df = unfold(c.docs())
         e = scope.element
         kind = type_at(index.schema, path)
-        places = [F.col(f"__pos{k}") for k in range(len([x for x in df.columns if x.startswith("__pos")]))]
+        places = [F.col(f"__pos{k}") for k in range(levels)]
         out = df.where(row.match).select(F.col(ident).alias("__root_id"), *[e[f].alias(f) for f in kind.elementType.names], row.score.cast("double").alias("__score"), F.array(*places).alias("__place"))
         return out.orderBy(F.col("__score").desc(), "__root_id", "__place").limit(query.get("limit", 10)).drop("__place")
     if query.get("returnStoredSource"):
         need(index.definition.stored_source, "the index stores no source")
     row = c.compile(op)
-    df = index.docs.where(row.match).withColumn("__score", row.score.cast("double"))
+    df = c.docs().where(row.match).withColumn("__score", row.score.cast("double"))
     if query.get("scoreDetails"):
         details = [F.struct(F.lit(n).alias("description"), v.cast("double").alias("value")) for n, v in row.details]
         df = df.withColumn("__details", F.struct(F.col("__score").alias("value"), F.lit(next(iter(op))).alias("description"), F.filter(F.array(*details), lambda d: d["value"] > 0).alias("details") if details else F.expr("array()").cast("array<struct<description:string,value:double>>").alias("details")))
@@ -151,7 +153,9 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
 def count(index: SearchIndex, query: dict) -> DataFrame:
     """One row: `total`, or `lowerBound`, which is exact up to the threshold and counts no further."""
     op = operator_of(query)
-    df = index.docs.where(Compiler(index).compile(op).match)
+    c = Compiler(index)
+    row = c.compile(op)
+    df = c.docs().where(row.match)
     spec = query.get("count", {})
     if spec.get("type", "lowerBound") == "total":
         return df.agg(F.count("*").alias("total"))
@@ -181,5 +185,5 @@ def explain(index: SearchIndex, query: dict, verbosity: str = "queryPlanner") ->
     plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     out = {"operator": op, "plan": plan, "fields": [p for p in leaf_paths(index.schema) if p in plan]}
     if verbosity != "queryPlanner":
-        out["matches"] = index.docs.where(Compiler(index).compile(op).match).count()
+        out["matches"] = count(index, query | {"count": {"type": "total"}}).first()["total"]
     return out

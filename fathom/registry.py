@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fathom.plans import query as q
 from fathom.plans.definition import IndexDefinition
 from fathom.plans.index import SearchIndex
+from fathom.sources.storage import opened
 from fathom.streaming.cdc import last_events
 
 DOCUMENTS = {"mappings": {"dynamic": False, "fields": {
@@ -37,11 +38,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, definition: dict = DOCUMENTS) -> SearchIndex:
     rows = spark.createDataFrame([("equivalent", ["that", "this"], None), ("explicit", ["with", "and"], ["with"])], "mappingType string, synonyms array<string>, input array<string>")
-    return SearchIndex(read(spark, sf_dir, "documents"), definition, "doc_id", synonyms={"words": rows})
+    index = opened(spark, "documents", [f"{sf_dir}/documents.parquet"], lambda: SearchIndex(read(spark, sf_dir, "documents"), DOCUMENTS, "doc_id"))
+    return SearchIndex.open(spark, index.path, definition, "doc_id", synonyms={"words": rows})
 
 
 def parts(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    return SearchIndex(read(spark, sf_dir, "part"), PARTS, "p_partkey")
+    return opened(spark, "parts", [f"{sf_dir}/part.parquet"], lambda: SearchIndex(read(spark, sf_dir, "part"), PARTS, "p_partkey"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> SearchIndex:
@@ -49,8 +51,13 @@ def orders(spark: SparkSession, sf_dir: str) -> SearchIndex:
 
 
 def nested_orders(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_discount"))).alias("items"))
-    return SearchIndex(read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey"), ORDERS, "o_orderkey")
+    """Orders with their lines embedded: the join is done once, when the index is written."""
+
+    def made() -> SearchIndex:
+        items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_discount"))).alias("items"))
+        return SearchIndex(read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey"), ORDERS, "o_orderkey")
+
+    return opened(spark, "nested-orders", [f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"], made)
 
 
 def hits(index: SearchIndex, query: dict, *columns: str, limit: int | None = None, score: bool = True) -> DataFrame:
