@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import stemming
@@ -238,6 +238,12 @@ def _udf(f: Callable[[Tokens], Tokens]) -> Callable[[Column], Column]:
     return lambda tokens: wrapped(tokens)
 
 
+def generated(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row, where it stands."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*rest, F.inline(F.array(F.struct(value.alias(name)))))
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """Char filters, a tokenizer and token filters, in that order. Long terms (32,766 bytes) are left out."""
@@ -254,23 +260,60 @@ class Analyzer:
 
     def tokens(self, text: Column) -> Column:
         """array<struct<term, pos>>; null text has no tokens."""
-        text = F.coalesce(text.cast("string"), F.lit(""))
-        text = reduce(lambda c, d: _char_filter(d)(c), self.char_filters, text)
-        words = F.filter(_tokenizer(self.tokenizer)(text), lambda w: (w != "") & (F.octet_length(w) <= 32766))
-        tokens = F.transform(words, lambda w, k: F.struct(w.alias("term"), k.alias("pos")))
-        return reduce(lambda c, d: _token_filter(d)(c), self.token_filters, tokens)
+        return reduce(lambda c, step: step(c), self.steps(), text)
+
+    def steps(self) -> list[Callable[[Column], Column]]:
+        """The analysis, cut around each step in Python: the first part starts at the text."""
+
+        def first(text: Column) -> Column:
+            text = F.coalesce(text.cast("string"), F.lit(""))
+            text = reduce(lambda c, d: _char_filter(d)(c), self.char_filters, text)
+            words = F.filter(_tokenizer(self.tokenizer)(text), lambda w: (w != "") & (F.octet_length(w) <= 32766))
+            return F.transform(words, lambda w, k: F.struct(w.alias("term"), k.alias("pos")))
+
+        out = [first]
+        for d in self.token_filters:
+            out.append(_token_filter(d))
+        return out
+
+    def added(self, df: DataFrame, text: Column, name: str) -> DataFrame:
+        """df with the tokens of a text as a column.
+
+        They come from a generator: each row is analysed once, and filters are pushed below it, but not copied into it
+        as into a projection. Steps in Python get a column of their own, never an expression with lambdas in it:
+        Catalyst doesn't always recognise those again when it takes Python functions out of a plan.
+        """
+        python = {k for k, d in enumerate(self.token_filters, 1) if d["type"] in PYTHON_FILTERS}
+        made: Column = text
+        if any(d["type"] == "icuNormalize" for d in self.char_filters):
+            df = df.withColumn(name, F.coalesce(text.cast("string"), F.lit("")))
+            for d in self.char_filters:
+                df = df.withColumn(name, _char_filter(d)(F.col(name)))
+            return replace(self, char_filters=()).added(df, F.col(name), name)
+        for k, step in enumerate(self.steps()):
+            if k in python:
+                df = generated(df, name, made)
+                df = df.withColumn(name, step(F.col(name)))
+                made = F.col(name)
+            else:
+                made = step(made)
+        return df if max(python, default=0) == len(self.token_filters) and python else generated(df, name, made)
 
     def normalized(self, text: Column) -> Column:
         """The term-level form: char and token filters of the whole text, no tokenizer; the first term."""
         text = reduce(lambda c, d: _char_filter(d)(c), self.char_filters, text.cast("string"))
         tokens = F.array(F.struct(text.alias("term"), F.lit(0).alias("pos")))
-        return F.element_at(reduce(lambda c, d: _token_filter(d)(c), self.token_filters, tokens), 1)["term"]
+        return F.get(reduce(lambda c, d: _token_filter(d)(c), self.token_filters, tokens), F.lit(0))["term"]
+
+    def normal(self, spark: SparkSession, text: str) -> str:
+        """normalized() of a query string; empty if nothing is left."""
+        return spark.createDataFrame([(text,)], "t string").select(self.normalized(F.col("t")).alias("t")).first()["t"] or ""
 
     def analyze(self, spark: SparkSession, text: str) -> Tokens:
         """The same analysis of a query string."""
         if text not in self._cache:
-            row = spark.range(1).select(self.tokens(F.lit(text)).alias("t")).first()
-            self._cache[text] = [(t["term"], t["pos"]) for t in row["t"]]
+            rows = spark.range(1).select(self.tokens(F.lit(text)).alias("tokens")) if self.native else self.added(spark.createDataFrame([(text,)], "t string"), F.col("t"), "tokens")
+            self._cache[text] = [(t["term"], t["pos"]) for t in rows.first()["tokens"]]
         return self._cache[text]
 
 

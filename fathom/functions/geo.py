@@ -36,7 +36,7 @@ def point_columns(v: Column) -> tuple[Column, Column]:
 
 def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * RADIUS) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.lit(2 * RADIUS) * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def in_ring(lon: Column, lat: Column, ring: Ring) -> Column:

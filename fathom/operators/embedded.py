@@ -15,25 +15,19 @@ from fathom.plans.errors import need, only
 def elements(c: Compiler, scope: Scope, path: str) -> Column:
     """The array at a path; of a path through several arrays, one flat array."""
     inner = scope.inner(path)
-    at, value = scope.root, scope.element
+    at, value, several = scope.root, scope.element, False
     for part in inner.split("."):
         at = f"{at}.{part}" if at else part
         kind = type_at(c.index.schema, at)
         need(kind is not None, f"no field {path}")
-        nested = _is_array(value, c, at)
         value = F.col(part) if value is None else value[part]
-        if nested and isinstance(kind, T.ArrayType):
-            value = F.flatten(value)
+        if isinstance(kind, T.ArrayType):
+            value = F.flatten(value) if several else value
+            several = True
     need(isinstance(type_at(c.index.schema, path), T.ArrayType), f"{path} must be an array")
     return value
 
 
-def _is_array(value: Column | None, c: Compiler, at: str) -> bool:
-    """Whether what a part is taken from is an array already (of the documents around it)."""
-    parts = at.split(".")
-    return value is not None and any(isinstance(type_at(c.index.schema, ".".join(parts[:k])), T.ArrayType) for k in range(1, len(parts)))
-
-
 def embedded_document(c: Compiler, scope: Scope, body: dict) -> Row:
     """A document matches if one element fulfils the operator as a whole; the elements' scores are aggregated."""
     only(body, "path! operator! doesNotAffect score", "embeddedDocument")

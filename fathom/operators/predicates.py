@@ -224,7 +224,8 @@ def nearness(c: Compiler, scope: Scope, path: str, kind: str, origin, pivot: flo
     plain = (lambda x: x.cast("double")) if kind == "number" else (lambda x: F.unix_millis(x.cast("timestamp")).cast("double"))
     v = c.value(path, scope)
     far = F.array_min(F.transform(v, lambda x: F.abs(plain(x) - at))) if c.several(path, scope) else F.abs(plain(v) - at)
-    return Row(far.isNotNull(), F.lit(pivot) / (F.lit(pivot) + far))
+    score = F.lit(pivot) / (F.lit(pivot) + far)
+    return Row(far.isNotNull(), F.when(F.isnan(score), 0.0).otherwise(score))  # NaN is infinitely far
 
 
 def geo_within(c: Compiler, scope: Scope, body: dict) -> Row:

@@ -283,7 +283,7 @@ def term_options(body: dict) -> str | None:
 def normal_term(c: Compiler, analyzer: Analyzer, q: str) -> str:
     """The query as one term: the analyzer's filters, without its tokenizer."""
     key = ("normal", analyzer.name, q)
-    return c.expanded(key, lambda: [c.spark.range(1).select(analyzer.normalized(F.lit(q)).alias("t")).first()["t"]])[0] or ""
+    return c.expanded(key, lambda: [analyzer.normal(c.spark, q)])[0]
 
 
 def matching_terms(c: Compiler, f: Field, body: dict, q: str) -> tuple[str, object]:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from fathom.functions import analysis
 from fathom.plans.definition import type_at
 from fathom.plans.errors import QueryError, need, only
-from fathom.plans.index import SearchIndex, token_column, tokens_of
+from fathom.plans.index import SearchIndex, analysed, token_column, tokens_of
 
 if TYPE_CHECKING:
     from collections.abc import Iterable
@@ -66,7 +66,7 @@ class Compiler:
         self.wanted: set[tuple[str, str, str]] = set()
         self.columns: dict[tuple[str, str], Column] = {}
         self.bases: dict[tuple[str, str], str] = {}
-        self.used: dict[str, Column] = {}
+        self.used: dict[str, tuple[Column, bool, analysis.Analyzer]] = {}
         self.dry = False
         self._expanded: dict = {}
 
@@ -92,12 +92,9 @@ class Compiler:
     def docs(self) -> DataFrame:
         """The index's rows with the token arrays that what was compiled so far needs and the index doesn't store.
 
-        They come from a generator: each row is analysed once, and filters are pushed below it, but not copied into
-        it as into a projection.
+        Native steps of all of them share a generator, in which each row is analysed once.
         """
-        if not self.used:
-            return self.index.docs
-        return self.index.docs.select("*", F.inline(F.array(F.struct(*[x.alias(c) for c, x in self.used.items()]))))
+        return analysed(self.index.docs, self.used)
 
     def base(self, root: str) -> DataFrame:
         """The rows that statistics count: documents, or one row per embedded document of a root, as __e."""
@@ -157,11 +154,14 @@ class Compiler:
         return type_at(self.index.schema, path)
 
     def any(self, path: str, scope: Scope, condition: Callable[[Column], Column]) -> Column:
-        """Whether some value at the path fulfils the condition; both bounds of a range thus hold for one value. Null is false."""
+        """Whether some value at the path fulfils the condition; both bounds of a range thus hold for one value.
+
+        Null is false, said in a way that scans understand: a missing value fails a test of its own.
+        """
         if self.type_of(path) is None:
             return F.lit(False)
         v = self.value(path, scope)
-        return F.coalesce(F.exists(v, condition) if self.several(path, scope) else condition(v), F.lit(False))
+        return F.coalesce(F.exists(v, condition), F.lit(False)) if self.several(path, scope) else v.isNotNull() & condition(v)
 
     # Text
 
@@ -184,7 +184,7 @@ class Compiler:
             return tokens_of(self.value(path, scope), self.several(path, scope), analyzer)
         stored = token_column(path, analyzer.name)
         if stored not in self.index.ready:
-            self.used[stored] = tokens_of(self.index.value(path), self.index.is_array(path), analyzer)
+            self.used[stored] = (self.index.value(path), self.index.is_array(path), analyzer)
         self.columns[key] = F.col(stored)
         return self.columns[key]
 

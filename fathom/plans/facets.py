@@ -80,8 +80,8 @@ def string_facet(c: Compiler, df: DataFrame, f: dict) -> DataFrame:
     d = c.index.kind(path, "stringFacet", "token")
     need(d, f"{path} must be indexed as stringFacet or token")
     v = F.col(path)
-    label = F.explode(F.array_distinct(v)) if c.index.is_array(path) else v
-    rows = df.select(label.cast("string").alias("label")).where("label IS NOT NULL AND label <> ''")
+    label = F.explode(F.array_distinct(v.cast("array<string>"))) if c.index.is_array(path) else v.cast("string")
+    rows = df.select(label.alias("label")).where("label IS NOT NULL AND label <> ''")
     if d.get("normalizer") == "lowercase":
         rows = rows.select(F.lower("label").alias("label"))
     counted = rows.groupBy("label").agg(F.count("*").alias("count"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.analysis import STANDARD, Analyzer
+from fathom.functions.analysis import STANDARD, Analyzer, generated
 from fathom.functions.distance import glob
 from fathom.plans.compiler import Compiler, Scope
 from fathom.plans.errors import need, only
@@ -107,8 +107,8 @@ def wanted_terms(c: Compiler, op: dict, path: str, analyzer: Analyzer) -> tuple[
     return terms, patterns
 
 
-def highlight(c: Compiler, rows: DataFrame, op: dict, body: dict) -> Column:
-    """The column of highlights of result rows, by path."""
+def highlight(c: Compiler, rows: DataFrame, op: dict, body: dict) -> tuple[DataFrame, Column]:
+    """The result rows, with what the highlights need, and the column of highlights, by path."""
     only(body, "path! maxNumPassages maxCharsToExamine", "highlight")
     most, chars = body.get("maxNumPassages", 5), body.get("maxCharsToExamine", 500_000)
     need(most > 0 and chars > 0, "maxNumPassages and maxCharsToExamine must be positive")
@@ -125,15 +125,25 @@ def highlight(c: Compiler, rows: DataFrame, op: dict, body: dict) -> Column:
         value = F.col(path).cast("array<string>") if c.index.is_array(path) else F.array(F.col(path).cast("string"))
         # A word is hit by what the analyzer makes of it: words and their terms come with the row.
         words = F.array_distinct(F.flatten(F.transform(F.filter(value, F.isnotnull), lambda v: F.regexp_extract_all(v, F.lit(STANDARD), F.lit(0)))))
-        normal = F.transform(words, lambda w: F.struct(w.alias("w"), F.element_at(analyzer.tokens(w), 1)["term"].alias("t"))) if analyzer.native else stemmed(words, analyzer)
-        parts.append(_udf(path, wanted, patterns, most, chars)(value, normal))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
-def stemmed(words: Column, analyzer: Analyzer) -> Column:
-    """Words and terms where the analyzer has steps in Python: the words as one text, positions say which is whose."""
-    tokens = analyzer.tokens(F.array_join(words, " "))
-    return F.transform(words, lambda w, k: F.struct(w.alias("w"), F.element_at(F.filter(tokens, lambda t: t["pos"] == k), 1)["term"].alias("t")))
+        if analyzer.native:
+            normal = F.transform(words, lambda w: F.struct(w.alias("w"), F.get(analyzer.tokens(w), F.lit(0))["term"].alias("t")))
+        else:
+            # Words as one text: positions say which term is whose.
+            held = f"__hl_{len(parts)}"
+            rows = generated(rows, f"{held}_w", words)
+            rows = analyzer.added(rows, F.array_join(f"{held}_w", " "), f"{held}_t")
+            normal = F.transform(f"{held}_w", _term_of(f"{held}_t"))
+        parts.append((_udf(path, wanted, patterns, most, chars), value, normal))
+    names = [f"__hl_{k}" for k in range(len(parts))]
+    for name, (call, *given) in zip(names, parts, strict=True):
+        for k, x in enumerate(given):
+            rows = generated(rows, f"{name}_{k}", x)
+        rows = rows.withColumn(name, call(*[F.col(f"{name}_{k}") for k in range(len(given))]))
+    return rows, F.concat(*names) if len(names) > 1 else F.col(names[0])
+
+
+def _term_of(tokens: str):
+    return lambda w, k: F.struct(w.alias("w"), F.get(F.filter(F.col(tokens), lambda t: t["pos"] == k), F.lit(0))["term"].alias("t"))
 
 
 def _udf(path: str, wanted: dict, patterns: list[str], most: int, chars: int):

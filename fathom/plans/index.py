@@ -74,8 +74,8 @@ class SearchIndex:
             kind = kind[part].dataType if isinstance(kind, T.StructType) and part in kind.names else T.NullType()
         return isinstance(kind, T.ArrayType)
 
-    def analysed(self) -> dict[str, Column]:
-        """The array columns of all string and autocomplete fields of a fixed path outside of embedded documents."""
+    def fields_analysed(self) -> dict[str, tuple[Column, bool, analysis.Analyzer]]:
+        """What the array columns are made of (value, whether it is an array, analyzer), of all string and autocomplete fields of a fixed path outside of embedded documents."""
         roots = self.definition.embedded_roots()
         out = {}
         for path in self.paths():
@@ -85,13 +85,13 @@ class SearchIndex:
                 if d["type"] in ("string", "autocomplete"):
                     for one in [d, *[d | m | {"type": "string"} for m in d.get("multi", {}).values()]]:
                         a = self.definition.index_analyzer(one)
-                        out[token_column(path, a.name)] = tokens_of(self.value(path), self.is_array(path), a)
+                        out[token_column(path, a.name)] = (self.value(path), self.is_array(path), a)
         return out
 
     def materialized(self) -> SearchIndex:
         """The same index with its analysed arrays as columns (lazily, in the plan)."""
-        new = {c: x for c, x in self.analysed().items() if c not in self.ready}
-        made = SearchIndex(self.docs.withColumns(new) if new else self.docs, self._plain(), self.id_col, self.field_names_col, self.synonym_rows)
+        new = {c: x for c, x in self.fields_analysed().items() if c not in self.ready}
+        made = SearchIndex(analysed(self.docs, new), self._plain(), self.id_col, self.field_names_col, self.synonym_rows)
         made.schema = T.StructType([f for f in made.schema if not f.name.startswith("__tok_")])
         return made
 
@@ -208,11 +208,26 @@ def _each_counted(field: int, terms: Column) -> Column:
     return F.transform(terms, lambda t: _counted(field, t, F.lit(0)))
 
 
+def analysed(df: DataFrame, columns: dict[str, tuple[Column, bool, analysis.Analyzer]]) -> DataFrame:
+    """df with token arrays as columns: those without steps in Python from one generator, the others after it."""
+    native = [tokens_of(*x).alias(c) for c, x in columns.items() if x[2].native]
+    if native:
+        df = df.select("*", F.inline(F.array(F.struct(*native))))
+    for c, (value, several, analyzer) in columns.items():
+        if not analyzer.native:
+            df = analyzer.added(df, joined(value) if several else value, c)
+    return df
+
+
+def joined(values: Column) -> Column:
+    """Python steps can't stand in a lambda: the values of an array are analysed as one text, apart from each other by line breaks."""
+    return F.array_join(values.cast("array<string>"), "\n\n")
+
+
 def tokens_of(value: Column, several: bool, analyzer: analysis.Analyzer) -> Column:
     if not several:
         return analyzer.tokens(value)
     if analyzer.native:
         each = F.transform(F.coalesce(value.cast("array<string>"), F.expr("array()").cast("array<string>")), lambda v, k: F.transform(analyzer.tokens(v), lambda t: F.struct(t["term"].alias("term"), (t["pos"] + k * 100_000).alias("pos"))))
         return F.flatten(each)
-    # Python steps can't stand in a lambda: the values are analysed as one text, apart from each other by line breaks.
-    return analyzer.tokens(F.array_join(value.cast("array<string>"), "\n\n"))
+    return analyzer.tokens(joined(value))

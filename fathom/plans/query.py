@@ -121,7 +121,8 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
         kind = type_at(index.schema, path)
         places = [F.col(f"__pos{k}") for k in range(levels)]
         out = df.where(row.match).select(F.col(ident).alias("__root_id"), *[e[f].alias(f) for f in kind.elementType.names], row.score.cast("double").alias("__score"), F.array(*places).alias("__place"))
-        return out.orderBy(F.col("__score").desc(), "__root_id", "__place").limit(query.get("limit", 10)).drop("__place")
+        out, limit = out.orderBy(F.col("__score").desc(), "__root_id", "__place"), query.get("limit", 10)
+        return (out if limit is None else out.limit(limit)).drop("__place")
     if query.get("returnStoredSource"):
         need(index.definition.stored_source, "the index stores no source")
     row = c.compile(op)
@@ -145,7 +146,8 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
     if query.get("sort") or query.get("sortBetaV1"):
         columns.append(F.struct(*[k.value.alias(f"key{n}") for n, k in enumerate(keys)]).alias("__sort_values"))
     if "highlight" in query:
-        columns.append(highlighting.highlight(c, df, op, query["highlight"]).alias("__highlights"))
+        df, found = highlighting.highlight(c, df, op, query["highlight"])
+        columns.append(found.alias("__highlights"))
     kept = stored(index) if query.get("returnStoredSource") else [F.col(f.name) for f in index.schema]
     return df.select(*kept, *columns)
 

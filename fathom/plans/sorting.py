@@ -31,7 +31,7 @@ class Key:
         parts = []
         if self.floating:
             # NaN is the least number; Spark has it as the largest.
-            nan = ~F.isnan(self.value)
+            nan = F.when(self.value.isNotNull(), ~F.isnan(self.value))
             parts.append((nan.asc_nulls_first if first else nan.asc_nulls_last)() if up else (nan.desc_nulls_first if first else nan.desc_nulls_last)())
         v = self.value
         parts.append((v.asc_nulls_first() if first else v.asc_nulls_last()) if up else (v.desc_nulls_first() if first else v.desc_nulls_last()))
