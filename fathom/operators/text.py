@@ -154,16 +154,21 @@ def synonym_groups(c: Compiler, name: str, terms: list[str]) -> list[list[list[s
 
 
 def with_synonyms(c: Compiler, f: Field, name: str, terms: list[str], every: bool) -> Row:
-    """Per run of terms the best alternative, and a part of the others; exact terms count twice more."""
-    rows = []
-    for group in synonym_groups(c, name, terms):
+    """Per run of terms the best alternative, and a part of the others; or the terms as they are, which count twice more.
+
+    A term that has no synonyms is looked up as it is.
+    """
+    rows, groups = [], synonym_groups(c, name, terms)
+    if groups == [[[t]] for t in terms] and len(terms) == 1:
+        return f.term(terms[0])
+    for group in groups:
         options = [f.term(g[0]) if len(g) == 1 else f.phrase([([t], k) for k, t in enumerate(g)], 0) for g in group]
         scored = [o.scored() for o in options]
         best = F.greatest(*scored) if len(scored) > 1 else scored[0]
         rows.append(Row(reduce(or_, [o.match for o in options]), best + SYNONYM_TIE * (sum_of(scored) - best), [x for o in options for x in o.details]))
     found = combine(c, rows, every)
     exact = combine(c, [f.term(t) for t in terms], every)
-    return Row(found.match, found.score + EXACT * exact.scored(), found.details)
+    return Row(found.match | exact.match, found.scored() + EXACT * exact.scored(), found.details)
 
 
 def phrase(c: Compiler, scope: Scope, body: dict) -> Row:
