@@ -62,7 +62,7 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
 
 
 class Model:
-    """Tables of all languages in one array; `roots` are their first states."""
+    """Tables of all languages in one array; `roots` are the states in which texts begin."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.langs = sorted(samples)
@@ -83,12 +83,13 @@ class Model:
         for lang in self.langs:
             joined = np.concatenate([np.concatenate((self.encode(t), np.ones(1, np.uint8))) for t in samples[lang]])
             table = suffix_automaton(joined.tolist(), SYMBOLS)
-            # A step that fails restarts at the root; a symbol that the language doesn't have is a phrase of its own.
-            start = np.broadcast_to(table[0], table.shape)
-            step = np.where(table > 0, table + base, (start + base).astype(np.uint32) | MARK).astype(np.uint32)
-            tables.append(step)
-            roots.append(base)
-            base += len(table)
+            # A step that fails begins a phrase at the root; a symbol that the language doesn't have is a phrase of its
+            # own and leads to one more state, from which every step begins a phrase: there texts begin, too.
+            void = base + len(table)
+            start = np.where(table[0] > 0, table[0] + base, void).astype(np.uint32) | MARK
+            tables += [np.where(table > 0, (table + base).astype(np.uint32), start), start[None, :]]
+            roots.append(void)
+            base = void + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32)
         self.roots = np.array(roots, np.uint32)
 
@@ -118,7 +119,7 @@ class Model:
         grid = np.ascontiguousarray(flat.reshape(-1, SEGMENT)[order].T)
         alive = np.searchsorted(-lengths[order], -np.arange(SEGMENT), side="left")  # segments longer than k
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
-        breaks = np.ones(state.shape, np.int64)
+        breaks = np.zeros(state.shape, np.int64)
         for k in range(int(lengths.max())):
             n = int(alive[k])
             step = self.table[(state[:, :n] & ~MARK).astype(np.int64) * SYMBOLS + grid[k, :n]]
