@@ -35,6 +35,7 @@ PART_MB = 16
 #: Letters of which a run, if something else in ASCII follows it, is split off as a whole by byte-level pre-tokenizers.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
+LETTER = re.compile(f"[{LETTERS}]").match
 #: White space (and, to be safe, other invisible characters) before a space: there the text isn't cut.
 WIDE = re.compile("[\x00-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff] ")
 NARROW = re.compile("[\x00-\x20\x7f] ")
@@ -89,12 +90,12 @@ class PieceEncoder:
 
     def piece(self, piece: str, runs: dict[str, bytes]) -> bytes:
         parts = RUNS.findall(piece)
-        if not parts or "'" in piece or " " in piece or any(not p.isascii() for p in parts if not p[0].isalpha()):
+        if not parts or "'" in piece or " " in piece or any(not p.isascii() for p in parts if not LETTER(p)):
             return self.whole(" " + piece)
         out = []
         for k, p in enumerate(parts):
             key = p if k else " " + p
-            letters = p[0].isalpha()
+            letters = LETTER(p) is not None
             before_letters = not letters and k + 1 < len(parts)
             if before_letters:
                 key += "a"  # what white space is cut into depends on whether something follows
