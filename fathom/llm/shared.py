@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 #: A key with more than 1 / HOT_SHARE of all rows is hot, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 512
+#: Catalyst's estimate of what it knows nothing of is larger than any table.
+UNKNOWN_BYTES = 1 << 60
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,9 +58,12 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, target_mb: int) -> int:
-    """As many partitions as leave about target_mb of input to each; never fewer than the session's shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-plan_bytes(df) // (target_mb << 20)))
+    """As many partitions as leave about target_mb of input to each; never fewer than the session's shuffle partitions.
+
+    Rows that don't come from files have no size in their plan: then it is the partitions that they are in.
+    """
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return max(least, df.rdd.getNumPartitions() if size >= UNKNOWN_BYTES else -(-size // (target_mb << 20)))
 
 
 def words_of(text: Column) -> Column:
