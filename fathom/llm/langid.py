@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Labelled text to learn from: whole documents up to this many characters in total for each language, and no longer ones than LONGEST.
 TRAIN_CHARS, LONGEST = 24_000, 8_000
+#: All languages together learn from this many characters, so that tables stay below 100 MB; more languages than MOST_LANGS are an error.
+TRAIN_TOTAL, MOST_LANGS = 192_000, 200
 SEGMENT = 512
 #: Symbols: 0 anything else, 1 white space, 2 and up the letters seen in training (in lower case), at most SYMBOLS - 2.
 SYMBOLS = 64
@@ -174,20 +176,25 @@ def in_fold(id_col: Column) -> Column:
 def sample(labelled: DataFrame, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """Whole labelled texts by language, in the order of their hash, up to TRAIN_CHARS characters for each.
 
-    Each task keeps the first by hash of what it has read, so that a language's candidates are bounded before they
-    are brought together: TRAIN_CHARS / 200 texts of 200 to LONGEST characters at most.
+    The hashes below a limit are about twice as many different texts as are needed, however many rows there are; copies
+    of a text are one.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(1, LONGEST))
     most = TRAIN_CHARS // 200
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # The k smallest hashes of each language, by partial aggregation over histograms of the hash: texts don't move.
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    chosen = rows.join(F.broadcast(seen), "lang").where((F.col("h").cast("double") + 2.0**63) / 2.0**64 * F.col("n") <= 2 * most)
+    seen = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(seen) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not seen:
+        return {}
+    chars = min(TRAIN_CHARS, TRAIN_TOTAL // len(seen))
+    limits = F.create_map(*[F.lit(x) for r in seen for x in (r["lang"], 2.0 * most / r["n"])])
+    chosen = rows.where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= limits[F.col("lang")]).groupBy("lang", "text").agg(F.min("h").alias("h"))
     out: dict[str, list[str]] = {}
     sizes: dict[str, int] = {}
     for r in chosen.select("lang", "text", "h").orderBy("lang", "h", "text").toLocalIterator():
-        if sizes.get(r["lang"], 0) < TRAIN_CHARS:
+        if sizes.get(r["lang"], 0) < chars:
             out.setdefault(r["lang"], []).append(r["text"])
             sizes[r["lang"]] = sizes.get(r["lang"], 0) + len(r["text"])
     return out
