@@ -245,3 +245,15 @@ def test_mixed_types_sort(spark):
     df = spark.createDataFrame([(1, '"b"'), (2, "10"), (3, "true"), (4, "null"), (5, "2.5"), (6, '"a"'), (7, "{}"), (8, None)], "_id int, j string").select("_id", F.try_parse_json("j").alias("x"))
     index = SearchIndex(df, {"mappings": {"fields": {"x": {"type": "token"}, "_id": {"type": "number"}}}})
     assert ids(index, {"exists": {"path": "_id"}}, sort={"x": 1})[2:] == [5, 2, 6, 1, 7, 3]
+
+
+def test_shards_merge_to_one_result(spark, index):
+    from fathom.plans import sharded
+
+    halves = [SearchIndex(spark.createDataFrame([r for r in ROWS if r[0] % 2 == k], SCHEMA), {"mappings": {"fields": FIELDS}}) for k in (0, 1)]
+    query = {"exists": {"path": "_id"}, "sort": {"size": -1}, "limit": 3}
+    assert [r["_id"] for r in sharded.search(halves, query).collect()] == ids(index, {"exists": {"path": "_id"}}, sort={"size": -1}, limit=3)
+    assert sharded.plan(halves[0], query) == {"merge": "sort", "sortSpec": {"size": -1}, "limit": 3}
+    meta = {"facet": {"facets": {"c": {"type": "string", "path": "colours"}, "s": {"type": "number", "path": "size", "boundaries": [-2, 0, 5]}}}}
+    rows = lambda df: sorted((r["facet"], r["rank"], r["label"], r["count"]) for r in df.collect())
+    assert rows(sharded.search_meta(halves, meta)) == rows(q.search_meta(index, meta))
