@@ -112,8 +112,8 @@ def of_term(c: Compiler, scope: Scope, body: dict) -> Spans:
 def _where(f: Field, kind: str, x) -> Column:
     if kind == "terms" and not x:
         return none()
-    test = (lambda t: t["term"].isin(x)) if kind == "terms" else (lambda t: t["term"].rlike(x)) if kind == "pattern" else (lambda t: t["term"].startswith(x))
-    return F.transform(F.filter(f.tokens, test), lambda t: F.struct(t["pos"].alias("s"), (t["pos"] + 1).alias("e"), F.lit(1).alias("n")))
+    test = (lambda t: t["term"].rlike(x)) if kind == "pattern" else (lambda t: t["term"].startswith(x))
+    return F.transform(f.places(x) if kind == "terms" else F.filter(f.tokens, test), lambda t: F.struct(t["pos"].alias("s"), (t["pos"] + 1).alias("e"), F.lit(1).alias("n")))
 
 
 def span(c: Compiler, scope: Scope, body: dict) -> Row:

@@ -27,14 +27,18 @@ class Field:
     """A string field in a scope: its tokens, and the score of terms in it."""
 
     def __init__(self, c: Compiler, scope: Scope, path: str, analyzer: Analyzer, similarity: str) -> None:
-        self.c, self.path, self.analyzer, self.similarity = c, path, analyzer, similarity
+        self.c, self.path, self.analyzer, self.similarity, self.scope = c, path, analyzer, similarity, scope
         self.tokens = c.tokens(path, analyzer, scope)
 
-    def positions(self, term: str) -> Column:
-        return F.transform(F.filter(self.tokens, lambda t: t["term"] == term), lambda t: t["pos"])
+    def places(self, terms: list[str]) -> Column:
+        """Where some terms stand: array<struct<term, pos>>."""
+        self.c.seek(self.path, self.analyzer, self.scope, terms)
+        return F.filter(self.c.hits(self.path, self.analyzer, self.scope)[0], lambda t: t["term"].isin(terms) if len(terms) != 1 else t["term"] == terms[0])
 
-    def holds(self, term: str) -> Column:
-        return F.exists(self.tokens, lambda t: t["term"] == term)
+    @property
+    def length(self) -> Column:
+        self.c.seek(self.path, self.analyzer, self.scope, ())
+        return self.c.hits(self.path, self.analyzer, self.scope)[1]
 
     def weighed(self, terms: list[str], freq: Column, df: int | None = None) -> Column:
         """The score of `freq` occurrences of what these terms make up."""
@@ -42,13 +46,13 @@ class Field:
         if self.similarity == "boolean":
             return F.lit(float(len(terms)))
         if self.similarity == "stableTfl":
-            return sum_of([scores.stable_tfl(t, freq, F.size(self.tokens)) for t in terms])
-        return scores.bm25(math.fsum(scores.idf(n, dfs[t] if df is None else df) for t in terms), freq, F.size(self.tokens), mean)
+            return sum_of([scores.stable_tfl(t, freq, self.length) for t in terms])
+        return scores.bm25(math.fsum(scores.idf(n, dfs[t] if df is None else df) for t in terms), freq, self.length, mean)
 
     def term(self, term: str, boost: float = 1.0, df: int | None = None) -> Row:
-        freq = F.size(F.filter(self.tokens, lambda t: t["term"] == term))
+        freq = F.size(self.places([term]))
         score = self.weighed([term], freq, df)
-        return Row(self.holds(term), score * boost if boost != 1 else score, [(f"{self.path}:{term}", score)])
+        return Row(freq > 0, score * boost if boost != 1 else score, [(f"{self.path}:{term}", score)])
 
     def terms(self, found: list[tuple[str, float]]) -> Row:
         """Any of some terms, each with its factor; rare ones don't outweigh common ones: all have the largest document frequency."""
@@ -80,7 +84,7 @@ class Field:
         return Row(freq > 0, score, [(f'{self.path}:"{" ".join(terms)}"', score)])
 
     def _shift(self, terms: list[str], by: int) -> Column:
-        return F.transform(F.filter(self.tokens, lambda t: t["term"].isin(terms)), lambda t: t["pos"] - by)
+        return F.transform(self.places(terms), lambda t: t["pos"] - by)
 
 
 def _sloppy(places: Column, slop: int) -> Column:

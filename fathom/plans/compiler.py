@@ -67,6 +67,7 @@ class Compiler:
         self.columns: dict[tuple[str, str], Column] = {}
         self.bases: dict[tuple[str, str], str] = {}
         self.used: dict[str, tuple[Column, bool, analysis.Analyzer]] = {}
+        self.sought: dict[str, set[str]] = {}
         self.dry = False
         self._expanded: dict = {}
 
@@ -89,17 +90,35 @@ class Compiler:
         need(len(op) == 1 and names, f"need exactly one operator, not {sorted(op)}")
         return OPERATORS[names[0]](self, scope, op[names[0]])
 
-    def docs(self) -> DataFrame:
+    def docs(self, hits: bool = True) -> DataFrame:
         """The index's rows with the token arrays that what was compiled so far needs and the index doesn't store.
 
-        Native steps of all of them share a generator, in which each row is analysed once.
+        Native steps of all of them share a generator, in which each row is analysed once. With hits, another one goes
+        once through each array for the terms that are sought: operators then look at those few places only.
         """
-        return analysed(self.index.docs, self.used)
+        df = analysed(self.index.docs, self.used)
+        found = []
+        for stored, terms in self.sought.items() if hits else ():
+            found += [_places(F.col(stored), sorted(terms)).alias(hits_column(stored)), F.size(stored).alias(length_column(stored))]
+        return df.select("*", F.inline(F.array(F.struct(*found)))) if found else df
+
+    def seek(self, path: str, analyzer: analysis.Analyzer, scope: Scope, terms: Iterable[str]) -> None:
+        """Says which terms of a document's field operators look for."""
+        if not scope.root:
+            self.sought.setdefault(token_column(path, analyzer.name), set()).update(terms)
+
+    def hits(self, path: str, analyzer: analysis.Analyzer, scope: Scope) -> tuple[Column, Column]:
+        """(the places of the terms sought, the number of all tokens) of a field; of an embedded one all tokens."""
+        if scope.root:
+            tokens = self.tokens(path, analyzer, scope)
+            return tokens, F.size(tokens)
+        stored = token_column(path, analyzer.name)
+        return F.col(hits_column(stored)), F.col(length_column(stored))
 
     def base(self, root: str) -> DataFrame:
         """The rows that statistics count: documents, or one row per embedded document of a root, as __e."""
         if not root:
-            return self.docs()
+            return self.docs(hits=False)
         df, at, kind = self.index.docs, "", self.index.schema
         for part in root.split("."):
             at = f"{at}.{part}" if at else part
@@ -215,6 +234,18 @@ class Compiler:
         return Row(reduce(or_, [r.match for r in rows]), sum_of([r.scored() for r in rows]), [x for r in rows for x in r.details])
 
 
+def hits_column(stored: str) -> str:
+    return stored.replace("__tok_", "__hit_", 1)
+
+
+def length_column(stored: str) -> str:
+    return stored.replace("__tok_", "__len_", 1)
+
+
+def _places(tokens: Column, terms: list[str]) -> Column:
+    return F.filter(tokens, lambda t: t["term"].isin(terms))
+
+
 def _in_lambda(scope: Scope) -> bool:
     return scope.number is not None
 
