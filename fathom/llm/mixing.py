@@ -156,7 +156,7 @@ f(i, lo, hi) AS (
 a2 AS (SELECT 1 - lo AS a FROM f WHERE i = {STEPS}),
 w AS (SELECT source, t, n, greatest(1, CAST(round(pow(p, (SELECT a FROM a2)) / (SELECT sum(pow(p, (SELECT a FROM a2))) FROM share) * 1e6) AS BIGINT)) AS ppm FROM g JOIN share USING (source)),
 l AS (SELECT t AS lt, ppm AS lp FROM w ORDER BY t / ppm DESC, source DESC LIMIT 1),
-b AS (SELECT source, t AS held, greatest(1, least({MOST_BLOCKS}, -(-n // {BLOCK_DOCS}))) AS blocks, greatest(t, lt * ppm // lp) AS budget FROM w, l),
+b AS (SELECT source, t AS held, greatest(1, least({MOST_BLOCKS}, (n + {BLOCK_DOCS - 1}) // {BLOCK_DOCS})) AS blocks, greatest(t, lt * ppm // lp) AS budget FROM w, l),
 q AS (SELECT r.*, held, budget, budget // held AS whole, budget - budget // held * held AS rest,
         CAST('0x' || substr({md5("'block'", "doc_id")}, 1, 15) AS BIGINT) % blocks AS block FROM r JOIN b USING (source)),
 k AS (SELECT source, block, sum(n_tokens) AS t, any_value(whole) AS whole FROM q GROUP BY source, block),
