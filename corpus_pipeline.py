@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from fathom.llm import decontaminate, langid, mixing, sharding, simhash
 from fathom.llm.shared import written
 
-#: Phrases per 100 symbols above which no learned language explains a text. Prose of a learned language has 12 to 25, even in
-#: very short texts under 45; random characters and unlearned scripts, of which each symbol is a phrase, have over 55.
-FOREIGN = 55.0
+#: Times the phrases per 100 symbols of held-out texts of a language beyond which it doesn't explain a text, and the least such limit. Prose that
+#: whole samples learned has 17 in the tables, at most 31; other Latin-script languages have 37 and more, random letters 55, unlearned scripts 100.
+FOREIGN, FOREIGN_LEAST = 1.6, 32.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The columns stay as they are: a prediction rejects, it doesn't relabel. Without any labelled text nothing is known
     of languages, and only documents without a letter go.
     """
-    model = langid.train(docs.where(~langid.in_fold(F.col("doc_id"))))
-    return langid.filter_known(docs, model, FOREIGN)
+    samples = langid.sample(docs.where(~langid.in_fold(F.col("doc_id"))), "text", "lang")
+    return langid.filter_known(docs, langid.Model(samples), langid.limits(samples, FOREIGN, FOREIGN_LEAST))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

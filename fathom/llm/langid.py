@@ -21,9 +21,11 @@ TRAIN_CHARS, LONGEST = 24_000, 8_000
 #: All languages together learn from this many characters, so that tables stay below 100 MB; more languages than MOST_LANGS are an error.
 TRAIN_TOTAL, MOST_LANGS = 192_000, 200
 SEGMENT = 512
-#: Symbols: 0 anything else, 1 white space, 2 and up the letters seen in training (in lower case), at most SYMBOLS - 2.
+#: Symbols: 0 a letter not seen in training, 1 anything that is no letter, 2 and up the letters seen in training (in lower case), at most SYMBOLS - 2.
 SYMBOLS = 64
 UNDETERMINED = "und"
+#: Phrases that a text may have beyond its language's limit.
+SPARE = 2
 MARK = np.uint32(1 << 31)
 #: Characters parsed in lockstep at a time, which bounds memory.
 BATCH_CHARS = 1 << 21
@@ -75,12 +77,8 @@ class Model:
                     if c.isalpha():
                         letters[c] = letters.get(c, 0) + 1
         common = sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 2]
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[[i for i in range(0x3100) if chr(i).isspace()]] = 1
-        for i, c in enumerate(common, 2):
-            self.symbol[ord(c)] = i
-            if len(c.upper()) == 1:
-                self.symbol[ord(c.upper())] = i
+        ids = {c: i for i, c in enumerate(common, 2)}
+        self.symbol = np.fromiter((ids.get(c.lower()[0], 0) if (c := chr(i)).isalpha() else 1 for i in range(0x110000)), np.uint8, 0x110000)
         tables, roots, base = [], [], 0
         for lang in self.langs:
             joined = np.concatenate([np.concatenate((self.encode(t), np.ones(1, np.uint8))) for t in samples[lang]])
@@ -96,10 +94,9 @@ class Model:
         self.roots = np.array(roots, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
-        """Symbols of the text; runs of symbols that are no letters count as one white space."""
+        """Symbols of the text; runs of what is no letter count as one white space. A letter not seen in training is a phrase in every language."""
         s = self.symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s = np.maximum(s, 1)
-        return s[np.concatenate(([True], (s[1:] > 1) | (s[:-1] > 1)))] if len(s) else s
+        return s[np.concatenate(([True], (s[1:] != 1) | (s[:-1] != 1)))] if len(s) else s
 
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
         """(texts, languages) phrases of each text, the last of each segment included."""
@@ -204,6 +201,32 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return Model(sample(labelled, text_col, lang_col))
 
 
+def limits(samples: dict[str, list[str]], margin: float, least: float) -> dict[str, float]:
+    """Per language the phrases per 100 symbols beyond which a text isn't explained by it, from texts held out of its sample.
+
+    Each half of a language's texts is parsed by the other half alone (of a single text, its halves). The rate that nine
+    tenths of them have at most (weighted by length; near copies in both halves have next to none) times margin is the
+    limit, but at most halfway to 100, where each symbol is a phrase, and not below least. A language without a letter
+    in either half has no limit.
+    """
+    out = {}
+    for lang, texts in samples.items():
+        halves = (texts[::2], texts[1::2]) if len(texts) > 1 else ([texts[0][: len(texts[0]) // 2]], [texts[0][len(texts[0]) // 2 :]])
+        rates = []
+        for one, other in (halves, halves[::-1]):
+            if any(map(str.isalpha, "".join(one))):
+                model = Model({lang: one})
+                rates += [(rate, len(t)) for t, (found, _, rate) in zip(other, model.predict(other), strict=True) if found != UNDETERMINED]
+        total, seen, high = sum(n for _, n in rates), 0, 100.0
+        for rate, n in sorted(rates):
+            seen += n
+            if 10 * seen >= 9 * total:
+                high = rate
+                break
+        out[lang] = max(least, min(high * margin, (high + 100) / 2))
+    return out
+
+
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score, rate (phrases per 100 symbols).
 
@@ -220,19 +243,27 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rate double")
 
 
-def filter_known(docs: DataFrame, model: Model, most_rate: float, text_col: str = "text") -> DataFrame:
+def filter_known(docs: DataFrame, model: Model, most_rate: float | dict[str, float], text_col: str = "text") -> DataFrame:
     """docs, all columns and repeated rows included, without texts that are undetermined or have more than most_rate phrases per 100 symbols.
 
+    Given by language, most_rate is that of the predicted one, and SPARE phrases more are let through, which only matters to very short texts.
     Rows are judged where they are: no join, no shuffle. A model without languages keeps every text that has a letter.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    def known(model: Model, text: str | None, lang: str, rate: float) -> bool:
+        if lang == UNDETERMINED:
+            return False
+        if not isinstance(most_rate, dict):
+            return rate <= most_rate
+        return rate <= most_rate[lang] or rate <= most_rate[lang] + 100 * SPARE / len(model.encode(text))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
             if held.value.langs:
-                keep = [f[0] != UNDETERMINED and f[2] <= most_rate for f in held.value.predict(texts)]
+                keep = [known(held.value, t, f[0], f[2]) for t, f in zip(texts, held.value.predict(texts), strict=True)]
             else:
                 keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -77,3 +77,21 @@ def test_unlearned_scripts_and_noise_are_rejected(spark, sf):
     noise = [(k, "".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(600))) for k in range(5)] + [(9, "Съешь же ещё этих мягких французских булок")]
     assert langid.filter_known(spark.createDataFrame(noise, "doc_id long, text string"), model, 55.0).count() == 0
     assert langid.filter_known(docs, model, 55.0).count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
+def test_unlearned_letters_are_phrases_of_their_own():
+    model = langid.Model({"x": ["the cat sat on the mat. " * 20]})
+    assert [p[2] for p in model.predict(["жук", "ЖУК жук"])][0] == 100.0
+    n = len(model.encode("the cat жжжжжж the cat"))
+    assert n == 22 and model.phrases([model.encode("the cat жжжжжж the cat")])[0, 0] >= 8
+    turkish = langid.Model({"tr": ["istanbul iyi " * 9]})
+    assert turkish.encode("İSTANBUL")[0] == turkish.encode("i")[0]
+
+
+def test_limits_hold_for_near_copies_and_small_samples():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(20)]
+    alike = [texts[0] + f" {word()}" for _ in range(40)]
+    got = langid.limits({"a": texts, "b": alike, "c": ["x"], "d": ["der Hund und die Katze"]}, 1.6, 32.0)
+    assert 32.0 <= got["a"] < 100 and got["b"] == 32.0 and got["c"] == 100.0 and 32.0 <= got["d"] <= 100.0

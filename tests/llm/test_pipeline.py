@@ -45,3 +45,22 @@ def test_stages_on_odd_tables(spark, sf):
             assert out.count() <= max(1, df.count()) * 8
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "source_mixing", "sharding"]
     assert langid.filter_known and decontaminate.without_leaks
+
+
+FOREIGN_TEXTS = [
+    "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita.",
+    "Vaka vanha Väinämöinen lauleli suurella äänellä pitkin järven rantaa ja kulki kohti pohjoista.",
+    "Litwo, ojczyzno moja, ty jesteś jak zdrowie, ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar, akıl ve vicdana sahiptirler.",
+    "Съешь же ещё этих мягких французских булок, да выпей чаю. the and of the",
+    "春はあけぼの、やうやう白くなりゆく山ぎは、すこしあかりて the and of the",
+]
+
+
+def test_language_rejects_foreign_prose_and_keeps_learned(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = spark.createDataFrame([(10**9 + 1 + 3 * k, t * 3) for k, t in enumerate(FOREIGN_TEXTS)], "doc_id long, text string").select("doc_id", "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns[2:]])
+    assert docs.columns[:2] == ["doc_id", "text"]
+    kept = corpus_pipeline.language(spark, docs.unionByName(foreign), sf)
+    assert kept.where(F.col("doc_id") > 10**9).count() == 0
+    assert kept.count() == docs.where("text rlike '\\\\p{L}'").count()
