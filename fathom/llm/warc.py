@@ -3,7 +3,8 @@
 Archives are files of the shared folder, named by part and attempt; the manifest (a Parquet table) names those that
 were committed, so a task that is lost leaves only files that nobody reads. The reader checks each record: version
 line, lengths, end, payload digest. After a failed check it searches for the next gzip member or version line
-that begins a valid record, goes on from there, and logs the bytes between as a quarantined gap.
+that begins a valid record, within an inflated member too, goes on from there, and logs the bytes between as a
+quarantined gap.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]\.[0-9]\r\n")
 VERSION = re.compile(rb"WARC/[0-9]\.[0-9]\r\n")
 #: A record's header block is no longer than this; what is longer isn't one.
 MOST_HEADER = 1 << 20
+#: Bytes inflated at a time; what the reason of a gzip error begins with after which inflated bytes may be wrong.
+PIECE, DAMAGED = 1 << 16, "gzip: "
 
 
 def base32(hex_digest: str) -> str:
@@ -82,7 +85,7 @@ def parse(buf: memoryview | bytes, at: int) -> tuple[dict, int]:
         if not colon:
             raise Bad("header line without colon")
         fields[name.strip().lower()] = value.strip()
-    if not (size := fields.get("content-length", "")).isdecimal() or "warc-type" not in fields:
+    if not (size := fields.get("content-length", "")).isdecimal() or len(size) > 18 or "warc-type" not in fields:
         raise Bad("no length or type")
     start = at + cut + 4
     end = start + int(size)
@@ -97,71 +100,117 @@ def parse(buf: memoryview | bytes, at: int) -> tuple[dict, int]:
     digest = hashlib.sha1(payload).hexdigest()
     stated = fields.get("warc-payload-digest", "")
     if kind == "revisit":
-        digest = base64.b32decode(stated[5:]).hex() if stated.startswith("sha1:") else None
+        try:
+            digest = base64.b32decode(stated[5:]).hex() if stated.startswith("sha1:") else None
+        except ValueError:
+            raise Bad("payload digest isn't one") from None
     elif stated.startswith("sha1:") and stated[5:] != base32(digest):
         raise Bad("payload digest differs")
     return {
         "record_id": fields.get("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"),
         "payload_digest": digest, "payload_bytes": int(length[1]) if kind == "revisit" and length else len(payload), "payload": payload,
+        "digested": want.startswith("sha1:") or kind != "revisit" and stated.startswith("sha1:"),
     }, end + 4
 
 
-def inflate(buf: memoryview | bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at `at`, and where it ends. Raises Bad, also where its checksum differs."""
+def inflate(buf: memoryview | bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` holds, where it ends, and "". Of a damaged member the bytes before the error, where it was met, and what it is."""
     z, out, k = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof and k < len(buf):
-            piece = bytes(buf[k : k + (1 << 16)])
+    while not z.eof and k < len(buf):
+        piece = bytes(buf[k : k + PIECE])
+        try:
             out.append(z.decompress(piece))
-            k += len(piece)
-    except zlib.error as e:
-        raise Bad(f"gzip: {e}") from None
+        except zlib.error as e:
+            # What the call gave before the error is lost with it: the member is read anew, this piece byte by byte.
+            z = zlib.decompressobj(31)
+            out, p = [z.decompress(bytes(buf[p : p + PIECE])) for p in range(at, k, PIECE)], k
+            try:
+                for p in range(k, k + len(piece)):
+                    out.append(z.decompress(piece[p - k : p - k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), p, f"{DAMAGED}{e}"
+        k += len(piece)
     if not z.eof:
-        raise Bad("gzip member is cut off")
-    return b"".join(out), k - len(z.unused_data)
+        return b"".join(out), k, "gzip member is cut off"
+    return b"".join(out), k - len(z.unused_data), ""
+
+
+def search(raw: bytes, digests: bool) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The valid records of an inflated member, and (start, end, reason) of what is between: after a failed check the next valid version line is searched for.
+
+    With digests only records count that state one: others can't be told from damaged ones.
+    """
+    found, lost, k = [], [], 0
+    while k < len(raw):
+        try:
+            rec, end = parse(raw, k)
+            if digests and not rec["digested"]:
+                raise Bad("no digest in a damaged member")
+            found.append(rec)
+        except Bad as e:
+            after = VERSION.search(raw, k + 1)
+            end = after.start() if after else len(raw)
+            if lost and lost[-1][1] == k:
+                lost[-1] = (lost[-1][0], end, lost[-1][2])
+            else:
+                lost.append((k, end, str(e)))
+        k = end
+    return found, lost
 
 
 def salvage(buf: memoryview | bytes) -> Iterator[tuple[dict | None, int, int, str]]:
     """(record, start, end, "") of valid records and (None, start, end, reason) of quarantined gaps; every byte is in one of them.
 
-    A member may hold several records. Records of a member that fails midway are kept up to the failure; then the
-    whole member's rest is a gap. An empty file yields nothing.
+    A member may hold several records. All valid ones are kept, those after a failed one too; each gap between them has
+    the member's start and end, and its reason names the inflated bytes. Of a member with a gzip error the bytes before
+    the error are searched, and the gap ends at the next valid member; where they may be wrong (not just cut off),
+    records must state a digest. An empty file yields nothing.
     """
-    at, gap, reason, size = 0, None, "", len(buf)
+    at, gap, reason, stop, size = 0, None, "", 0, len(buf)
+    held: list[dict] = []  # records of the damaged member that begins the gap
+    lost: list[tuple[int, int, str]] = []
+
+    def of_member(start: int, end: int) -> Iterator[tuple[dict | None, int, int, str]]:
+        for rec in held:
+            yield rec, start, end, ""
+        for a, z, why in lost:
+            yield None, start, end, f"{why}: inflated bytes {a} to {z}"
+
     while at < size:
-        found: list[dict] = []
+        wrong, some, rest = "", [], []
         try:
             if bytes(buf[at : at + 2]) == b"\x1f\x8b":
-                raw, end = inflate(buf, at)
-                k = 0
-                while k < len(raw):
-                    rec, k = parse(raw, k)
-                    found.append(rec)
+                raw, end, wrong = inflate(buf, at)
+                some, rest = search(raw, wrong.startswith(DAMAGED))
+                if (wrong or rest) and not some:
+                    raise Bad(wrong or rest[0][2])
             else:
                 rec, end = parse(buf, at)
-                found.append(rec)
+                some = [rec]
         except Bad as e:
-            if found:  # valid records before the failure, in one member
-                if gap is not None:
-                    yield None, gap, at, reason
-                for rec in found:
-                    yield rec, at, end, ""
-                gap, reason, at = at, str(e), end
-                yield None, gap, end, reason
-                gap = None
-                continue
             if gap is None:
                 gap, reason = at, str(e)
-            after = START.search(buf, at + 1)
-            at = after.start() if after else size
+            if rest and not wrong:  # a sound member without a valid record
+                at = end
+            else:
+                at = next((m.start() for m in START.finditer(buf, at + 1) if m.start() >= stop or m[0][:1] == b"\x1f"), size)
             continue
         if gap is not None:
+            yield from of_member(gap, at)
             yield None, gap, at, reason
             gap = None
-        for rec in found:
-            yield rec, at, end, ""
-        at = end
+        held, lost = some, rest
+        if wrong:
+            # An error can run past the member's end, so members are looked for from its start on; but a version line
+            # before the error is one of stored text, which was searched as inflated.
+            gap, reason, stop = at, wrong, max(stop, end)
+            at = next((m.start() for m in START.finditer(buf, at + 1) if m.start() >= stop or m[0][:1] == b"\x1f"), size)
+            continue
+        yield from of_member(at, end)
+        held, lost, at = [], [], end
     if gap is not None:
+        yield from of_member(gap, size)
         yield None, gap, size, reason
 
 

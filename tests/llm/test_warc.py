@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -45,6 +47,63 @@ def test_salvage_of_plain_records_and_junk():
     assert list(warc.salvage(b"")) == [] and [g[0] for g in warc.salvage(b"nothing here")] == [None]
 
 
+def plain(n, digests=True):
+    rng = random.Random(7)
+    raw = [warc.record(f"<urn:x:{k}>", f"http://x/{k}", p := rng.randbytes(2000), hashlib.sha1(p).hexdigest(), None) for k in range(n)]
+    return raw if digests else [re.sub(rb"WARC-(Payload|Block)-Digest: [^\r]*\r\n", b"", r) for r in raw]
+
+
+def names(*ks):
+    return [f"<urn:x:{k}>" for k in ks]
+
+
+def test_records_after_a_damaged_one_in_a_member():
+    raw = plain(6)
+    for hit in (0, 2, 5):
+        parts = [r.replace(b"HTTP/1.1 200", b"HTTP/1.1 300") if k == hit else r for k, r in enumerate(raw)]
+        whole = warc.member(b"".join(parts))
+        got = list(warc.salvage(whole + warc.member(raw[1])))
+        assert [r["record_id"] for r, *_ in got if r] == names(*[k for k in range(6) if k != hit], 1)
+        start = sum(map(len, raw[:hit]))
+        assert [g for g in got if g[0] is None] == [(None, 0, len(whole), f"block digest differs: inflated bytes {start} to {start + len(raw[hit])}")]
+    bad = warc.member(raw[0][:-9])  # a sound member without a valid record
+    assert [(r and r["record_id"], a, z) for r, a, z, _ in warc.salvage(bad + warc.member(raw[1]))] == [(None, 0, len(bad)), ("<urn:x:1>", len(bad), len(bad) + len(warc.member(raw[1])))]
+
+
+def test_records_before_a_gzip_error():
+    raw = plain(6)
+    whole, after = warc.member(b"".join(raw)), warc.member(raw[1])
+    broken = whole[:-8] + b"\0\0\0\0" + whole[-4:]
+    got = list(warc.salvage(broken + after))
+    assert [r["record_id"] for r, *_ in got if r] == names(*range(6), 1)
+    assert [g[1:3] for g in got if g[0] is None] == [(0, len(broken))] and "gzip" in got[-2][3]
+    cut = whole[: len(whole) * 2 // 3]
+    assert ids(cut) == names(0, 1, 2) or ids(cut) == names(0, 1, 2, 3)
+    assert ids(cut + after)[-1] == "<urn:x:1>" and list(warc.salvage(cut))[-1][1:3] == (0, len(cut))
+    # Stored blocks hold the records as they are: none is given twice.
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    stored = packer.compress(b"".join(raw)) + packer.flush()
+    assert ids(stored[:-8] + bytes(8) + after) == names(*range(6), 1)
+    flipped = stored.replace(raw[2][-500:-490], bytes(10))
+    assert flipped != stored and ids(flipped + after) == names(0, 1, 3, 4, 5, 1)
+
+
+def test_records_without_a_digest():
+    raw = plain(4, digests=False)
+    whole = warc.member(b"".join(raw))
+    assert ids(whole) == names(*range(4))
+    assert ids(whole[:-8] + bytes(8)) == []  # any of them may be the damaged one
+    assert ids(whole[:-8]) == names(*range(4))
+
+
+def test_headers_that_say_nonsense():
+    revisit = warc.record("<urn:x:0>", None, b"", hashlib.sha1(b"").hexdigest(), "<urn:x:1>")
+    ok = plain(1)[0]
+    broken = re.sub(rb"(Payload-Digest: sha1:)[^\r]*", rb"\g<1>!?", revisit), re.sub(rb"\r\nContent-Length: [0-9]+\r\n\r\nHTTP", b"\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\nHTTP", ok)
+    for b in broken:
+        assert ids(b + ok) == ids(warc.member(b + ok)) == ["<urn:x:0>"]
+
+
 def test_round_trip_of_odd_rows(spark):
     big = "<p>é😀</p>" * 400
     rows = [(1, "http://a b\n/c", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "small"), (6, "u", "small"), (9, "u", big), (None, "u", big), (7, "u", "y" * 2_000_000), (5, "u", "small")]
