@@ -21,7 +21,8 @@ TRAIN_CHARS, LONGEST = 24_000, 8_000
 #: All languages together learn from this many characters, so that tables stay below 100 MB; more languages than MOST_LANGS are an error.
 TRAIN_TOTAL, MOST_LANGS = 192_000, 200
 SEGMENT = 512
-#: Symbols: 0 a letter not seen in training, 1 anything that is no letter, 2 and up the letters seen in training (in lower case), at most SYMBOLS - 2.
+#: Symbols: 0 a letter not seen in training, 1 anything that is no letter, 2 and up the letters seen in training (in lower case), the most frequent
+#: first. Steps of symbols below SYMBOLS are in a table, those of the others (there are some where scripts mix, or are large) in a sorted list.
 SYMBOLS = 64
 UNDETERMINED = "und"
 #: Phrases that a text may have beyond its language's limit.
@@ -31,9 +32,9 @@ MARK = np.uint32(1 << 31)
 BATCH_CHARS = 1 << 21
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """(states, width) transitions of the suffix automaton of the sequence, 0 (the root) where there is none."""
-    nxt, link, length = np.zeros((2 * len(symbols) + 2, width), np.int32), [-1], [0]
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton of the sequence; state 0 is the root."""
+    link, length = [-1], [0]
     rows: list[dict[int, int]] = [{}]
     last = 0
     for s in symbols:
@@ -59,10 +60,21 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    return rows
+
+
+def dense(rows: list[dict[int, int]], width: int) -> np.ndarray:
+    """(states, width) transitions of the symbols below width, 0 (the root) where there is none."""
+    nxt = np.zeros((len(rows), width), np.int32)
     for state, row in enumerate(rows):
         for s, t in row.items():
-            nxt[state, s] = t
-    return nxt[: len(rows)]
+            if s < width:
+                nxt[state, s] = t
+    return nxt
+
+
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    return dense(automaton(symbols), width)
 
 
 class Model:
@@ -76,22 +88,39 @@ class Model:
                 for c in t.lower():
                     if c.isalpha():
                         letters[c] = letters.get(c, 0) + 1
-        common = sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 2]
-        ids = {c: i for i, c in enumerate(common, 2)}
-        self.symbol = np.fromiter((ids.get(c.lower()[0], 0) if (c := chr(i)).isalpha() else 1 for i in range(0x110000)), np.uint8, 0x110000)
+        ids = {c: i for i, c in enumerate(sorted(letters, key=lambda c: (-letters[c], c)), 2)}
+        self.symbol = np.fromiter((ids.get(c.lower()[0], 0) if (c := chr(i)).isalpha() else 1 for i in range(0x110000)), np.int32, 0x110000)
         tables, roots, base = [], [], 0
+        rare: dict[int, int] = {}
         for lang in self.langs:
-            joined = np.concatenate([np.concatenate((self.encode(t), np.ones(1, np.uint8))) for t in samples[lang]])
-            table = suffix_automaton(joined.tolist(), SYMBOLS)
+            joined = np.concatenate([np.concatenate((self.encode(t), np.ones(1, np.int32))) for t in samples[lang]])
+            rows = automaton(joined.tolist())
+            table = dense(rows, SYMBOLS)
             # A step that fails begins a phrase at the root; a symbol that the language doesn't have is a phrase of its
             # own and leads to one more state, from which every step begins a phrase: there texts begin, too.
             void = base + len(table)
             start = np.where(table[0] > 0, table[0] + base, void).astype(np.uint32) | MARK
             tables += [np.where(table > 0, (table + base).astype(np.uint32), start), start[None, :]]
+            if len(ids) + 2 > SYMBOLS:
+                # A step that isn't in the list is that of the void state, or leads there.
+                rare |= {(base + state) << 21 | s: base + t for state, row in enumerate(rows) for s, t in row.items() if s >= SYMBOLS}
+                rare |= {void << 21 | s: (base + t) | int(MARK) for s, t in rows[0].items() if s >= SYMBOLS}
             roots.append(void)
             base = void + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.uint32)
         self.roots = np.array(roots, np.uint32)
+        self.rare_keys = np.array(sorted(rare), np.int64)
+        self.rare_steps = np.array([rare[k] for k in self.rare_keys.tolist()], np.uint32)
+
+    def rare(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """(languages, n) steps from states by symbols that are not in the table."""
+        voids = np.broadcast_to(self.roots[:, None], states.shape)
+        out = voids | MARK
+        for at in (voids, states):
+            keys = at.astype(np.int64) << 21 | symbols
+            k = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+            out = np.where(self.rare_keys[k] == keys, self.rare_steps[k], out)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of the text; runs of what is no letter count as one white space. A letter not seen in training is a phrase in every language."""
@@ -106,7 +135,7 @@ class Model:
         owner = np.repeat(np.arange(len(encoded)), n_seg)
         if not len(owner):
             return counts
-        flat = np.zeros(int(n_seg.sum()) * SEGMENT, np.uint8)
+        flat = np.zeros(int(n_seg.sum()) * SEGMENT, np.int32)
         at = np.concatenate(([0], np.cumsum(n_seg)[:-1])) * SEGMENT
         for a, e in zip(at.tolist(), encoded, strict=True):
             flat[a : a + len(e)] = e
@@ -116,12 +145,18 @@ class Model:
         lengths[ends[has]] = sizes[has] - (n_seg[has] - 1) * SEGMENT
         order = np.argsort(-lengths, kind="stable")
         grid = np.ascontiguousarray(flat.reshape(-1, SEGMENT)[order].T)
+        listed = grid >= SYMBOLS
+        some = listed.any(axis=1)
+        inside = np.where(listed, 0, grid).astype(np.uint8)
         alive = np.searchsorted(-lengths[order], -np.arange(SEGMENT), side="left")  # segments longer than k
         state = np.repeat(self.roots[:, None], len(owner), axis=1)
         breaks = np.zeros(state.shape, np.int64)
         for k in range(int(lengths.max())):
             n = int(alive[k])
-            step = self.table[(state[:, :n] & ~MARK).astype(np.int64) * SYMBOLS + grid[k, :n]]
+            step = self.table[(state[:, :n] & ~MARK).astype(np.int64) * SYMBOLS + inside[k, :n]]
+            if some[k]:
+                at = np.flatnonzero(listed[k, :n])
+                step[:, at] = self.rare(state[:, at] & ~MARK, grid[k, at])
             breaks[:, :n] += step >> np.uint32(31)
             state[:, :n] = step
         for lang in range(len(self.langs)):

@@ -95,3 +95,19 @@ def test_limits_hold_for_near_copies_and_small_samples():
     alike = [texts[0] + f" {word()}" for _ in range(40)]
     got = langid.limits({"a": texts, "b": alike, "c": ["x"], "d": ["der Hund und die Katze"]}, 1.6, 32.0)
     assert 32.0 <= got["a"] < 100 and got["b"] == 32.0 and got["c"] == 100.0 and 32.0 <= got["d"] <= 100.0
+
+
+def test_every_learned_letter_counts():
+    rng = random.Random(6)
+    scripts = {"el": (0x3B1, 24), "ru": (0x430, 32), "la": (0x61, 26), "zh": (0x4E00, 900), "ja": (0x5000, 900), "ko": (0xAC00, 900)}
+    words = {k: ["".join(chr(a + rng.randrange(n)) for _ in range(rng.randint(1, 5))) for _ in range(300)] for k, (a, n) in scripts.items()}
+    prose = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    samples = {k: [prose(k, 150) for _ in range(10)] for k in scripts}
+    model = langid.Model(samples)
+    for k in scripts:
+        assert all(p[0] == k and p[2] < 60 for p in model.predict([prose(k, 40) for _ in range(5)]))
+    joined = {k: [s for t in samples[k] for s in [*model.encode(t).tolist(), 1]] for k in model.langs}
+    for text in [prose("zh", 20), prose("ru", 10) + prose("ja", 10), "жαa一" * 9 + "ж丿q가"]:  # rare and frequent symbols, against direct parsing
+        e = model.encode(text)
+        as_text = lambda symbols: "".join(map(chr, symbols))
+        assert model.phrases([e])[0].tolist() == [phrases(as_text([s + 1 for s in joined[k]]), as_text([s + 1 for s in e.tolist()])) for k in model.langs]
