@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled text to learn from: whole documents up to this many characters in total for each language, and no longer ones than LONGEST.
+#: Labelled text to learn from: documents up to this many characters in total for each language; of one longer than LONGEST so many characters in a row.
 TRAIN_CHARS, LONGEST = 24_000, 8_000
 #: All languages together learn from this many characters, so that tables stay below 100 MB; more languages than MOST_LANGS are an error.
 TRAIN_TOTAL, MOST_LANGS = 192_000, 200
@@ -206,15 +206,18 @@ def in_fold(id_col: Column) -> Column:
 
 
 def sample(labelled: DataFrame, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """Whole labelled texts by language, in the order of their hash, up to TRAIN_CHARS characters for each.
+    """Labelled texts by language, in the order of their hash, up to TRAIN_CHARS characters for each.
 
-    The hashes below a limit are about twice as many different texts as are needed, however many rows there are; copies
+    Of a long text LONGEST characters are taken, from a place that its hash names, so that each language is learned
+    however long its texts are. The hashes below a limit are about twice as many different texts as are needed, however many rows there are; copies
     of a text are one.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(1, LONGEST))
+    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     most = TRAIN_CHARS // 200
     rows = rows.withColumn("h", F.xxhash64("text"))
+    place = F.pmod("h", F.greatest(F.length("text") - LONGEST, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.withColumn("text", F.when(F.length("text") > LONGEST, F.substr("text", place, F.lit(LONGEST))).otherwise(F.col("text")))
     seen = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).limit(MOST_LANGS + 1).collect()
     if len(seen) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")

@@ -111,3 +111,15 @@ def test_every_learned_letter_counts():
         e = model.encode(text)
         as_text = lambda symbols: "".join(map(chr, symbols))
         assert model.phrases([e])[0].tolist() == [phrases(as_text([s + 1 for s in joined[k]]), as_text([s + 1 for s in e.tolist()])) for k in model.langs]
+
+
+def test_languages_with_long_texts_alone_are_learned(spark):
+    rng = random.Random(8)
+    prose = lambda words, n: " ".join(rng.choices(words.split(), k=n))
+    en, de = "the cat and dog sat on mat with their house when it was raining", "der Hund und die Katze auf Matte mit ihrem Haus als es regnete"
+    book = prose(de, 20_000)
+    df = spark.createDataFrame([(k, prose(en, 80), "en") for k in range(20)] + [(100, book, "de"), (101, book, "de")], "doc_id long, text string, lang string")
+    found = langid.sample(df, "text", "lang")
+    assert sorted(found) == ["de", "en"] and [len(t) for t in found["de"]] == [langid.LONGEST] and found["de"][0] in book
+    assert found == langid.sample(df.repartition(3), "text", "lang")
+    assert langid.Model(found).predict([prose(de, 30), prose(en, 30)])[0][0] == "de"
