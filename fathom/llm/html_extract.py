@@ -18,14 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Never text, with all that they hold. Their raw contents end at their own end tag only.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "title", "xmp", "noembed", "noframes")
+#: Never text, with all that they hold. Their raw contents end at their own end tag, or with the page.
+RAW = ("script", "style", "noscript", "iframe", "title", "xmp", "noembed", "noframes")
+#: Never text either, but only up to an end tag that is there: of one that closes itself, or is never closed, the tag alone is left out.
+HIDDEN = frozenset(("template", "object", "svg", "canvas", "audio", "video", "annotation", "annotation-xml"))
 NAME = r"[a-zA-Z][^\s/>]*"
 PIECE = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<({'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*[^>]*>|\Z)"
     rf"|<(/?)({NAME})((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+HIDDEN_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in HIDDEN}
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -84,7 +87,7 @@ def element(tag: str, attributes: str, parent: Element) -> Element:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order. Markup, comments and RAW elements leave no text; wrong nesting is mended as browsers do, roughly."""
+    """The page's blocks in order. Markup, comments, RAW and HIDDEN elements leave no text; wrong nesting is mended as browsers do, roughly."""
     root = Element("", None)
     stack: list[Element] = [root]
     blocks: list[Block] = []
@@ -119,8 +122,8 @@ def blocks_of(page: str) -> list[Block]:
         while len(stack) > n:
             links -= stack.pop().tag == "a"
 
-    at = 0
-    for m in PIECE.finditer(page):
+    at, unclosed = 0, set()
+    while m := PIECE.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = m[3]
@@ -134,6 +137,14 @@ def blocks_of(page: str) -> list[Block]:
             if k:
                 pop_to(k)
             continue
+        if tag in HIDDEN:
+            # A tag that has no end from here on has none later: the page isn't searched for it again.
+            end = None if m[4].endswith("/") or tag in unclosed else HIDDEN_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif not m[4].endswith("/"):
+                unclosed.add(tag)
+            continue
         if tag == "br":
             flush()
         if tag in BLOCKS:

@@ -52,6 +52,20 @@ def test_pages(page, want):
     assert hx.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ["<svg class='i'/>", '<svg viewBox="0 0 1 1" />', "<svg>", "<math/>", "<canvas id=c>", "<video src='x' />", "<object data=x>", "<template>"])
+def test_tags_without_an_end_swallow_no_text(tag):
+    page = f"<body><nav>{tag}<a href=x>Menu</a></nav><article><p>{PROSE}</p>{tag}<p>{PROSE}</p></article>"
+    assert hx.main_text(page) == (PROSE * 2).strip()
+    if tag.endswith("/>"):
+        assert hx.main_text(f"{page}<footer>{tag}<svg><title>No</title><text>no</text></svg></footer>") == (PROSE * 2).strip()
+
+
+def test_hidden_elements_and_formulas():
+    page = f"<article><p>{PROSE}<svg><title>No</title><path d='M0 0'/><text>no</text></svg>Here <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x=1</annotation></math> holds.</p><video><p>no</p></VIDEO ><script>var a = '<svg/>'</article>"
+    assert hx.main_text(page) == f"{PROSE}Here x=1 holds."
+    assert hx.main_text("<article><p>" + PROSE + "<svg>" * 50_000) == PROSE.strip()
+
+
 def test_long_and_deep_pages():
     deep = "<div>" * 3000 + "<p>" + PROSE * 4 + "</p>"
     assert hx.main_text(deep) == (PROSE * 4).strip()
