@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.operators.vector import filter_column
 from fathom.plans import query as q
+from fathom.plans.compiler import Compiler, Scope
 from fathom.plans.definition import IndexDefinition
 from fathom.plans.index import SearchIndex
 from fathom.sources.storage import opened
@@ -316,8 +318,14 @@ def _labelled(spark, sf_dir) -> SearchIndex:
     return SearchIndex(df, IndexDefinition.vector([{"type": "vector", "path": "v", "numDimensions": 4, "similarity": "dotProduct"}, *[{"type": "filter", "path": p} for p in ("quality", "toxic", "lang")]]), "doc_id")
 
 
+def filtered(index: SearchIndex, clause: dict) -> DataFrame:
+    """All documents that a filter of vector search lets through, however many."""
+    c = Compiler(index)
+    return c.docs().where(filter_column(c, Scope(), clause))
+
+
 def mql_by(name: str, clause: dict, where: str) -> None:
-    QUERIES[name] = lambda s, d: q.vector(_labelled(s, d), {"path": "v", "queryVector": [1, 1, 1, 1], "exact": True, "limit": 1_000_000, "filter": clause}).select("doc_id")
+    QUERIES[name] = lambda s, d: filtered(_labelled(s, d), clause).select("doc_id")
     ORACLE_SQL[name] = f"SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE {where}"
 
 

@@ -20,3 +20,9 @@ def test_runs(spark, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["mql_ne_missing", "mql_nin_not", "mql_nor_exists", "mql_or_range"])
+def test_filters_have_no_row_limit(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
