@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,40 +28,34 @@ from pyspark.sql import functions as F
 from fathom.llm.shared import parts_for, work_dir
 
 END_ID = 2
-#: Distinct text pieces of which a Python worker keeps the ids; the table is emptied when it is full.
-REMEMBERED = 600_000
-PART_MB = 16
-
-
-#: Letters of which a run, if something else in ASCII follows it, is split off as a whole by byte-level pre-tokenizers.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-RUNS = re.compile(f"[{LETTERS}]+|[^{LETTERS}]+")
-LETTER = re.compile(f"[{LETTERS}]").match
-#: White space (and, to be safe, other invisible characters) before a space: there the text isn't cut.
-WIDE = re.compile("[\x00-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff] ")
-NARROW = re.compile("[\x00-\x20\x7f] ")
-
-
-class Known(dict):
-    """The ids of text pieces, as bytes. A piece is what stands between two spaces; the space before it belongs to it."""
-
-    def __init__(self, encoder: PieceEncoder) -> None:
-        super().__init__()
-        self.encoder, self.runs = encoder, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = self.encoder.piece(piece, self.runs)
-        return found
+#: Least input of a part (its sort spills where it must), and parts whose bases one task sums.
+PART_MB, PARTS_SUMMED = 1024, 1000
+#: Bytes of text encoded at a time, as whole documents; different pieces of which a Python worker keeps the ids: beyond that, those of the last slice stay.
+SLICE_BYTES, REMEMBERED = 8 << 20, 800_000
+#: Longer pieces are not kept.
+LONG = 64
+#: Latin letters: their runs, perhaps after a space, are units of byte-level pre-tokenizers, unless letters of other kinds or an apostrophe are beside them.
+WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Class of each byte: a letter, anything else visible in ASCII but the apostrophe, a space, white space of one byte; 0 is beside no cut but that before a space.
+LETTER, VISIBLE, SPACE, BREAK = 1, 2, 4, 8
+CLASS = np.zeros(256, np.uint8)
+CLASS[33:127] = VISIBLE
+CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
+CUT_BESIDE = np.isin(np.arange(9), (LETTER, VISIBLE))
+CLASS[[39, 32, *range(9, 14)]] = [0, SPACE, *[BREAK] * 5]
+#: White space (and, to be safe, other invisible characters) of three bytes in UTF-8; those of two bytes begin with 0xC2.
+WIDE = ("\u1680", "\u180e", *map(chr, range(0x2000, 0x2010)), *map(chr, range(0x2028, 0x2030)), *map(chr, range(0x205F, 0x2070)), "\u3000", "\ufeff")
+WIDE_BYTES = np.array([int.from_bytes(c.encode(), "big") for c in WIDE])
 
 
 class PieceEncoder:
     """Encodes whole texts as the tokenizers library does, calling it once for each new piece of text.
 
-    Byte-level BPE splits texts before it merges: never between a space and the character after it, and always after a
-    run of letters. So a text may be cut before each space that follows something other than white space, and a piece
-    into runs of letters and of anything else; the ids are those of the runs. What isn't plainly such a case (an
-    apostrophe, a letter of another script, white space beside a space) goes to the library as it is, and so do
-    whole texts of other kinds of tokenizer.
+    Byte-level BPE splits texts before it merges: always between something other than white space and a space, between
+    letters and ASCII of another kind (but an apostrophe), and around a single line end or tab. There texts are cut,
+    and the ids are those of the pieces in order. The pieces of a slice of texts are numbered by value, so that each
+    different one is looked up once, and once encoded by the library while it is remembered. Texts that hold a special
+    token, and those of other kinds of tokenizer, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -70,69 +65,103 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.cut = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.model, self.known = self.tokenizer.model, Known(self)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.visible = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+        del self.visible[10]  # stands between words
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+    def learn(self, new: list[str]) -> None:
+        """Adds the ids of pieces to those known. Words are what the library's pre-tokenizer makes of them: they go to its model."""
+        known, tokenize, packed = self.known, self.model.tokenize, self.packed
+        words = [p for p in new if WORD(p)]
+        if len(words) < len(new):
+            known.update((p, self.whole(p)) for p in new if not WORD(p))
+        if words:
+            for word, seen in zip(words, "\n".join(words).encode().decode("latin-1").translate(self.visible).split("\n"), strict=True):
+                known[word] = packed([t.id for t in tokenize(seen)])
+
+    def special_in(self, texts: pa.StringArray) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for t in self.special:
+            found |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        return found
 
-    def letters(self, run: str) -> bytes:
-        """A run of letters, perhaps after a space, is one unit of the pre-tokenizer: it goes to the library's model."""
-        return self.packed([t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.visible))])
-
-    def piece(self, piece: str, runs: dict[str, bytes]) -> bytes:
-        parts = RUNS.findall(piece)
-        if not parts or "'" in piece or " " in piece or any(not p.isascii() for p in parts if not LETTER(p)):
-            return self.whole(" " + piece)
-        out = []
-        for k, p in enumerate(parts):
-            key = p if k else " " + p
-            letters = LETTER(p) is not None
-            before_letters = not letters and k + 1 < len(parts)
-            if before_letters:
-                key += "a"  # what white space is cut into depends on whether something follows
-            found = runs.get(key)
-            if found is None:
-                found = runs[key] = self.letters(key) if letters else self.whole(key)[: -self.dtype.itemsize] if before_letters else self.whole(key)
-            out.append(found)
-        return b"".join(out)
-
-    def pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if not (NARROW if text.isascii() else WIDE).search(text) and parts[0]:
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            last = out[-1]
-            if not last or (NARROW if last.isascii() else WIDE).search(last[-1] + " "):
-                out[-1] += " " + p
-            else:
-                out.append(p)
-        return out
+    def pieces(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """All pieces of the texts in order (views of the same bytes), and how many each text has."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets - offsets[0]
+        begin = np.zeros(len(data) + 1, bool)
+        if self.cut and len(data):
+            kind = CLASS[data]
+            latin = np.flatnonzero(data[:-1] == 0xC3)  # the first byte of a Latin-1 letter, or of a multiplication or division sign
+            latin = latin[(data[latin + 1] & 0xDF) != 0x97]
+            kind[latin] = kind[latin + 1] = LETTER
+            begin[1:-1] = (kind[1:] | kind[:-1]) == LETTER | VISIBLE
+            at = np.flatnonzero(kind[1:] == SPACE) + 1
+            one = data[at - 1]
+            keep = (one > 0x20) & (one != 0x7F)
+            high = np.flatnonzero(one >= 0x80)
+            if len(high):  # the last byte of a character of two bytes or more
+                p = at[high]
+                two, three = data[p - 2].astype(np.int64), data[np.maximum(p - 3, 0)].astype(np.int64)
+                keep[high] = (two != 0xC2) & ~np.isin(three << 16 | two << 8 | one[high], WIDE_BYTES)
+            begin[at[keep]] = True
+            at = np.flatnonzero(kind[1:-1] == BREAK) + 1
+            beside = CUT_BESIDE[kind]
+            at = at[beside[at - 1] & beside[at + 1]]
+            begin[at] = begin[at + 1] = True
+        if self.cut:
+            for k in np.flatnonzero(self.special_in(texts)).tolist():
+                begin[starts[k] : starts[k + 1]] = False
+        begin[starts] = True
+        begin[-1] = False
+        begins = np.flatnonzero(begin)
+        ends = np.append(begins, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data)), np.diff(np.searchsorted(begins, starts))
+
+    def flat(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each followed by end_id if there is one, and how many each text has."""
+        pieces, counts = self.pieces(texts)
+        numbered = pieces.dictionary_encode()
+        codes, different = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        if self.cut:
+            special = np.flatnonzero(self.special_in(numbered.dictionary)).tolist()
+            new = [p for p in different if p not in self.known]
+            self.learn(new)
+            self.known |= {different[k]: self.whole(different[k]) for k in special}
+            held = list(map(self.known.__getitem__, different))
+            for p in {p for p in new if len(p) > LONG} | {different[k] for k in special}:
+                del self.known[p]
+        else:
+            held = [self.whole(t) for t in different]
+        if end_id is not None:
+            codes = np.insert(codes, np.cumsum(counts), len(held))
+            held.append(self.packed([end_id]))
+            counts = counts + 1
+        if len(self.known) > REMEMBERED:
+            self.known = {p: h for p, h in zip(different, held, strict=False) if len(p) <= LONG}
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // self.dtype.itemsize
+        first = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        ids = np.frombuffer(b"".join(held), self.dtype)[np.repeat(first[codes] - stop[:-1], n) + np.arange(int(stop[-1]))]
+        return ids, np.diff(stop[np.concatenate(([0], np.cumsum(counts)))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cut:
-            return [self.whole(t) for t in texts]
-        known, out = self.known, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        if len(known.runs) > REMEMBERED:
-            known.runs.clear()
-        for t in texts:
-            if any(s in t for s in self.special):
-                out.append(self.whole(t))
-            else:
-                first, *rest = self.pieces(t)
-                out.append(self.whole(first) + b"".join(map(known.__getitem__, rest)))
-        return out
+        ids, sizes = self.flat(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -145,6 +174,17 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def sliced(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """b in slices of about `most` bytes of its second column (a string), of one row at least."""
+    if not b.num_rows:
+        return
+    at, ends = 0, np.frombuffer(b.column(1).buffers()[1], np.int32, b.num_rows + 1, 4 * b.column(1).offset)
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + most, "right")) - 1)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, part_mb: int = PART_MB) -> DataFrame:
     """Writes docs in ascending id order; returns the manifest (part, tokens_file, offsets_file, first_id, n_docs, n_tokens, bits).
 
@@ -152,30 +192,29 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     their own place, in no stated order among themselves. An empty table writes no files. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts_for(rows, part_mb), "doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id may be in several parts that follow each other: none is too large for a task.
+    rows = rows.repartitionByRange(parts_for(rows, part_mb), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype).tobytes()
         fs, root = pafs.FileSystem.from_uri(folder)
-        name, ids, sizes, out = f"{part:06d}-{uuid.uuid4().hex}", [], [0], None
+        name, ids, sizes, out = f"{part:06d}-{uuid.uuid4().hex}", [], [np.zeros(1, np.int64)], None
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                encoded = enc.encode(some.column(1).to_pylist())
+            for some in sliced(b, SLICE_BYTES):
+                found, n = enc.flat(some.column(1), end_id)
                 if out is None:
                     out = fs.open_output_stream(f"{root}/tokens-{name}.bin")
-                out.write(b"".join(e + end for e in encoded))
-                sizes += [len(e) // enc.dtype.itemsize + 1 for e in encoded]
-                ids += some.column(0).to_pylist()
+                out.write(found)
+                sizes.append(n)
+                ids.append(some.column(0).fill_null(-1).to_numpy())
         if out is None:
             return
         out.close()
         with fs.open_output_stream(f"{root}/offsets-{name}.idx") as f:
-            f.write(np.cumsum(np.array(sizes, "<u8")).astype("<u8").tobytes())
-            f.write(np.array([-1 if i is None else i for i in ids], "<i8").tobytes())
+            f.write(np.cumsum(np.concatenate(sizes)).astype("<u8").tobytes())
+            f.write(np.concatenate(ids).astype("<i8").tobytes())
         yield pa.RecordBatch.from_pylist(
-            [{"part": part, "tokens_file": f"tokens-{name}.bin", "offsets_file": f"offsets-{name}.idx", "n_docs": len(ids), "n_tokens": sum(sizes), "bits": 8 * enc.dtype.itemsize}],
+            [{"part": part, "tokens_file": f"tokens-{name}.bin", "offsets_file": f"offsets-{name}.idx", "n_docs": sum(map(len, ids)), "n_tokens": int(sum(n.sum() for n in sizes)), "bits": 8 * enc.dtype.itemsize}],
             schema=pa.schema([("part", pa.int32()), ("tokens_file", pa.string()), ("offsets_file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32())]),
         )
 
@@ -187,10 +226,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
     return spark.read.schema(made.schema).parquet(f"{folder}/manifest")
 
 
-def based(manifest: DataFrame) -> DataFrame:
-    """The manifest (one row per part: a few thousand at most) with each part's base, the ids before it."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+def based(manifest: DataFrame, summed: int = PARTS_SUMMED) -> DataFrame:
+    """The manifest with each part's base, the ids before it: prefix sums within groups of `summed` parts, and over the groups' sums (a row for each group)."""
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = manifest.withColumn("of_group", F.floor(F.col("part") / summed))
+    groups = grouped.groupBy("of_group").agg(F.sum("n_tokens").alias("n_tokens")).select("of_group", before(Window.orderBy("of_group")).alias("base"))
+    within = grouped.withColumn("before", before(Window.partitionBy("of_group").orderBy("part")))
+    return within.join(groups, "of_group").withColumn("base", F.col("base") + F.col("before")).drop("of_group", "before")
 
 
 def _mapped(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from fathom.llm import tokens
@@ -21,6 +22,26 @@ def test_pieces_are_encoded_as_the_library_does(spark, sf):
         assert np.frombuffer(got, enc.dtype).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_short_texts_are_cut_where_the_library_cuts():
+    whole, enc = Tokenizer.from_file(PATH), tokens.PieceEncoder(PATH)
+    rng = random.Random(2)
+    alphabet = [*"aB .12'_-\n\t×éßª", "  ", "\u3000", "'s", "don't", "日本", "😀", "\u0301", "word", "<|endoftext|>", "\r\n", "ı", "٣", "\u200b", "\x00", "\xad", "x" * 80]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 8))) for _ in range(20_000)]
+    for at in range(0, len(texts), 500):  # pieces of one slice are numbered together
+        some = texts[at : at + 500]
+        ids, sizes = enc.flat(pa.array(["other", *some]).slice(1), tokens.END_ID)
+        for t, got in zip(some, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert got.tolist() == [*whole.encode(t, add_special_tokens=False).ids, tokens.END_ID], t
+    assert not any(len(p) > tokens.LONG for p in enc.known)
+
+
+def test_bases_in_two_levels(spark):
+    rng = random.Random(3)
+    parts = [(p, rng.randint(0, 50)) for p in sorted(rng.sample(range(3000), 700))]
+    got = {r["part"]: r["base"] for r in tokens.based(spark.createDataFrame(parts, "part int, n_tokens long"), 100).collect()}
+    assert got == {p: sum(n for q, n in parts if q < p) for p, _ in parts}
+
+
 def want_of(rows):
     whole, at, out = Tokenizer.from_file(PATH), 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
