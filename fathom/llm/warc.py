@@ -72,6 +72,21 @@ class Bad(Exception):
     """A record that fails a check."""
 
 
+def stated_sha1(field: str) -> str | None:
+    """The SHA-1 that a digest field states, in base32 or hex of either case, as lower-case hex; None for other algorithms or none. Raises Bad."""
+    kind, _, value = field.partition(":")
+    if kind.strip().lower() != "sha1":
+        return None
+    value = value.strip()
+    try:
+        found = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError:
+        raise Bad("digest isn't one") from None
+    if len(found) != 20:
+        raise Bad("digest isn't one")
+    return found.hex()
+
+
 def parse(buf: memoryview | bytes, at: int) -> tuple[dict, int]:
     """The record that begins at `at`, and where it ends. Raises Bad."""
     head = bytes(buf[at : at + 4096])
@@ -92,24 +107,21 @@ def parse(buf: memoryview | bytes, at: int) -> tuple[dict, int]:
     if bytes(buf[end : end + 4]) != END:
         raise Bad("record without end")
     block = bytes(buf[start:end])
-    if (want := fields.get("warc-block-digest", "")).startswith("sha1:") and want[5:] != base32(hashlib.sha1(block).hexdigest()):
+    if (want := stated_sha1(fields.get("warc-block-digest", ""))) and want != hashlib.sha1(block).hexdigest():
         raise Bad("block digest differs")
     kind = fields["warc-type"]
     http, cut2, payload = block.partition(END) if block.startswith(b"HTTP/") else (b"", b"", block)
     length = re.search(rb"(?i)\r\ncontent-length:\s*([0-9]+)", http)
     digest = hashlib.sha1(payload).hexdigest()
-    stated = fields.get("warc-payload-digest", "")
+    stated = stated_sha1(fields.get("warc-payload-digest", ""))
     if kind == "revisit":
-        try:
-            digest = base64.b32decode(stated[5:]).hex() if stated.startswith("sha1:") else None
-        except ValueError:
-            raise Bad("payload digest isn't one") from None
-    elif stated.startswith("sha1:") and stated[5:] != base32(digest):
+        digest = stated
+    elif stated and stated != digest:
         raise Bad("payload digest differs")
     return {
         "record_id": fields.get("warc-record-id"), "record_type": kind, "url": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"),
         "payload_digest": digest, "payload_bytes": int(length[1]) if kind == "revisit" and length else len(payload), "payload": payload,
-        "digested": want.startswith("sha1:") or kind != "revisit" and stated.startswith("sha1:"),
+        "digested": bool(want or kind != "revisit" and stated),
     }, end + 4
 
 
@@ -215,17 +227,17 @@ def salvage(buf: memoryview | bytes) -> Iterator[tuple[dict | None, int, int, st
 
 
 def references(rows: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
-    """rows(page_id, digest, n_bytes) with refers_to: the largest page_id of equal payloads from `least` bytes on, null for that one itself.
+    """Of rows(page_id, digest, n_bytes), the (page_id, digest, refers_to) that revisit the largest page_id of equal payloads from `least` bytes on.
 
-    Pages that repeat the largest id of their payload are responses too; a null id refers to the largest id, if any.
+    Pages that repeat the largest id with the same payload are responses too; a null id refers to the largest id, if any.
     """
     large = rows.where(F.col("n_bytes") >= least)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
     several = groups.where("copies > 1")
     n = rows.count()
     # Most payloads are alone: only members of groups go through the look-up.
-    found = lookup(large, "digest", several, "copies", n).where(~F.col("page_id").eqNullSafe(F.col("last"))).select("page_id", F.col("last").alias("refers_to"))
-    return found
+    found = lookup(large, "digest", several, "copies", n).where(~F.col("page_id").eqNullSafe(F.col("last")))
+    return found.select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
 
 
 ID = "<urn:fathom:page:{}>"
@@ -234,25 +246,26 @@ ID = "<urn:fathom:page:{}>"
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_FROM) -> DataFrame:
     """Writes a record per row of pages; returns the manifest (file, records, bytes).
 
-    Null payloads are empty, null urls about:blank; rows that repeat an id are records with one record id, whose
-    revisits are decided by id. An empty table writes no archives. Other columns are ignored.
+    Null payloads are empty, null urls about:blank; rows that repeat an id are records with one record id, each of
+    which is a response or revisit by its own payload. An empty table writes no archives. Other columns are ignored.
     """
     spark = pages.sparkSession
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    slim = written(page.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n_bytes")), "digests")
-    revisits = written(references(slim, least).distinct(), "revisits").withColumnRenamed("page_id", "of")
-    rows = page.join(revisits, page["page_id"].eqNullSafe(F.col("of")), "left").drop("of")
+    page = page.withColumn("digest", F.sha1("payload"))
+    slim = written(page.select("page_id", "digest", F.octet_length("payload").alias("n_bytes")), "digests")
+    revisits = written(references(slim, least), "revisits").select(F.col("page_id").alias("of"), F.col("digest").alias("of_digest"), "refers_to")
+    rows = page.join(revisits, page["page_id"].eqNullSafe(F.col("of")) & (F.col("digest") == F.col("of_digest")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         part, attempt, seq, out, made = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, None, []
         for b in batches:
             for at in range(b.num_rows):  # a row at a time: payloads aren't copied as a batch
-                page_id, url, payload, refers = (c[at].as_py() for c in b.columns)
+                page_id, url, payload, digest, refers = (c[at].as_py() for c in b.columns)
                 if out is None:
                     name = f"pages-{part:06d}-{seq:04d}-{attempt}.warc.gz"
                     seq, out, n, size = seq + 1, fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
-                raw = member(record(ID.format("" if page_id is None else page_id), url, payload, hashlib.sha1(payload).hexdigest(), None if refers is None else ID.format(refers)))
+                raw = member(record(ID.format("" if page_id is None else page_id), url, payload, digest, None if refers is None else ID.format(refers)))
                 out.write(raw)
                 n, size = n + 1, size + len(raw)
                 if size >= ARCHIVE_BYTES:

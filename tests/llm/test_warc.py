@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import re
@@ -136,3 +137,29 @@ def test_archives_are_split_by_size(spark, monkeypatch):
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html")).coalesce(1)
     raw = [warc.record("<x>", "u", b"a" * 50, hashlib.sha1(b"a" * 50).hexdigest(), None)]
     assert raw and warc.write_archives(pages, folder).agg(F.sum("records")).first()[0] == 300
+
+
+def test_rows_that_repeat_an_id_keep_their_payloads(spark):
+    a, b, c = (x * 2000 for x in "abc")
+    for rows, want in (
+        ([(5, a), (9, a), (5, c)], [(5, a, 9), (9, a, None), (5, c, None)]),
+        ([(5, a), (9, a), (5, b), (8, b)], [(5, a, 9), (9, a, None), (5, b, 8), (8, b, None)]),
+        ([(9, a), (9, a), (None, a), (None, c), (None, c)], [(9, a, None), (9, a, None), (None, a, 9), (None, c, None), (None, c, None)]),
+    ):
+        folder = work_dir(spark, "warc-test")
+        files = warc.write_archives(spark.createDataFrame([(i, h, "x") for i, h in rows], "page_id long, html string, digest string").withColumn("url", F.lit("u")), folder)
+        got = warc.read_archives(files, folder, payload=True).collect()
+        name = lambda i: warc.ID.format("" if i is None else i)
+        found = [(r["record_id"], r["payload_digest"], r["refers_to"], len(r["payload"])) for r in got]
+        assert sorted(found, key=repr) == sorted(((name(i), hashlib.sha1(h.encode()).hexdigest(), name(last) if last else None, 0 if last else 2000) for i, h, last in want), key=repr)
+
+
+def test_digests_of_other_writers():
+    ok, revisit = plain(1)[0], warc.record("<urn:x:1>", None, b"", hashlib.sha1(b"p").hexdigest(), "<urn:x:0>")
+    value = re.search(rb"Block-Digest: sha1:([A-Z2-7]+)", ok)[1]
+    as_hex = base64.b32decode(value).hex().encode()
+    for other in (value.lower(), as_hex, as_hex.upper()):
+        assert ids(ok.replace(b"Block-Digest: sha1:" + value, b"Block-Digest: SHA1:" + other)) == ["<urn:x:0>"]
+    assert ids(ok.replace(value, b"A" * 32) + revisit) == ["<urn:x:1>"]
+    shown = re.sub(rb"Payload-Digest: sha1:[A-Z2-7]+", b"Payload-Digest: sha1:" + hashlib.sha1(b"p").hexdigest().upper().encode(), revisit)
+    assert next(warc.salvage(shown))[0]["payload_digest"] == hashlib.sha1(b"p").hexdigest()
