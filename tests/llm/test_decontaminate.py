@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 from fathom.llm import decontaminate as dc
@@ -102,3 +103,108 @@ def test_questions_and_answers():
     assert dc.question_answer("Who was it? The man.") == (3, 5)
     assert dc.question_answer("One two three. Four five.") == (3, 5)
     assert dc.question_answer("one two three") == (2, 3)
+
+
+LABELS = r"(?i)(?<!\w)(?:question|answer|frage|antwort|pregunta|respuesta|réponse|solution|q|a)\s*:"
+
+
+def plain_words(text):
+    return re.findall(r"\w+", re.sub(LABELS, " ", text or "").lower())
+
+
+def plain_leaks(docs, items, least=0.55, part=0.8, run=3, near=16):
+    """All leaks, by formulas of this test alone: BM25 over the whole benchmark, passages of twice the least window, runs of three words."""
+    split = []
+    for i, text in items:
+        mark = re.search(r"(?i)\b(?:answer|antwort|respuesta|réponse)\s*:", text)
+        q = len(plain_words(text[: mark.start()])) if mark else len(plain_words(text[: text.rstrip()[:-1].rfind("?") + 1]))
+        split.append((i, plain_words(text), q))
+    n, average = len(split), sum(len(ws) for _, ws, _ in split) / len(split)
+    df = Counter(w for _, ws, _ in split for w in set(ws))
+    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    found = {}
+    for d, text in docs:
+        words = plain_words(text)
+        for i, ws, q in split:
+            window = 64
+            while window < len(ws):
+                window *= 2
+            assert window == 64 or len(ws) == window
+            part_of = {w: idf[w] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ws) / average)) for w, f in Counter(ws).items()}
+            for at in range(0, len(words), window):
+                passage = words[at : at + 2 * window]
+                score = sum(x for w, x in part_of.items() if w in set(passage)) / sum(part_of.values())
+                if score < least - 1e-9:
+                    continue
+                runs = [tuple(passage[k : k + run]) for k in range(len(passage) - run + 1)]
+                starts = [k for k in range(len(ws) - run + 1) if tuple(ws[k : k + run]) in runs]
+                met = {k + j for k in starts for j in range(run)}
+                answer = ws[q:]
+                if len(answer) < run:
+                    of_question = [p for p, r in enumerate(runs) if r in {tuple(ws[k : k + run]) for k in starts if k < q}]
+                    at_answer = [p for p in range(len(passage)) if passage[p : p + len(answer)] == answer]
+                    if any(p - near - len(answer) <= a <= p + run + near for a in at_answer for p in of_question):
+                        met |= set(range(q, len(ws)))
+                if sum(k in met for k in range(q)) >= part * q and sum(k in met for k in range(q, len(ws))) >= part * len(answer):
+                    found[d, i] = max(score, found.get((d, i), 0))
+    return found
+
+
+def variants(question, answer, rng, words):
+    """The item as others write it: labels, order, punctuation, case, a word in ten changed."""
+    edit = lambda text: " ".join(rng.choice(words) if rng.random() < 0.1 and k not in (0, 1) else w for k, w in enumerate(text.split()))
+    return [
+        f"{question}? Answer: {answer}.", f"{question}? {answer}", f"Q: {question}?\nA: {answer}", f"Question: {question} - {answer}!", f"{question.upper()}?\n\nAntwort : {answer.upper()}",
+        f"The answer: {answer}. It is asked: {question}?", f"Question: {edit(question)}? Solution: {answer}.",
+    ]
+
+
+def test_relabelled_reordered_and_edited_items(spark):
+    rng = random.Random(8)
+    words = [f"v{k}" for k in range(2000)]
+    draw = lambda n: " ".join(rng.choices(words, k=n))
+    parts = [(draw(rng.randint(8, 40)), draw(rng.randint(1, 12))) for _ in range(60)]
+    items = [(k, f"{q}? Answer: {a}." if k % 2 else f"{q}? {a}.") for k, (q, a) in enumerate(parts)]
+    docs, planted = [], set()
+    for k, (q, a) in enumerate(parts):
+        for j, v in enumerate(variants(q, a, rng, words)):
+            docs.append((10 * k + j, f"{draw(rng.randint(0, 200))} {v} {draw(rng.randint(0, 200))}"))
+            planted.add((10 * k + j, k))
+    docs += [(10_000 + k, draw(300)) for k in range(60)] + [(20_000 + k, f"{draw(50)} {q}? {draw(3)}") for k, (q, a) in enumerate(parts)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.leaks(df, bench).collect()}
+    want = plain_leaks(docs, items)
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in want)
+    assert found.keys() <= planted and len(found) >= 0.9 * len(planted)
+    # Scores are the same however the benchmark is sliced.
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in dc.leaks(df, bench, slice_items=7).collect()} == found
+    assert {r["doc_id"] for r in dc.without_leaks(df, bench, slice_items=25).collect()} == {d for d, _ in docs} - {d for d, _ in found}
+
+
+def test_answers_of_a_word(spark):
+    whale, paris = "Who wrote the famous book about whales and the sea?", "What is the capital of the country in the middle of the map?"
+    bench = spark.createDataFrame([(1, f"{whale} Answer: Melville"), (2, f"{paris} Paris."), *[(k, f"filler{k} words{k} of{k} others{k}? Answer: none{k}") for k in range(3, 30)]], "item_id long, text string")
+    texts = [f"{whale} Melville", f"{whale} A: Melville", f"So: {whale}\nAnswer: melville!", f"{paris} Answer: Paris.", f"{paris} paris", whale, f"{whale} Paris", f"{paris} {'other words between ' * 20} Paris"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.leaks(docs, bench).collect()) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_a_long_item_does_not_widen_others(spark):
+    rng = random.Random(4)
+    draw = lambda n: " ".join(f"v{rng.randint(0, 900)}" for _ in range(n))
+    items = [(k, f"{draw(12)}? Answer: {draw(4)}") for k in range(20)]
+    long = (99, f"{draw(3000)}? Answer: {draw(40)}")
+    docs = [(k, f"{draw(300)} {t} {draw(300)}") for k, t in [*items, long]]
+    alone, whole = (next(dc.indexes(spark.createDataFrame(some, "item_id long, text string"), "item_id", "text")) for some in (items, [*items, long]))
+    assert [i.window for i in whole] == [alone[0].window, 3040] and alone[0].window == 64
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in dc.leaks(df, spark.createDataFrame([*items, long], "item_id long, text string")).collect()} == {(d, d) for d, _ in docs}
+
+
+def test_rows_go_by_their_own_text_whatever_their_columns(spark):
+    items = [(k, f"alpha{k} beta{k} gamma{k} delta{k}? epsilon{k} zeta{k}") for k in range(7)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, items[0][1], 5), (1, "clean text", 6), (None, items[3][1], 7), (None, None, 8), (None, "", 9)]
+    for name in ("__id", "held", "item_id", "t", "i"):
+        kept = dc.without_leaks(spark.createDataFrame(rows, f"doc_id long, text string, {name} int"), bench)
+        assert kept.columns == ["doc_id", "text", name] and sorted(r[name] for r in kept.collect()) == [6, 8, 9]
