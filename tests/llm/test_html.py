@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -80,3 +81,77 @@ def test_rows(spark, sf):
     assert len(got) == 3 and all(r["n_chars"] == len(r["text"]) for r in got) and [r["n_chars"] for r in got if r["page_id"] is None] == [0]
     assert hx.extract(df.limit(0)).collect() == []
     assert hx.op3_html_extraction(spark, sf).where("n_chars > 0").count() == spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL").count()
+
+
+LINKS = "<div><a href=/>Home</a></div><div><a href=/b>About us</a></div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article class='post-share'><p>{PROSE}</p></article>", PROSE),
+        (f"<article><h2 class='section-header'>Part one</h2><p>{PROSE}</p></article>", f"Part one {PROSE}"),
+        (f"<div><h1>News</h1><p>{PROSE * 3}</p></div>", f"News {PROSE * 3}"),
+        (f"{LINKS}<div><h1>News</h1><p>{PROSE}</p><p>Short one</p><p>{PROSE}</p></div>{LINKS}", f"News {PROSE}Short one {PROSE}"),
+        (f"<article><p>Ok</p></article><footer><p>{PROSE * 9}</p><p>{PROSE * 9}</p></footer>", "Ok"),
+        (f"<article><p>{PROSE}</p></article><ol class=comments><li><article class=comment><p>{PROSE * 9}</p></article></ol>", PROSE),
+        (f"<form id=all><div>{LINKS}</div><div><p>{PROSE * 3}</p></div></form>", PROSE * 3),
+        (f"<main><header><h1>Title</h1></header><p>{PROSE}</p><aside>{PROSE}</aside><p>End</p></main><header>{PROSE}</header>", f"Title {PROSE}End"),
+        ("<article><p>a​b\x00c   d</p></article>", "a​b\x00c d"),
+        (f"<article><p title='a > b'>{PROSE}</p><p data-x=\"<p>no</p>\" class=x>{PROSE}</p></article>", PROSE * 2),
+        (f"<article><p>{PROSE}<a href='x>y</a></p><p>{PROSE}</p></article>", f"{PROSE}y {PROSE}"),
+    ],
+)
+def test_names_and_neighbours(page, want):
+    assert " ".join(hx.main_text(page).split(" ")) == want.strip()
+
+
+def small_page(rng):
+    """Nested elements, with or without a meaning, around texts of all kinds."""
+    inner = lambda depth: "".join(
+        f"<{tag}{rng.choice(['', '', ' class=ad', ' class=content', ' class=more'])}>{inner(depth + 1) if depth < 3 and rng.random() < 0.6 else rng.choice(['Short', 'Ok.', PROSE, '<a href=x>Link text</a>', PROSE * 3])}</{tag}>"
+        for tag in rng.choices(["div", "p", "section", "nav", "article", "h2", "ul", "footer"], k=rng.randint(1, 3))
+    )
+    return inner(0)
+
+
+def test_labels_have_the_least_cost_on_small_pages():
+    rng = random.Random(6)
+    tried = changed = 0
+    while tried < 150:
+        blocks, elements = hx.parsed(page := small_page(rng))
+        unary, edges = hx.graph(blocks, elements)
+        if not 1 <= len(unary) <= 12:
+            continue
+        tried += 1
+        every = {x: cost(x, unary, edges) for x in itertools.product((False, True), repeat=len(unary))}
+        best = min(every.values())
+        # Texts of all labellings of least cost: ties may go either way.
+        texts = {" ".join(b.text for b, keep in zip(blocks, x, strict=False) if keep) for x, c in every.items() if c < best + 1e-9}
+        assert hx.main_text(page) in texts
+        changed += all((u > 0) != hx.min_cut(unary, edges)[k] for k, u in enumerate(unary[:1]))
+    assert changed > 10
+
+
+def test_the_cut_decides(spark, sf, monkeypatch):
+    """Neighbours change labels on the tables' pages, and pages without telling elements reach the maximum flow."""
+    changed = n = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").where("html IS NOT NULL").collect():
+        blocks, elements = hx.parsed(r["html"])
+        unary, edges = hx.graph(blocks, elements)
+        changed += sum((u > 0) != keep for u, keep in zip(unary[: len(blocks)], hx.min_cut(unary, edges), strict=False))
+        n += len(blocks)
+    assert n / 20 < changed < n / 2
+    flows = []
+    real = hx.max_flow
+    monkeypatch.setattr(hx, "max_flow", lambda theta, edges: flows.append(len(theta)) or real(theta, edges))
+    page = "<div>" + "".join(f"<div><h3>Head {k}</h3><p>{PROSE}</p><p>Few words</p></div>{LINKS}" for k in range(50)) + "</div>"
+    text = hx.main_text(page)
+    assert flows and max(flows) > 50 and text.count(PROSE.strip()) == 50 and text.count("Few words") == 50 and "About us" not in text
+
+
+@pytest.mark.parametrize("piece", ["<a b='", "<p ", "<a b='x'", "<!--", "<!", "</script ", "<script>x", "<svg>", "<b>", "</i>", "<div>", "<p>x", "<li>x", "<div><p>x y.</p>", "&", "<a href=\"x>"])
+def test_hostile_pages_take_linear_time(piece):
+    began = time.perf_counter()
+    hx.main_text("<article><p>" + PROSE + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20
