@@ -2,13 +2,16 @@
 
 A candidate is a run of token characters. Its character class (hex, letters, mixed) gives the entropy that a window
 must reach. The counts of a window follow from those of the one before: one character leaves, one enters, and the
-sum of c*log2(c) changes by two table entries. The table is in whole millionths, so that the sums are exact.
+sum of c*log2(c) changes by two table entries. Counts are packed into a few numbers, so that a step costs the same
+whatever the candidate's length; long candidates are looked at in pieces that overlap by a window less one character.
+The table is in whole millionths, so that the sums are exact.
 Candidates on the allow-list (placeholders, alphabets, identifiers that are no secrets) are suppressed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,10 @@ CLASS_PATTERN = {"hex": "^([0-9a-f]+|[0-9A-F]+)$", "letters": "^([a-z]+|[A-Z]+|[
 ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|lorem|x{6}|abcdefgh|0123456789|1234567890|qwerty|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[-_=+/]+$|^[0-9_/=+-]+$"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_letters", "entropy_mixed")
 MICRO = [round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 2)]
+#: Windows of a candidate that are counted in one go; matches whose places are summed up in one go, at least.
+PIECE, BLOCK = 256, 64
+#: A count is at most WINDOW: so many bits; counts of so many characters are in one number.
+COUNT_BITS, PACKED = WINDOW.bit_length(), 60 // WINDOW.bit_length()
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -36,22 +43,34 @@ def most(cls: str) -> int:
     return math.floor(WINDOW * (math.log2(WINDOW) - BITS[cls]) * 1e6)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points: the matches and the pieces between them alternate."""
+    """array<struct<start, end, value>> of all matches, in code points: the matches and the pieces between them alternate.
+
+    Places are prefix sums of lengths, within blocks of the square root of the number of matches, and over the blocks.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    start = lambda acc, x: acc["at"] + F.length(x["piece"])
     none = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)")
-    fold = F.aggregate(
-        F.arrays_zip(pieces.alias("piece"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(
-            F.struct(
-                (start(acc, x) + F.length(x["value"])).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("spans"),
-            )
-        ),
-        lambda acc: acc["spans"],
-    )
+    length = lambda x: F.length(x["piece"]) + F.coalesce(F.length(x["value"]), F.lit(0))
+
+    def folded(rows: Column, at: Column) -> Column:
+        start = lambda acc, x: acc["at"] + F.length(x["piece"])
+        end = lambda acc, x: acc["at"] + length(x)
+        span = lambda acc, x: F.struct(start(acc, x).alias("start"), end(acc, x).alias("end"), x["value"].alias("value"))
+        step = lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(F.struct(end(acc, x).alias("at"), F.concat(acc["spans"], F.array(span(acc, x))).alias("spans")))
+        return F.aggregate(rows, F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+
+    def of_blocks(rows: Column) -> Column:
+        size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(rows))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / size).cast("int")), lambda k: F.slice(rows, k * size + 1, size))
+        ends = lambda own: F.aggregate(own, F.array(F.lit(0)), lambda acc, rows: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(rows, F.lit(0), lambda n, x: n + length(x)))))
+        return let(blocks, lambda own: F.flatten(F.zip_with(own, F.slice(ends(own), 1, F.size(own)), folded)))
+
+    fold = let(F.arrays_zip(pieces.alias("piece"), found.alias("value")), lambda rows: F.when(F.size(rows) <= BLOCK, folded(rows, F.lit(0))).otherwise(of_blocks(rows)))
     return F.when(text.rlike(pattern), fold).otherwise(none)
 
 
@@ -60,24 +79,38 @@ def char_class(value: Column) -> Column:
 
 
 def entropy_range(value: Column, limit: Column) -> Column:
-    """struct<first, last>: the first and last window starts of which the entropy reaches the class's bits, else nulls."""
-    table = F.array(*[F.lit(m) for m in MICRO])
-    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
+    """struct<first, last>: the first and last window starts of which the entropy reaches the class's bits, else nulls.
 
-    def step(acc: Column, i: Column) -> Column:
-        enter, leave = F.element_at(acc["codes"], i), F.when(i > WINDOW, F.element_at(acc["codes"], F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0))
-        c_in = F.element_at(acc["counts"], enter) - (leave == enter).cast("int")
-        c_out = F.when(leave > 0, F.element_at(acc["counts"], F.greatest(leave, F.lit(1)))).otherwise(F.lit(0))
+    A step adds the character that enters to the packed counts and takes away the one that leaves (0: none, yet).
+    """
+    table = F.array(*[F.lit(m) for m in MICRO])
+    words = -(-(len(ALPHABET) + 1) // PACKED)
+    names = [f"p{k}" for k in range(words)]
+    one = lambda code: F.when(code > 0, F.call_function("shiftleft", F.lit(1).cast("long"), code % PACKED * COUNT_BITS)).otherwise(F.lit(0).cast("long"))
+    held = lambda acc, code: F.call_function("shiftright", F.element_at(F.array(*[acc[n] for n in names]), F.floor(code / PACKED).cast("int") + 1), code % PACKED * COUNT_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        enter, leave = x["enter"], x["leave"]
+        c_out = held(acc, leave)
+        c_in = held(acc, enter) - (leave == enter).cast("int")
         gone = F.when(leave > 0, F.element_at(table, c_out) - F.element_at(table, c_out + 1)).otherwise(F.lit(0))
         total = acc["sum"] + gone + F.element_at(table, c_in + 2) - F.element_at(table, c_in + 1)
-        counts = F.transform(acc["counts"], lambda c, k: c + (k + 1 == enter).cast("int") - (k + 1 == leave).cast("int"))
-        hit = (i >= WINDOW) & (total <= limit)
-        at = i - WINDOW
-        return F.struct(acc["codes"].alias("codes"), counts.alias("counts"), total.alias("sum"), F.when(hit & acc["first"].isNull(), at).otherwise(acc["first"]).alias("first"), F.when(hit, at).otherwise(acc["last"]).alias("last"))
-
-    none = F.lit(None).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.struct(codes.alias("codes"), zero.alias("counts"), F.lit(0).alias("sum"), none.alias("first"), none.alias("last")), step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+        in_word = lambda code, k: (code >= k * PACKED) & (code < (k + 1) * PACKED)
+        packed = [(acc[n] + F.when(in_word(enter, k), one(enter)).otherwise(F.lit(0)) - F.when(in_word(leave, k), one(leave)).otherwise(F.lit(0))).alias(n) for k, n in enumerate(names)]
+        hit = (acc["at"] >= 0) & (total <= limit)
+        return F.struct(*packed, total.alias("sum"), (acc["at"] + 1).alias("at"), F.when(hit & acc["first"].isNull(), acc["at"]).otherwise(acc["first"]).alias("first"), F.when(hit, acc["at"]).otherwise(acc["last"]).alias("last"))
+
+    def of_piece(piece: Column) -> Column:
+        codes = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+        none = F.lit(None).cast("int")
+        begin = F.struct(*[F.lit(0).cast("long").alias(n) for n in names], F.lit(0).alias("sum"), F.lit(1 - WINDOW).alias("at"), none.alias("first"), none.alias("last"))
+        moves = let(codes, lambda own: F.zip_with(own, F.slice(F.concat(F.array_repeat(F.lit(0), WINDOW), own), 1, F.size(own)), lambda a, b: F.struct(a.alias("enter"), b.alias("leave"))))
+        return F.aggregate(moves, begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    cut = F.regexp_extract_all(value, F.lit(f"(.{{1,{PIECE}}})"), F.lit(1))
+    pieces = let(cut, lambda own: F.zip_with(own, F.slice(F.concat(own, F.array(F.lit(""))), 2, F.size(own)), lambda a, b: F.concat(a, F.left(b, F.lit(WINDOW - 1)))))
+    ranges = F.transform(pieces, lambda p, k: F.transform(F.array(of_piece(p)), lambda r: F.struct((r["first"] + k * PIECE).alias("first"), (r["last"] + k * PIECE).alias("last")))[0])
+    return let(ranges, lambda rs: F.struct(F.array_min(F.transform(rs, lambda r: r["first"])).alias("first"), F.array_max(F.transform(rs, lambda r: r["last"])).alias("last")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

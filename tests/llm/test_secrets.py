@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from fathom.llm import secrets
 
@@ -62,3 +63,29 @@ def test_empty(spark):
 def test_native(spark, sf):
     plan = secrets.op1_secret_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Exchange"))
+
+
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(9)
+    word = lambda n, a=ALPHA: "".join(rng.choice(a) for _ in range(n))
+    flat = lambda n: "Ab1-" * (n // 4)
+    texts = [
+        word(20 + secrets.PIECE), flat(5000) + word(30) + flat(5000), flat(300) + word(secrets.PIECE + 1), word(5000), "x " + flat(secrets.PIECE * 3 - 10) + word(40), flat(4000),
+        *[flat(secrets.PIECE * 2 + k) + word(25) for k in range(-24, 24, 7)], " ".join(word(16, "0123456789abcdef") for _ in range(1000)), "é " * 300 + "😀, ".join("token=" + word(12) for _ in range(700)),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in secrets.digest(secrets.scan(df)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == digest_of(brute(t)), k
+
+
+def test_a_candidate_of_a_megabyte_takes_linear_time(spark):
+    rng = random.Random(10)
+    seconds = []
+    for n in (125_000, 1_000_000):
+        df = spark.createDataFrame([(1, "".join(rng.choices(ALPHA, k=n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        row = secrets.digest(secrets.scan(df)).first()
+        seconds.append(time.perf_counter() - began)
+        assert row["spans"].split(",")[-1].startswith("entropy_mixed:") and row["spans"].count("entropy") == 1
+    assert seconds[1] < 60 and seconds[1] < 24 * seconds[0]
