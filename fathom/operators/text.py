@@ -63,7 +63,7 @@ class Field:
         edits, prefix, most = option.get("maxEdits", 2), option.get("prefixLength", prefix_default), option.get("maxExpansions", most)
         base = self.c.base(self.c.bases[self.path, self.analyzer.name])
         tokens = self.c.columns[self.path, self.analyzer.name]
-        found = self.c.expanded(("fuzzy", self.path, self.analyzer.name, term, edits, prefix, most), lambda: self.c.index.fuzzy_terms(tokens, term, edits, prefix, most, base))
+        found = self.c.expanded(("fuzzy", self.path, self.analyzer.name, term, edits, prefix, most), lambda: self.c.index.fuzzy_terms(tokens, term, edits, prefix, most, base, self.c.stored(self.path, self.analyzer.name)))
         return self.terms([(t, 1 - d / max(1, min(len(t), len(term)))) for t, d in found]) if found else nothing()
 
     def phrase(self, parts: list[tuple[list[str], int]], slop: int) -> Row:
@@ -307,7 +307,7 @@ def matching_terms(c: Compiler, f: Field, body: dict, q: str) -> tuple[str, obje
         o = check_fuzzy(body["fuzzy"] if isinstance(body["fuzzy"], dict) else {}, (0, 1, 2))
         edits, prefix, most = o.get("maxEdits", 2), o.get("prefixLength", 0), o.get("maxExpansions", 256)
         key = (f.path, f.analyzer.name)
-        found = c.expanded(("fuzzy", *key, term, edits, prefix, most), lambda: c.index.fuzzy_terms(c.columns[key], term, edits, prefix, most, c.base(c.bases[key])))
+        found = c.expanded(("fuzzy", *key, term, edits, prefix, most), lambda: c.index.fuzzy_terms(c.columns[key], term, edits, prefix, most, c.base(c.bases[key]), c.stored(*key)))
         return "terms", [(t, 1 - d / max(1, min(len(t), len(term)))) for t, d in found]
     return "terms", [(term, 1.0)]
 
@@ -350,7 +350,7 @@ def search(c: Compiler, scope: Scope, body: dict) -> Row:
                 continue
             head, most = terms[-1][0], o.get("maxExpansions", 50)
             key = (f.path, f.analyzer.name)
-            ends = c.expanded(("prefix", *key, head, most), lambda: c.index.expand_terms(c.columns[key], lambda t: t.startswith(head), most, c.base(c.bases[key])) if most else [])
+            ends = c.expanded(("prefix", *key, head, most), lambda: c.index.expand_terms(c.columns[key], lambda t: t.startswith(head), most, c.base(c.bases[key]), c.stored(*key)) if most else [])
             rows.append(f.phrase([*[([t], p) for t, p in terms[:-1]], (ends, terms[-1][1])], o.get("slop", 0)) if ends else nothing())
     return apply_score(c, scope, c.either(rows), body.get("score"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from fathom.functions import analysis
 from fathom.plans.definition import type_at
 from fathom.plans.errors import QueryError, need, only
-from fathom.plans.index import SearchIndex, analysed, token_column, tokens_of
+from fathom.plans.index import SearchIndex, analysed, hits_column, length_column, token_column, tokens_of
 
 if TYPE_CHECKING:
     from collections.abc import Iterable
@@ -93,14 +93,32 @@ class Compiler:
     def docs(self, hits: bool = True) -> DataFrame:
         """The index's rows with the token arrays that what was compiled so far needs and the index doesn't store.
 
-        Native steps of all of them share a generator, in which each row is analysed once. With hits, another one goes
-        once through each array for the terms that are sought: operators then look at those few places only.
+        Native steps of all of them share a generator, in which each row is analysed once. With hits, the places of the
+        terms sought come with each row: from a written index's postings by a join, which Catalyst makes an inner one
+        where no other row can match; else another generator goes once through each array. Operators look at those few places only.
         """
         df = analysed(self.index.docs, self.used)
-        found = []
+        found, posted = [], {}
         for stored, terms in self.sought.items() if hits else ():
-            found += [_places(F.col(stored), sorted(terms)).alias(hits_column(stored)), F.size(stored).alias(length_column(stored))]
-        return df.select("*", F.inline(F.array(F.struct(*found)))) if found else df
+            if self.index.posted(stored):
+                posted[stored] = terms
+            else:
+                found += [_places(F.col(stored), sorted(terms)).alias(hits_column(stored)), F.size(stored).alias(length_column(stored))]
+        if found:
+            df = df.select("*", F.inline(F.array(F.struct(*found))))
+        if not posted:
+            return df
+        places, small = self.index.hits(posted)
+        if places is not None:
+            df = df.join(F.broadcast(places) if small else places, "__docrow", "left")
+        none = F.expr("array()").cast("array<struct<term:string,pos:int>>")
+        made = {hits_column(c): F.coalesce(F.col(hits_column(c)), none) if any(posted[c]) else none for c in posted}
+        return df.withColumns(made)
+
+    def shuffled(self) -> bool:
+        """Whether the hits are too many to be broadcast, so that rows of the index are joined with them by a shuffle."""
+        posted = {c: terms for c, terms in self.sought.items() if self.index.posted(c)}
+        return bool(posted) and not self.index.hits(posted)[1]
 
     def seek(self, path: str, analyzer: analysis.Analyzer, scope: Scope, terms: Iterable[str]) -> None:
         """Says which terms of a document's field operators look for."""
@@ -207,6 +225,10 @@ class Compiler:
         self.columns[key] = F.col(stored)
         return self.columns[key]
 
+    def stored(self, path: str, analyzer: str) -> str | None:
+        """The stored token array of a document's field; none of an embedded one."""
+        return None if self.bases[path, analyzer] else token_column(path, analyzer)
+
     def terms_of(self, analyzer: analysis.Analyzer, text: str) -> list[tuple[str, int]]:
         return analyzer.analyze(self.spark, text)
 
@@ -234,14 +256,6 @@ class Compiler:
         return Row(reduce(or_, [r.match for r in rows]), sum_of([r.scored() for r in rows]), [x for r in rows for x in r.details])
 
 
-def hits_column(stored: str) -> str:
-    return stored.replace("__tok_", "__hit_", 1)
-
-
-def length_column(stored: str) -> str:
-    return stored.replace("__tok_", "__len_", 1)
-
-
 def _places(tokens: Column, terms: list[str]) -> Column:
     return F.filter(tokens, lambda t: t["term"].isin(terms))
 

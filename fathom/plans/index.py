@@ -3,14 +3,19 @@
 Analysed text is an array column beside its field, so positions, frequencies and lengths are row-local: operators
 need neither a join nor a shuffle. Statistics (document counts, lengths, document frequencies of a query's terms)
 come from one aggregation with a partial result in each task; vocabularies only where a query expands terms.
-A written index keeps the arrays in Parquet and prunes columns that a query doesn't name.
+A written index keeps the arrays in Parquet and prunes columns that a query doesn't name. Beside them it has postings
+(a row for each token, sorted by field and term), a table of terms with their counts, and the fields' totals: a query
+for terms reads only their postings, and its statistics are look-ups.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import replace
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +26,24 @@ from fathom.plans.definition import IndexDefinition, leaf_paths, type_at
 from fathom.plans.errors import need
 
 
+#: Columns that an index adds to its documents.
+OWN = ("__tok_", "__len_", "__docrow")
+#: Hits of a query that are broadcast: at most so many bytes, by the term table's counts and HIT_BYTES for each.
+BROADCAST_HITS, HIT_BYTES = 64 << 20, 64
+
+
 def token_column(path: str, analyzer: str) -> str:
     return "__tok_" + "".join(c if c.isalnum() else "_" for c in f"{path}__{analyzer}")
 
 
+def hits_column(stored: str) -> str:
+    return stored.replace("__tok_", "__hit_", 1)
+
+
+def length_column(stored: str) -> str:
+    return stored.replace("__tok_", "__len_", 1)
+
+
 class SearchIndex:
     """documents by id_col, indexed by a definition. field_names_col, if there is one, is an array of the paths that are
     present in each document: it tells explicit nulls from missing fields, which fixed schemas don't."""
@@ -41,7 +60,12 @@ class SearchIndex:
         self.spark: SparkSession = docs.sparkSession
         self.synonym_rows = synonyms or {}
         self.path: str | None = None
+        self.postings: DataFrame | None = None
+        self.terms: DataFrame | None = None
+        self.totals: DataFrame | None = None
         self._stats: dict = {}
+        self._occurrences: dict[tuple[str, str], int] = {}
+        self._frequencies: dict[tuple[str, str], int] = {}
         self._synonyms: dict[str, list] = {}
         self.ready = {c for c in docs.columns if c.startswith("__tok_")}
 
@@ -59,7 +83,7 @@ class SearchIndex:
 
     def paths(self) -> list[str]:
         every = dict.fromkeys([*self.definition.fields, *leaf_paths(self.schema)])
-        return [p for p in every if not p.startswith("__tok_")]
+        return [p for p in every if not p.startswith(OWN)]
 
     def value(self, path: str) -> Column:
         need(type_at(self.schema, path) is not None, f"no field {path}")
@@ -111,16 +135,72 @@ class SearchIndex:
         df = SearchIndex(docs, self._plain(), self.id_col, self.field_names_col, self.synonym_rows).materialized().docs
         if self.definition.sort:
             df = df.sortWithinPartitions(*[F.col(p).asc_nulls_first() if (o if isinstance(o, int) else o.get("order", 1)) == 1 else F.col(p).desc_nulls_last() for p, o in self.definition.sort.items()])
+        df = df.select("*", *[F.size(c).alias(length_column(c)) for c in df.columns if c.startswith("__tok_")], F.monotonically_increasing_id().alias("__docrow"))
         df.write.mode(mode).parquet(path)
+        self._write_postings(path)
         return SearchIndex.open(self.spark, path, self._plain(), self.id_col, self.field_names_col, self.synonym_rows)
 
+    def _write_postings(self, path: str) -> None:
+        """Below the documents, in a folder that scans of these pass over: a task writes a range of terms, and a frequent term is in several ranges."""
+        docs = self.spark.read.parquet(path)
+        stored = [c for c in docs.columns if c.startswith("__tok_")]
+        if not stored or len(docs.inputFiles()) == 0:
+            return
+        each = [docs.select(F.lit(c).alias("field"), "__docrow", F.inline(c)) for c in stored]
+        flat = reduce(DataFrame.unionByName, each).select("field", "term", "__docrow", "pos")
+        parts = max(self.spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+        flat.repartitionByRange(parts, "field", "term", "__docrow").sortWithinPartitions("field", "term", "__docrow").write.partitionBy("field").parquet(f"{path}/_postings")
+        postings = self.spark.read.parquet(f"{path}/_postings")
+        of_documents = postings.groupBy("field", "term", "__docrow").agg(F.count("*").alias("n"))
+        terms = of_documents.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+        terms.repartitionByRange(parts, "field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/_terms")
+        lengths = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(length_column(c)).cast("long").alias("length")) for c in stored]))
+        docs.select(lengths).where("length > 0").groupBy("field").agg(F.count("*").alias("n"), F.sum("length").alias("length")).coalesce(1).write.parquet(f"{path}/_totals")
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, definition: IndexDefinition | dict, id_col: str = "_id", field_names_col: str | None = None, synonyms: dict[str, DataFrame] | None = None) -> SearchIndex:
         made = cls(spark.read.parquet(path), definition, id_col, field_names_col, synonyms)
         made.path = path
-        made.schema = T.StructType([f for f in made.schema if not f.name.startswith("__tok_")])
+        made.schema = T.StructType([f for f in made.schema if not f.name.startswith(OWN)])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_totals/_SUCCESS")
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            made.postings = spark.read.schema("term string, __docrow long, pos int, field string").parquet(f"{path}/_postings")
+            made.terms = spark.read.schema("term string, df long, n long, field string").parquet(f"{path}/_terms")
+            made.totals = spark.read.schema("field string, n long, length long").parquet(f"{path}/_totals")
         return made
 
+    # Postings
+
+    def posted(self, stored: str) -> bool:
+        return self.postings is not None and stored in self.ready
+
+    def hits(self, sought: dict[str, set[str]]) -> tuple[DataFrame | None, bool]:
+        """(__docrow, a column of hits for each field) of the documents that have some of the terms, and whether it may be broadcast.
+
+        Only the terms' ranges of the postings are read; each field's hits are sorted by position, as they are in the document.
+        """
+        named = {c: sorted(t for t in terms if t) for c, terms in sought.items() if any(terms)}
+        if not named:
+            return None, True
+        self.load_terms({(c, t) for c, terms in named.items() for t in terms})
+        n = sum(self._occurrences[c, t] for c, terms in named.items() for t in terms)
+        some = self.postings.where(reduce(or_, [(F.col("field") == c) & F.col("term").isin(terms) for c, terms in named.items()]))
+        place = F.struct("pos", "term")
+        sorted_hits = [F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == c, place) if len(named) > 1 else place)), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))).alias(hits_column(c)) for c in named]
+        return some.groupBy("__docrow").agg(*sorted_hits), n * HIT_BYTES <= BROADCAST_HITS
+
+    def load_terms(self, wanted: set[tuple[str, str]]) -> None:
+        """Document frequency and occurrences of (field, term): a look-up in the sorted table of terms."""
+        missing = {w for w in wanted if w not in self._occurrences}
+        if missing:
+            by_field: dict[str, list[str]] = defaultdict(list)
+            for c, t in sorted(missing):
+                by_field[c].append(t)
+            rows = self.terms.where(reduce(or_, [(F.col("field") == c) & F.col("term").isin(ts) for c, ts in by_field.items()])).collect()
+            held = {(r["field"], r["term"]): (r["df"], r["n"]) for r in rows}
+            for w in missing:
+                self._frequencies[w], self._occurrences[w] = held.get(w, (0, 0))
+
     # Statistics
 
     def load_stats(self, wanted: set[tuple[str, str, str]], columns: dict[tuple[str, str], Column], base: DataFrame) -> None:
@@ -130,6 +210,13 @@ class SearchIndex:
         its length; each task sums them before anything is shuffled.
         """
         missing = {w for w in wanted if w not in self._stats}
+        posted = {w for w in missing if self.posted(token_column(*w[:2]))}
+        if posted:
+            self.load_terms({(token_column(p, a), t) for p, a, t in posted if t})
+            totals = {r["field"]: (r["n"], r["length"]) for r in self.totals.collect()}  # a row for each field of the definition
+            for p, a, t in posted:
+                self._stats[p, a, t] = self._frequencies[token_column(p, a), t] if t else totals.get(token_column(p, a), (0, 0))
+        missing -= posted
         if not missing:
             return
         by_field: dict[tuple[str, str], list[str]] = defaultdict(list)
@@ -161,12 +248,14 @@ class SearchIndex:
     def df(self, path: str, analyzer: str, term: str) -> int:
         return self._stats[path, analyzer, term]
 
-    def vocabulary(self, tokens: Column, condition, base: DataFrame) -> DataFrame:
-        """(term, df) of the distinct terms that fulfil condition(Column): pruned within the rows, counted with a partial aggregation."""
+    def vocabulary(self, tokens: Column, condition, base: DataFrame, stored: str | None = None) -> DataFrame:
+        """(term, df) of the distinct terms that fulfil condition(Column): from the table of terms, else pruned within the rows and counted with a partial aggregation."""
+        if stored and self.posted(stored):
+            return self.terms.where((F.col("field") == stored) & condition(F.col("term"))).select("term", "df")
         distinct = F.array_distinct(F.transform(F.filter(tokens, lambda t: condition(t["term"])), lambda t: t["term"]))
         return base.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-    def fuzzy_terms(self, tokens: Column, term: str, edits: int, prefix: int, most: int | None, base: DataFrame) -> list[tuple[str, int]]:
+    def fuzzy_terms(self, tokens: Column, term: str, edits: int, prefix: int, most: int | None, base: DataFrame, stored: str | None = None) -> list[tuple[str, int]]:
         """Terms of the vocabulary within `edits` of a term, with their distance: nearest first, then in order, at most `most` (a limit of the query).
 
         A swap of neighbours counts once, which plain edit distance counts twice: twice the edits is the filter in
@@ -175,13 +264,13 @@ class SearchIndex:
         head = term[:prefix]
         near = lambda t: F.length(t).between(len(term) - edits, len(term) + edits) & (F.levenshtein(t, F.lit(term), 2 * edits) >= 0)
         condition = (lambda t: t.startswith(head) & near(t)) if head else near
-        exact = F.udf(lambda t: osa(t, term, edits), "int")
-        found = self.vocabulary(tokens, condition, base).withColumn("d", exact("term")).where(F.col("d") <= edits).orderBy("d", "term")
+        exact = F.arrow_udf(lambda ts: pa.array([osa(t, term, edits) for t in ts.to_pylist()], pa.int32()), "int")
+        found = self.vocabulary(tokens, condition, base, stored).withColumn("d", exact("term")).where(F.col("d") <= edits).orderBy("d", "term")
         return [(r["term"], r["d"]) for r in (found.limit(most) if most is not None else found).collect()]
 
-    def expand_terms(self, tokens: Column, condition, most: int | None, base: DataFrame) -> list[str]:
+    def expand_terms(self, tokens: Column, condition, most: int | None, base: DataFrame, stored: str | None = None) -> list[str]:
         """Terms that fulfil a condition, in order, at most `most`."""
-        found = self.vocabulary(tokens, condition, base).select("term").orderBy("term")
+        found = self.vocabulary(tokens, condition, base, stored).select("term").orderBy("term")
         return [r["term"] for r in (found.limit(most) if most is not None else found).collect()]
 
     # Synonyms

@@ -18,6 +18,8 @@ from fathom.plans.definition import leaf_paths, type_at
 from fathom.plans.errors import need, only
 from fathom.plans.index import SearchIndex
 
+#: Hits that are found first and fetched then, where hits of terms are shuffled.
+MOST_FETCHED = 10_000
 OPTIONS = "index count highlight concurrent sort sortBetaV1 returnStoredSource returnScope scoreDetails searchAfter searchBefore tracking searchNodePreference limit facet"
 
 
@@ -138,9 +140,12 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
         df = sorting.after(df, keys, ident, token, inverted)
     limit = query.get("limit", 10)
     df = sorting.ordered(df, keys, ident, inverted).limit(limit) if limit is not None else sorting.ordered(df, keys, ident, inverted)
+    extra = ["__score", *(["__details"] if query.get("scoreDetails") else [])]
+    if limit is not None and limit <= MOST_FETCHED and c.shuffled():
+        # Whole documents aren't shuffled to find a few of them: only what the query looks at is; those found are then fetched.
+        df = sorting.ordered(index.docs.join(F.broadcast(df.select("__docrow", *extra)), "__docrow"), keys, ident, inverted)
     if inverted:
         df = sorting.ordered(df, keys, ident)
-    extra = ["__score", *(["__details"] if query.get("scoreDetails") else [])]
     columns = [F.col(x) for x in extra]
     columns.append(sorting.token_column(keys, ident).alias("__token"))
     if query.get("sort") or query.get("sortBetaV1"):
