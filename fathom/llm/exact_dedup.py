@@ -1,22 +1,25 @@
 """Exact dedup by an extendible-hash index on shared files; DataFrame functions only.
 
-A document's entry is the 64-bit hash of its normalised text. The entries of equal hashes are pre-aggregated, a
-directory of hash prefixes is doubled until no bucket of distinct hashes is overfull, and the entries are written
-as files sorted by hash, where each task owns a range of buckets. An entry of several documents is a chain that
+A document's entry is the 64-bit hash of its normalised text. The entries of equal hashes are pre-aggregated, and a
+directory of hash prefixes is doubled until no bucket of distinct hashes is overfull. The index is written by
+bucket: a task owns the buckets that fall to it, and each row goes to the owner of its hash's bucket, where it meets
+the entry (rows of hot hashes excepted, whose entries go to the rows). An entry of several documents is a chain that
 may hold collisions: there, and only there, the whole texts are compared, byte by byte.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import WHITE, lookup, work_dir, words_of, written
+from fathom.llm.shared import HOT_SHARE, WHITE, lookup, parts_for, words_of, written
 
 #: Distinct hashes a bucket holds before it is split.
 BUCKET = 65_536
-#: Depth at which the directory starts, and the most it may be doubled to: its 2**DEEPEST counters stay a bounded table.
+#: Depth at which the directory starts at least, and the most it may be doubled to: its 2**DEEPEST counters stay a bounded table.
 SHALLOWEST, DEEPEST = 4, 18
+#: The directory starts with so many buckets for each owner, as they are dealt out by hash; an owner's input.
+BUCKETS_EACH, OWNER_MB = 8, 64
 #: Up to so many chained hashes (of 8 bytes) are broadcast; more go through a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -31,31 +34,50 @@ def hashed(text: Column, key_bits: int) -> Column:
     return key if key_bits == 64 else F.shiftleft(key, 64 - key_bits)
 
 
-def directory(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def prefix_of(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - DEEPEST)
+
+
+def directory(entries: DataFrame, bucket: int = BUCKET, least: int = SHALLOWEST) -> DataFrame:
     """(prefix, depth, bucket): the leaf of each of the deepest prefixes in use.
 
-    A prefix starts at SHALLOWEST bits; while more than `bucket` distinct hashes share it, the directory doubles and
-    it is split in two. The last depth keeps what it gets: then a bucket is large, but no key is lost.
+    A prefix starts at `least` bits; while more than `bucket` distinct hashes share it, the directory doubles and
+    it is split in two: a leaf is one bit deeper for each overfull prefix above it. The last depth keeps what it gets:
+    then a bucket is large, but no key is lost. All depths come from one table of 2**DEEPEST counters at most.
+    """
+    counts = written(entries.groupBy(prefix_of(F.col("key")).alias("prefix")).agg(F.count("*").alias("n")), "hash-counts")
+    above = counts.select("prefix", "n", F.explode(F.sequence(F.lit(least), F.lit(max(least, DEEPEST - 1)))).alias("d")).withColumn("p", F.expr(f"shiftright(prefix, {DEEPEST} - d)"))
+    overfull = above.groupBy("d", "p").agg(F.sum("n").alias("held")).where(F.col("held") > bucket).select("d", "p")
+    deeper = above.join(F.broadcast(overfull), ["d", "p"], "left_semi").groupBy("prefix").agg(F.count("*").alias("doublings"))  # 2**DEEPEST rows at most
+    leaves = counts.join(F.broadcast(deeper), "prefix", "left").select("prefix", F.least(F.lit(DEEPEST), F.lit(least) + F.coalesce("doublings", F.lit(0))).cast("int").alias("depth"))
+    return written(leaves.withColumn("bucket", F.expr(f"shiftleft(shiftright(prefix, {DEEPEST} - depth), {DEEPEST} - depth)")), "hash-directory")
+
+
+def placed(keyed: DataFrame, leaves: DataFrame) -> DataFrame:
+    """keyed(key, ...) with the bucket of each key, looked up in the directory."""
+    return keyed.withColumn("prefix", prefix_of(F.col("key"))).join(F.broadcast(leaves.select("prefix", "bucket")), "prefix").drop("prefix")
+
+
+def index(entries: DataFrame, leaves: DataFrame, owners: int) -> DataFrame:
+    """The entries as index files: each is an owner's buckets, sorted by hash."""
+    return written(placed(entries, leaves).repartition(owners, "bucket").sortWithinPartitions("bucket", "key"), "hash-index")
+
+
+def owned(rows: DataFrame, entries: DataFrame, leaves: DataFrame, n: int, owners: int) -> DataFrame:
+    """rows(doc_id, key, sha) with keep_id and group_size of their key's entry.
+
+    Rows and entries of a bucket meet at its owner. Fewer than HOT_SHARE keys have more than 1 / HOT_SHARE of the n
+    rows: those are broadcast to the rows, so that no owner gets a hot one.
     """
-    deep = F.shiftrightunsigned("key", 64 - DEEPEST)
-    counts = entries.groupBy(deep.alias("prefix")).agg(F.count("*").alias("n"))
-    leaves = written(counts.withColumn("depth", F.lit(SHALLOWEST)), "hash-directory")
-    for d in range(SHALLOWEST, DEEPEST):
-        at = F.shiftright("prefix", DEEPEST - d)
-        overfull = leaves.where(F.col("depth") == d).groupBy(at.alias("p")).agg(F.sum("n").alias("held")).where(F.col("held") > bucket).select("p")
-        if not overfull.limit(1).count():
-            break
-        split = leaves.withColumn("p", at).join(F.broadcast(overfull.withColumn("split", F.lit(1))), "p", "left")  # 2**DEEPEST rows at most
-        leaves = written(split.select("prefix", "n", F.when(F.col("split").isNotNull() & (F.col("depth") == d), d + 1).otherwise(F.col("depth")).alias("depth")), "hash-directory")
-    leaf = F.expr(f"shiftleft(shiftright(prefix, {DEEPEST} - depth), {DEEPEST} - depth)")
-    return leaves.select("prefix", "depth").withColumn("bucket", leaf)
-
-
-def index(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The entries as index files: each file has a range of buckets, sorted by hash."""
-    entries = entries.withColumn("prefix", F.shiftrightunsigned("key", 64 - DEEPEST))
-    placed = entries.join(F.broadcast(directory(entries, bucket)), "prefix").drop("prefix")
-    return written(placed.repartitionByRange("bucket", "key").sortWithinPartitions("key"), "hash-index")
+    bound = max(64, n // HOT_SHARE)
+    hot = entries.where(F.col("group_size") > bound).select("key", "keep_id", "group_size")
+    cold = placed(rows.join(F.broadcast(hot.select("key")), "key", "left_anti"), leaves)
+    cold = cold.select("bucket", "key", F.struct("doc_id", "sha").alias("row"), F.lit(None).cast(rows.schema["doc_id"].dataType).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    held = entries.where(F.col("group_size") <= bound).select("bucket", "key", F.lit(None).cast(cold.schema["row"].dataType).alias("row"), "keep_id", "group_size")
+    chain = Window.partitionBy("bucket", "key")
+    met = cold.unionByName(held).repartition(owners, "bucket").select("key", "row", F.max("keep_id").over(chain).alias("keep_id"), F.max("group_size").over(chain).alias("group_size"))
+    met = met.where("row IS NOT NULL").select("key", "row.doc_id", "row.sha", "keep_id", "group_size")
+    return met.unionByName(rows.join(F.broadcast(hot), "key"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, key_bits: int = 64) -> DataFrame:
@@ -70,10 +92,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = texts.withColumn("key", hashed(F.col("norm"), key_bits))
     rows = written(keyed.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("sha")), "hash-rows")
     n = rows.count()
-    entries = index(rows.groupBy("key").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"), F.first("sha").alias("one")), bucket)
+    entries = written(rows.groupBy("key").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id")), "hash-entries")
+    owners = parts_for(rows, OWNER_MB)
+    leaves = directory(entries, bucket, min(DEEPEST, max(SHALLOWEST, (BUCKETS_EACH * owners - 1).bit_length())))
+    entries = index(entries, leaves, owners)
     chained = entries.where("group_size > 1").select("key")
     n_chained = chained.count()
-    one_text = entries.select("key", "keep_id", "group_size")
+    apart = None
     if n_chained:
         chained = F.broadcast(chained) if n_chained <= BROADCAST_KEYS else chained
         # The grouping compares the bytes of the texts; a map-side pass brings the copies of each task to one row.
@@ -82,14 +107,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         collided = classes.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
         if collided.limit(1).count():
             # Rare: one hash, several texts. Rows of such chains are told apart by the digest of the compared bytes.
-            apart = rows.join(collided, "key", "left_semi")
-            apart = lookup(apart.withColumn("both", F.concat("sha", F.col("key").cast("string").cast("binary"))), "both", classes.join(collided, "key", "left_semi").select(F.concat("sha", F.col("key").cast("string").cast("binary")).alias("both"), "keep_id", "group_size"), "group_size", n).drop("both")
-            one_text, rows = one_text.join(collided, "key", "left_anti"), rows.join(collided, "key", "left_anti")
-            found = lookup(rows, "key", one_text, "group_size", n).unionByName(apart)
-        else:
-            found = lookup(rows, "key", one_text, "group_size", n)
-    else:
-        found = lookup(rows, "key", one_text, "group_size", n)
+            both = F.concat("sha", F.col("key").cast("string").cast("binary")).alias("both")
+            of_chains = classes.join(collided, "key", "left_semi").select(both, "keep_id", "group_size")
+            apart = lookup(rows.join(collided, "key", "left_semi").select("*", both), "both", of_chains, "group_size", n).drop("both")
+            entries, rows = (df.join(collided, "key", "left_anti") for df in (entries, rows))
+    found = owned(rows, entries, leaves, n, owners)
+    found = found if apart is None else found.unionByName(apart)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
