@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from html.entities import name2codepoint
 from typing import Any
 
 import pyarrow as pa
@@ -32,7 +33,8 @@ STOP: dict[str, list[str]] = {
     "german": "aber alle als also am an auch auf aus bei bin bis bist da das dass dein dem den der des die dies dir doch du durch ein eine einem einen einer eines er es für hat ich ihm ihn ihr im in ist ja kein mein mich mir mit nach nicht noch nun nur ob oder ohne sehr sein sich sie sind so um und uns unter vom von vor war was wie wir wo zu zum zur über".split(),
     "spanish": "a al algo como con de del desde donde el ella ellas ellos en entre era es esa ese esta este esto fue ha hay la las le les lo los me mi mis muy más nada ni no nos o os para pero por que se si sin sobre su sus también te tu tus un una uno y ya yo él".split(),
 }
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: A character reference: decimal, hexadecimal, or one of the names of HTML 4 (with apos), each with or without its semicolon.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});?"
 FOLD_FROM = "ÀÁÂÃÄÅàáâãäåĀāĂăĄąÇçĆćČčĎďÈÉÊËèéêëĒēĖėĘęĚěÌÍÎÏìíîïĪīĮįİıŁłÑñŃńŇňÒÓÔÕÖØòóôõöøŌōŐőŔŕŘřŚśŞşŠšŢţŤťÙÚÛÜùúûüŪūŮůŰűŲųÝýÿŸŹźŻżŽž"
 FOLD_TO = "AAAAAAaaaaaaAaAaAaCcCcCcDdEEEEeeeeEeEeEeEeIIIIiiiiIiIiIiLlNnNnNnOOOOOOooooooOoOoRrRrSsSsSsTtTtUUUUuuuuUuUuUuUuYyyYZzZzZz"
 FOLD_MORE = [("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe"), ("ß", "ss"), ("ẞ", "SS"), ("Þ", "TH"), ("þ", "th"), ("Đ", "D"), ("đ", "d"), ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-")]
@@ -66,9 +68,9 @@ def _delimited(options: dict) -> Callable[[Tokens], Tokens]:
     def run(tokens: Tokens) -> Tokens:
         out, shift = [], 0
         for t, p in tokens:
-            parts = stemming.word_delimiter(t, options)
-            out += [(x, p + shift + k) for k, x in enumerate(parts)]
-            shift += max(0, len(parts) - 1)
+            placed = stemming.word_delimiter(t, options)
+            out += [(x, p + shift + k) for x, k in placed]
+            shift += max((k for _, k in placed), default=0)
         return out
 
     return run
@@ -131,11 +133,14 @@ def _char_filter(definition: dict) -> Callable[[Column], Column]:
     if kind == "htmlStrip":
         kept = "|".join(definition.get("ignoredTags", []))
         tag = rf"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?(?!(?:{kept})\b)[a-zA-Z!][^>]*>" if kept else r"(?s)<!--.*?-->|<(script|style)\b.*?</\1\s*>|</?[a-zA-Z!][^>]*>"
-        return lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), HTML_ENTITIES, F.regexp_replace(c, tag, " "))
+        return lambda c: _replaced(F.regexp_replace(c, tag, " "), REFERENCE, _referred)
     if kind == "mapping":
-        # Longest first, in one pass per mapping; a mapping's result isn't mapped again when keys don't occur in values.
-        pairs = sorted(definition["mappings"].items(), key=lambda p: -len(p[0]))
-        return lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+        # The longest key that matches at a place, in one pass: what stands for it isn't mapped again.
+        pairs = {k: v for k, v in sorted(definition["mappings"].items(), key=lambda p: -len(p[0])) if k}
+        if not pairs:
+            return lambda c: c
+        table = F.create_map(*[F.lit(x) for p in pairs.items() for x in p])
+        return lambda c: _replaced(c, "|".join(_quoted(k) for k in pairs), lambda found: F.element_at(table, found))
     if kind == "persian":
         return lambda c: F.translate(c, "‌", " ")
     if kind == "icuNormalize":
@@ -143,6 +148,28 @@ def _char_filter(definition: dict) -> Callable[[Column], Column]:
     raise ValueError(f"unknown char filter {kind}")
 
 
+def _quoted(text: str) -> str:
+    """text as a Java pattern of itself."""
+    return "".join(ch if ch.isalnum() else f"\\x{{{ord(ch):x}}}" for ch in text)
+
+
+def _replaced(c: Column, pattern: str, to: Callable[[Column], Column]) -> Column:
+    """c with to(match) in the place of each match: the pieces between the matches and what stands for these alternate."""
+    pieces, found = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(pieces.alias("piece"), found.alias("found")), lambda x: F.array(x["piece"], F.when(x["found"].isNull(), "").otherwise(to(x["found"]))))), "")
+    return F.when(c.rlike(pattern), joined).otherwise(c)
+
+
+def _referred(found: Column) -> Column:
+    """The character of a reference; a name or number that stands for none stays as it is."""
+    names = name2codepoint | {"apos": 39}
+    table = F.create_map(*[F.lit(x) for p in sorted(names.items()) for x in p])
+    body = F.regexp_replace(found, "^&#?[xX]?|;$", "")
+    code = F.when(found.rlike("^&#[xX]"), F.conv(body, 16, 10).cast("long")).when(found.startswith("&#"), body.cast("long")).otherwise(F.element_at(table, body).cast("long"))
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(found)
+
+
 def _icu_text(c: Column) -> Column:
     @F.arrow_udf("string")
     def normal(x: pa.Array) -> pa.Array:
@@ -220,10 +247,12 @@ def _token_filter(definition: dict) -> Callable[[Column], Column]:
     if kind == "flattenGraph":
         return lambda tokens: tokens
     if (python := _python_filters(definition)) is not None:
-        return _udf(python)
+        kept = frozenset(definition.get("exclude", ()))
+        return _udf((lambda tokens: [x for t, p in tokens for x in ([(t, p)] if t in kept else python([(t, p)]))]) if kept else python)
     raise ValueError(f"unknown token filter {kind}")
 
 
+STEMMERS = frozenset("porterStemming kStemming englishMinimalStemming spanishPluralStemming stempel snowballStemming".split())
 PYTHON_FILTERS = frozenset("icuFolding icuNormalizer porterStemming kStemming englishMinimalStemming spanishPluralStemming stempel snowballStemming daitchMokotoffSoundex wordDelimiterGraph".split())
 
 
@@ -307,12 +336,13 @@ class Analyzer:
 
     def normal(self, spark: SparkSession, text: str) -> str:
         """normalized() of a query string; empty if nothing is left."""
-        return spark.createDataFrame([(text,)], "t string").select(self.normalized(F.col("t")).alias("t")).first()["t"] or ""
+        return spark.sql("SELECT * FROM VALUES (:text) AS rows(t)", {"text": text}).select(self.normalized(F.col("t")).alias("t")).first()["t"] or ""
 
     def analyze(self, spark: SparkSession, text: str) -> Tokens:
         """The same analysis of a query string."""
         if text not in self._cache:
-            rows = spark.range(1).select(self.tokens(F.lit(text)).alias("tokens")) if self.native else self.added(spark.createDataFrame([(text,)], "t string"), F.col("t"), "tokens")
+            # Rows of a VALUES clause are analysed by the optimizer, without a job.
+            rows = spark.sql("SELECT * FROM VALUES (:text) AS rows(t)", {"text": text}).select(self.tokens(F.col("t")).alias("tokens")) if self.native else self.added(spark.createDataFrame([(text,)], "t string"), F.col("t"), "tokens")
             self._cache[text] = [(t["term"], t["pos"]) for t in rows.first()["tokens"]]
         return self._cache[text]
 
@@ -348,6 +378,8 @@ def custom(definition: dict[str, Any]) -> Analyzer:
             filters = [f for f in filters if f["type"] != "stopword"]
             at = next((k for k, f in enumerate(filters) if f["type"] not in ("englishPossessive", "lowercase")), len(filters))
             filters.insert(at, {"type": "stopword", "tokens": definition["stopwords"], "ignoreCase": definition.get("ignoreCase", True)})
+        if definition.get("stemExclusionSet"):
+            filters = [f | {"exclude": list(definition["stemExclusionSet"])} if f["type"] in STEMMERS else f for f in filters]
         if definition.get("maxTokenLength"):
             return Analyzer(definition["name"], base.tokenizer | {"maxTokenLength": definition["maxTokenLength"]}, base.char_filters, tuple(filters))
         return Analyzer(definition["name"], base.tokenizer, base.char_filters, tuple(filters))

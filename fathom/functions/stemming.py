@@ -184,29 +184,25 @@ def daitch_mokotoff(w: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys((c + "000000")[:6] for c, _ in codes))
 
 
-def word_delimiter(term: str, options: dict) -> list[str]:
-    """Parts of a term at delimiters, changes of case and between letters and digits; catenations; the original."""
+def word_delimiter(term: str, options: dict) -> list[tuple[str, int]]:
+    """Parts of a term at delimiters, changes of case and between letters and digits, with their places from 0 on; catenations and the original stand where they begin."""
     on = lambda name, default: options.get(name, default)
     if term in set(options.get("protectedWords", ())):
-        return [term]
+        return [(term, 0)]
     text = re.sub(r"['’][sS]$", "", term) if on("stemEnglishPossessive", True) else term
-    pattern = r"[^\W_]+"
-    runs = re.findall(pattern, text)
     parts: list[str] = []
-    for r in runs:
+    for r in re.findall(r"[^\W_]+", text):
         cuts = r
         if on("splitOnCaseChange", True):
             cuts = re.sub(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])", "\x00", cuts)
         if on("splitOnNumerics", True):
             cuts = re.sub(r"(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])", "\x00", cuts)
         parts += cuts.split("\x00")
-    out = [term] if on("preserveOriginal", False) and parts != [term] else []
-    out += [p for p in parts if (on("generateNumberParts", True) if p.isdigit() else on("generateWordParts", True))]
-    words, numbers = [p for p in parts if not p.isdigit()], [p for p in parts if p.isdigit()]
-    if on("concatenateWords", False) and len(words) > 1:
-        out.append("".join(words))
-    if on("concatenateNumbers", False) and len(numbers) > 1:
-        out.append("".join(numbers))
-    if on("concatenateAll", False) and len(parts) > 1:
-        out.append("".join(parts))
-    return list(dict.fromkeys(out))
+    out = [(term, 0)] if on("preserveOriginal", False) and parts != [term] else []
+    shown = [p.isdigit() and on("generateNumberParts", True) or not p.isdigit() and on("generateWordParts", True) for p in parts]
+    out += [(p, sum(shown[:k])) for k, p in enumerate(parts) if shown[k]]
+    for wanted, kind in (("concatenateWords", (False,)), ("concatenateNumbers", (True,)), ("concatenateAll", (False, True))):
+        own = [k for k, p in enumerate(parts) if p.isdigit() in kind]
+        if on(wanted, False) and len(own) > 1:
+            out.append(("".join(parts[k] for k in own), sum(shown[: own[0]])))
+    return sorted(dict.fromkeys(out), key=lambda x: x[1])

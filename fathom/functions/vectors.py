@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -112,9 +112,24 @@ def dequantized_similarity(words: Column, query: list[float], kind: str) -> Colu
     return F.arrow_udf(run, "double")(words)
 
 
-def scalar_quantized(v: Column, low: float, high: float) -> Column:
-    """Seven bits for each component, between two bounds."""
-    return F.transform(v, lambda x: F.round((F.greatest(F.least(x, F.lit(high)), F.lit(low)) - F.lit(low)) / F.lit(high - low) * 127).cast("tinyint"))
+def component_bounds(docs: DataFrame, path: str) -> tuple[float, float]:
+    """The least and largest component of all vectors: one aggregation, two numbers."""
+    v = F.col(path)
+    r = docs.agg(F.min(F.array_min(v)).alias("low"), F.max(F.array_max(v)).alias("high")).first()
+    return (0.0, 1.0) if r["low"] is None else (float(r["low"]), float(r["high"]))
+
+
+def requantized(v: Column, low: float, high: float) -> Column:
+    """The vector with each component at the nearest of 128 steps between two bounds: what seven bits for each keep of it."""
+    width = (high - low) / 127 or 1.0
+
+    def run(x: pa.Array) -> pa.Array:
+        steps = np.floor((x.flatten().to_numpy(zero_copy_only=False).astype(np.float64) - low) / width + 0.5)
+        sizes = np.asarray(x.value_lengths().fill_null(0))
+        at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(low + steps * width), mask=x.is_null() if x.null_count else None)
+
+    return F.arrow_udf(run, "array<double>")(v)
 
 
 def hash_embedding(text: str, dims: int = 64) -> list[float]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -49,10 +50,18 @@ class Field:
             return sum_of([scores.stable_tfl(t, freq, self.length) for t in terms])
         return scores.bm25(math.fsum(scores.idf(n, dfs[t] if df is None else df) for t in terms), freq, self.length, mean)
 
+    def parts(self, terms: list[str], freq: Column, df: int | None = None) -> dict[str, Column]:
+        """What the score of `freq` occurrences is made of."""
+        n, mean, dfs = self.c.counts(self.path, self.analyzer.name, terms)
+        if self.similarity != "bm25":
+            return {"freq": freq}
+        idf = math.fsum(scores.idf(n, dfs[t] if df is None else df) for t in terms)
+        return {"idf": F.lit(idf), "tf": scores.bm25(1.0, freq, self.length, mean), "freq": freq, "dl": self.length, "avgdl": F.lit(mean)}
+
     def term(self, term: str, boost: float = 1.0, df: int | None = None) -> Row:
         freq = F.size(self.places([term]))
         score = self.weighed([term], freq, df)
-        return Row(freq > 0, score * boost if boost != 1 else score, [(f"{self.path}:{term}", score)])
+        return Row(freq > 0, score * boost if boost != 1 else score, [(f"{self.path}:{term}", score, self.parts([term], freq, df))])
 
     def terms(self, found: list[tuple[str, float]]) -> Row:
         """Any of some terms, each with its factor; rare ones don't outweigh common ones: all have the largest document frequency."""
@@ -78,19 +87,43 @@ class Field:
                 starts = F.array_intersect(starts, other)
             freq = F.size(starts)
         else:
-            freq = let(F.array(*shifted), lambda own: _sloppy(own, slop))
+            freq = let(F.array(*shifted), lambda own: _sloppy(own, slop, same_terms(parts)))
         terms = [t for ts, _ in parts for t in ts]
         score = self.weighed(terms, freq)
-        return Row(freq > 0, score, [(f'{self.path}:"{" ".join(terms)}"', score)])
+        return Row(freq > 0, score, [(f'{self.path}:"{" ".join(terms)}"', score, self.parts(terms, freq))])
 
     def _shift(self, terms: list[str], by: int) -> Column:
         return F.transform(self.places(terms), lambda t: t["pos"] - by)
 
 
-def _sloppy(places: Column, slop: int) -> Column:
-    """Sum of 1 / (1 + width) over the first places of matches: width is how far the nearest following places of all parts reach."""
-    first = F.array_distinct(F.flatten(places))
-    width = lambda v: F.array_max(F.transform(places, lambda own: F.coalesce(F.array_min(F.filter(own, lambda p: p >= v)), F.lit(1 << 30)))) - v
+def same_terms(parts: list[tuple[list[str], int]]) -> list[tuple[int, int]] | None:
+    """For each part its place in the phrase and the number of the first part with a term in common; None if no term is repeated."""
+    first = min(p for _, p in parts)
+    groups = [(p - first, next(k for k, (other, _) in enumerate(parts) if set(terms) & set(other))) for terms, p in parts]
+    return None if len({g for _, g in groups}) == len(groups) else groups
+
+
+def _sloppy(places: Column, slop: int, groups: list[tuple[int, int]] | None) -> Column:
+    """Sum of 1 / (1 + width) over the first places of matches: width is how far the nearest following places of all parts reach.
+
+    One place of the text stands for one of the parts with the same term only: each takes the nearest that is left.
+    """
+    first, far = F.array_distinct(F.flatten(places)), F.lit(1 << 30)
+    if groups is None:
+        width = lambda v: F.array_max(F.transform(places, lambda own: F.coalesce(F.array_min(F.filter(own, lambda p: p >= v)), far))) - v
+    else:
+        shape = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(g).alias("group")) for at, g in groups])
+        none = F.struct(F.lit(0).alias("reach"), F.expr("array()").cast("array<struct<group:int,pos:int>>").alias("taken"))
+
+        def step(v: Column) -> Callable[[Column, Column], Column]:
+            def take(acc: Column, x: Column) -> Column:
+                place = lambda p: F.struct(x["part"]["group"].alias("group"), (p + x["part"]["at"]).alias("pos"))
+                nearest = F.coalesce(F.array_min(F.filter(x["own"], lambda p: (p >= v) & ~F.array_contains(acc["taken"], place(p)))), far)
+                return let(nearest, lambda p: F.struct(F.greatest(acc["reach"], p - v).alias("reach"), F.concat(acc["taken"], F.array(place(p))).alias("taken")))
+
+            return take
+
+        width = lambda v: F.aggregate(F.arrays_zip(places.alias("own"), shape.alias("part")), none, step(v), lambda acc: acc["reach"])
     return F.aggregate(F.filter(F.transform(first, width), lambda w: w <= slop), F.lit(0.0), lambda acc, w: acc + F.lit(1.0) / (F.lit(1.0) + w))
 
 

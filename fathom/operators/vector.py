@@ -79,7 +79,7 @@ def vector_search(c: Compiler, body: dict, embedder: Callable | None = None) ->
     """The `limit` best documents: all columns and __score. Ties by id.
 
     Exact and plain approximate search are one scan with a top-k in each task (an exact answer has recall one). With
-    binary quantisation numCandidates come from Hamming distances, are scored against their signs, and the best
+    scalar quantisation numCandidates come from components in seven bits, and are scored in full. With binary quantisation numCandidates come from Hamming distances, are scored against their signs, and the best
     sqrt(limit * numCandidates) in full; each stage is a bounded top-k of the one before.
     """
     check(body)
@@ -116,6 +116,11 @@ def vector_search(c: Compiler, body: dict, embedder: Callable | None = None) ->
         some = slim.withColumn("__h", vectors.hamming(F.col("__w"), vectors.sign_words(q))).orderBy(F.col("__h").asc(), F.col(ident).asc()).limit(n)
         some = top(some.withColumn("__a", vectors.dequantized_similarity(F.col("__w"), q, d["similarity"])), "__a", ident, max(body["limit"], math.isqrt(body["limit"] * n)))
         hits = top(some.select(ident, vectors.similarity(F.col("__v"), q, d["similarity"]).alias("__score")).where(F.col("__score").isNotNull()), "__score", ident, body["limit"])
+    elif d["quantization"] == "scalar" and not body.get("exact") and not isinstance(q, bytes):
+        low, high = c.expanded(("bounds", path), lambda: [vectors.component_bounds(c.index.docs, path)])[0]
+        slim = df.select(ident, v.alias("__v"), vectors.similarity(vectors.requantized(v, low, high), q, d["similarity"]).alias("__a")).where(F.col("__a").isNotNull())
+        some = top(slim, "__a", ident, body["numCandidates"])
+        hits = top(some.select(ident, vectors.similarity(F.col("__v"), q, d["similarity"]).alias("__score")), "__score", ident, body["limit"])
     else:
         hits = top(df.select(ident, score_column(v, q, d["similarity"]).alias("__score")).where(F.col("__score").isNotNull()), "__score", ident, body["limit"])
     # The winners' other columns are read in a second pass, so the first reads ids, vectors and filter fields only.
@@ -132,17 +137,17 @@ def filter_column(c: Compiler, scope: Scope, body: dict) -> Column:
 
 
 def as_operator(c: Compiler, scope: Scope, body: dict) -> Row:
-    """vectorSearch among other operators: the score of every document that has the vector and passes the filter. Its limit is applied by ids of the best."""
+    """vectorSearch among other operators: matches are its own hits, which come to the rows by a join of ids."""
     check(body)
     d = spec(c, body["path"])
-    q = query_vector(c, body, d, None)
     need(not scope.root, "vectorSearch is for documents")
+    query_vector(c, body, d, None)
     if c.dry:
         return Row(F.lit(True), F.lit(0.0))
     key = ("vector", repr(sorted(body.items(), key=repr)))
-    ids = c.expanded(key, lambda: [(r[c.index.id_col], r["__score"]) for r in vector_search(Compiler(c.index), {k: v for k, v in body.items() if k != "score"}).select(c.index.id_col, "__score").collect()])
-    value = score_column(c.value(body["path"], scope), q, d["similarity"])
-    return apply_score(c, scope, Row(F.col(c.index.id_col).isin([i for i, _ in ids]) if ids else F.lit(False), value), body.get("score"))
+    hits = c.expanded(key, lambda: [vector_search(Compiler(c.index), {k: v for k, v in body.items() if k != "score"}).select(c.index.id_col, "__score")])[0]
+    value = c.joined(repr(key), hits, "__score", body["limit"] <= 10_000)
+    return apply_score(c, scope, Row(value.isNotNull(), value), body.get("score"))
 
 
 def knn_beta(c: Compiler, scope: Scope, body: dict) -> Row:
@@ -160,7 +165,10 @@ def trace(c: Compiler, body: dict, ids: list, embedder: Callable | None = None)
     own = c.index.docs.where(F.col(ident).isin(ids)).select(ident, score_column(F.col(body["path"]), q, d["similarity"]).alias("score"))
     hits = vector_search(c, body, embedder).select(F.col(ident).alias("__id"), F.lit(True).alias("__in"))
     every = c.index.docs.select(F.col(ident).alias("__o"), score_column(F.col(body["path"]), q, d["similarity"]).alias("__os")).where(F.col("__os").isNotNull())
-    # The traced ids are literals of the query, few: the scan is held against them broadcast.
-    ranks = every.join(F.broadcast(own.where("score IS NOT NULL")), (F.col("__os") > F.col("score")) | ((F.col("__os") == F.col("score")) & (F.col("__o") < F.col(ident)))).groupBy(ident).agg(F.count("*").alias("__above"))
+    # The traced ids are literals of the query, few: one aggregation counts the better ones of each.
+    traced = [(r[ident], r["score"]) for r in own.where("score IS NOT NULL").collect()]
+    better = [F.count_if((F.col("__os") > F.lit(s)) | ((F.col("__os") == F.lit(s)) & (F.col("__o") < F.lit(i)))).alias(f"n{k}") for k, (i, s) in enumerate(traced)]
+    above = list(every.agg(*better).first()) if traced else []
+    ranks = c.spark.createDataFrame([(i, n) for (i, _), n in zip(traced, above, strict=True)], T.StructType([T.StructField(ident, c.index.schema[ident].dataType), T.StructField("__above", T.LongType())]))
     found = own.join(ranks, ident, "left").join(hits, F.col(ident) == F.col("__id"), "left")
     return found.select(ident, "score", F.when(F.col("score").isNotNull(), F.coalesce("__above", F.lit(0)) + 1).alias("rank"), F.coalesce("__in", F.lit(False)).alias("in_results"))

@@ -68,6 +68,7 @@ class Compiler:
         self.bases: dict[tuple[str, str], str] = {}
         self.used: dict[str, tuple[Column, bool, analysis.Analyzer]] = {}
         self.sought: dict[str, set[str]] = {}
+        self.joins: dict[str, tuple[DataFrame, str, bool]] = {}
         self.dry = False
         self._expanded: dict = {}
 
@@ -98,6 +99,8 @@ class Compiler:
         where no other row can match; else another generator goes once through each array. Operators look at those few places only.
         """
         df = analysed(self.index.docs, self.used)
+        for rows, name, small in self.joins.values() if hits else ():
+            df = df.join(F.broadcast(rows) if small else rows, F.col(self.index.id_col) == F.col(f"{name}_id"), "left").drop(f"{name}_id")
         found, posted = [], {}
         for stored, terms in self.sought.items() if hits else ():
             if self.index.posted(stored):
@@ -115,6 +118,12 @@ class Compiler:
         made = {hits_column(c): F.coalesce(F.col(hits_column(c)), none) if any(posted[c]) else none for c in posted}
         return df.withColumns(made)
 
+    def joined(self, key: str, rows: DataFrame, value: str, small: bool) -> Column:
+        """A value that comes to the index's rows from others of the same id (null where there is none); small rows are broadcast."""
+        name = f"__join{list(self.joins).index(key) if key in self.joins else len(self.joins)}"
+        self.joins[key] = (rows.select(F.col(self.index.id_col).alias(f"{name}_id"), F.col(value).alias(name)), name, small)
+        return F.col(name)
+
     def shuffled(self) -> bool:
         """Whether the hits are too many to be broadcast, so that rows of the index are joined with them by a shuffle."""
         posted = {c: terms for c, terms in self.sought.items() if self.index.posted(c)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,8 +130,7 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
     row = c.compile(op)
     df = c.docs().where(row.match).withColumn("__score", row.score.cast("double"))
     if query.get("scoreDetails"):
-        details = [F.struct(F.lit(n).alias("description"), v.cast("double").alias("value")) for n, v in row.details]
-        df = df.withColumn("__details", F.struct(F.col("__score").alias("value"), F.lit(next(iter(op))).alias("description"), F.filter(F.array(*details), lambda d: d["value"] > 0).alias("details") if details else F.expr("array()").cast("array<struct<description:string,value:double>>").alias("details")))
+        df = df.withColumn("__details", F.struct(F.col("__score").alias("value"), F.lit(next(iter(op))).alias("description"), score_parts(row.details).alias("details")))
     legacy = "sortBetaV1" in query
     keys = sorting.keys_of(c, query.get("sortBetaV1") if legacy else query.get("sort"), legacy)
     inverted = "searchBefore" in query
@@ -157,6 +156,20 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
     return df.select(*kept, *columns)
 
 
+PARTS = "array<struct<description:string,value:double>>"
+
+
+def score_parts(details: list[tuple]) -> Column:
+    """The parts of a score that count: array<struct<description, value, details>>, of BM25 with idf, tf, freq, dl and avgdl."""
+    made = []
+    for name, value, *inner in details:
+        parts = [F.struct(F.lit(k).alias("description"), v.cast("double").alias("value")) for k, v in (inner[0] if inner else {}).items()]
+        made.append(F.struct(F.lit(name).alias("description"), value.cast("double").alias("value"), (F.array(*parts) if parts else F.expr("array()")).cast(PARTS).alias("details")))
+    if not made:
+        return F.expr("array()").cast(f"array<struct<description:string,value:double,details:{PARTS}>>")
+    return F.filter(F.array(*made), lambda d: d["value"] > 0)
+
+
 def count(index: SearchIndex, query: dict) -> DataFrame:
     """One row: `total`, or `lowerBound`, which is exact up to the threshold and counts no further."""
     op = operator_of(query)

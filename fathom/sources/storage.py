@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="fathom-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     sc.setCheckpointDir(f"file://{path}")
@@ -31,10 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def state_of(spark: SparkSession, path: str) -> tuple:
-    """Length and modification time of a table's folder or file: another state is another index."""
+    """Names, lengths and modification times of a table's files: another state is another index. A store's folders have no such state."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    status = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
-    return path, status.getLen(), status.getModificationTime()
+    found, files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return path, tuple(sorted(files))
 
 
 def opened(spark: SparkSession, name: str, sources: list[str], make: Callable[[], SearchIndex]) -> SearchIndex:

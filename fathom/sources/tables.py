@@ -42,29 +42,22 @@ def batches(df: DataFrame, batch_size: int | None = None) -> Iterator[list[Row]]
 
 
 def materialize_embeddings(docs: DataFrame, path: str, text_col: str, vector_col: str, embedder=None, dims: int = 64, id_col: str = "_id") -> DataFrame:
-    """Writes (id, digest, vector) of a text column; texts whose digest is already there keep their vector: only changed ones are embedded."""
-    from pyspark.errors import AnalysisException
+    """Writes (id, digest, vector) of a text column; texts whose digest is already there keep their vector: only changed ones are embedded.
 
+    The view is a table in versions: a job that dies leaves the version before it as it is.
+    """
     from fathom.functions.vectors import embed
+    from fathom.streaming.cdc import IndexedTable
 
-    spark = docs.sparkSession
     now = docs.select(id_col, F.col(text_col).alias("__text"), F.sha2(F.col(text_col).cast("string"), 256).alias("digest"))
-    try:
-        held = spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        held = None
-    if held is None:
+    table = IndexedTable(docs.sparkSession, path, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, digest string, {vector_col} array<float>", id_col)
+    held = table.versions()
+    if not held:
         made = now.select(id_col, "digest", embed(F.col("__text"), embedder, dims).alias(vector_col))
     else:
-        same = now.join(held, [id_col, "digest"]).select(id_col, "digest", vector_col)
-        fresh = now.join(held.select(id_col, "digest"), [id_col, "digest"], "left_anti")
+        old = table.read()
+        same = now.join(old, [id_col, "digest"]).select(id_col, "digest", vector_col)
+        fresh = now.join(old.select(id_col, "digest"), [id_col, "digest"], "left_anti")
         made = same.unionByName(fresh.select(id_col, "digest", embed(F.col("__text"), embedder, dims).alias(vector_col)))
-    target = f"{path.rstrip('/')}-next"
-    made.write.mode("overwrite").parquet(target)
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p(path), True)
-    fs.rename(p(target), p(path))
-    return spark.read.parquet(path)
+    table.write(made, (held[-1] if held else 0) + 1)
+    return table.read()

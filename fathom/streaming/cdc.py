@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fathom.sources.tables import upserted
@@ -52,7 +53,7 @@ class IndexedTable:
     """A table in versions: <path>/v=<n> folders, the largest with a _SUCCESS file is current."""
 
     def __init__(self, spark: SparkSession, path: str, schema, id_col: str = "_id") -> None:
-        self.spark, self.path, self.schema, self.id_col = spark, path.rstrip("/"), schema, id_col
+        self.spark, self.path, self.schema, self.id_col = spark, path.rstrip("/"), T.StructType.fromDDL(schema) if isinstance(schema, str) else schema, id_col
 
     def versions(self) -> list[int]:
         p = self.spark._jvm.org.apache.hadoop.fs.Path
