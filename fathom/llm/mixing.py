@@ -14,12 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import written
+from fathom.llm.shared import fresh, written
 
 #: Target entropy as a part of the largest, log2 of the number of sources; passes over a source at most.
 ENTROPY, PASSES = 0.98, 4.0
 #: A block has about this many documents; from MOST_BLOCKS blocks of a source on, blocks grow instead.
 BLOCK_DOCS, MOST_BLOCKS = 64, 65_536
+#: A block of more than OVERFULL times the documents that it should have is cut; hashes of different ids never make one.
+OVERFULL = 16
 #: The shares of this many sources at most are brought to the driver (about 100 bytes each); the rest is an error, not dropped.
 MOST_SOURCES = 200_000
 STEPS = 60
@@ -88,44 +90,64 @@ def tokens_of(text: Column) -> Column:
     return (F.size(F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))) + 1).cast("long")
 
 
-def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: float = ENTROPY, most_passes: float = PASSES, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """One row per use of a document: doc_id, source, n_tokens, pass, block.
-
-    Every document is used once at least, those of sources with a larger budget again, in whole passes and a last one
-    that ends within a block. Null sources are a source of their own, null texts have one token; null ids and rows that
-    repeat an id are drawn as their own rows (same order as their twins). One source gives every row once; an empty table nothing.
+def used(docs: DataFrame, id_col: str, source_col: str, text_col: str, target: float = ENTROPY, most_passes: float = PASSES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """One row per row of docs: doc_id, source, n_tokens, block, digest (of source and text), and how often the mix uses it.
 
     The sums before a document are those of the blocks before its block (a row per block and pass) and those of the
-    documents before it within the block, so no task sees all documents of a source.
+    documents before it within the block, so no task sees all documents of a source. A block is a hash of ids; where
+    many rows repeat an id, or have none and the same text, its block would be overfull: it is cut by row.
     """
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), tokens_of(F.col(text_col)).alias("n_tokens")), "mix-rows")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), tokens_of(F.col(text_col)).alias("n_tokens"), digest_of(F.col(source_col), F.col(text_col)).alias("digest"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     made = plan({r["source"]: r["t"] for r in found}, target, most_passes)
     spark = docs.sparkSession
-    sources = spark.createDataFrame([(r["source"], r["t"], max(1, min(MOST_BLOCKS, -(-r["n"] // block_docs))), made.budgets[r["source"]]) for r in found], "source string, held long, blocks long, budget long")
-    at = F.conv(F.substring(order_of(F.lit("block"), F.col("doc_id")), 1, 15), 16, 10).cast("long") % F.col("blocks")
-    placed = rows.join(F.broadcast(sources.withColumnRenamed("source", "of")), rows["source"].eqNullSafe(F.col("of"))).withColumn("block", at).drop("of")
-    blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block"), F.first("held").alias("held"), F.first("budget").alias("budget"))
+    sources = [(r["source"], r["t"], max(1, min(MOST_BLOCKS, -(-r["n"] // block_docs))), made.budgets[r["source"]], max(block_docs, r["n"] // MOST_BLOCKS)) for r in found]
+    sources = spark.createDataFrame(sources, "of string, held long, blocks long, budget long, each long")
+    at = F.conv(F.substring(order_of(F.lit("block"), F.coalesce(F.col("doc_id").cast("string"), F.col("digest").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("blocks")
+    placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(F.col("of"))).withColumn("block", at).withColumn("cut", F.lit(0)).drop("of")
+    overfull = placed.groupBy("source", "block").agg(F.count("*").alias("n"), F.first("each").alias("each")).where(F.col("n") > OVERFULL * F.col("each"))
+    overfull = written(overfull.select(F.col("source").alias("of"), F.col("block").alias("of_block"), F.ceil(F.col("n") / F.col("each")).alias("cuts")), "mix-overfull")
+    if overfull.limit(1).count():
+        at_block = placed["source"].eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))
+        placed = placed.join(overfull, at_block, "left").withColumn("cut", F.coalesce(F.pmod(F.xxhash64("row"), F.col("cuts")), F.lit(0))).drop("of", "of_block", "cuts")
+    blocks = placed.groupBy("source", "block", "cut").agg(F.sum("n_tokens").alias("in_block"), F.first("held").alias("held"), F.first("budget").alias("budget"))
     # All passes but the last take every block: only the last one needs sums.
     whole = F.floor(F.col("budget") / F.col("held")).cast("long")
     last = blocks.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("held"))
-    by = Window.partitionBy("source").orderBy(order_of(F.lit("pass"), F.col("whole"), F.col("source"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1)
+    by = Window.partitionBy("source").orderBy(order_of(F.lit("pass"), F.col("whole"), F.col("source"), F.col("block")), "block", "cut").rowsBetween(Window.unboundedPreceding, -1)
     last = last.withColumn("before_block", F.coalesce(F.sum("in_block").over(by), F.lit(0)))
-    last = last.select(F.col("source").alias("of"), F.col("block").alias("of_block"), "whole", "rest", "before_block")
-    joined = placed.join(last, placed["source"].eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block"))).drop("of", "of_block")
-    inside = Window.partitionBy("source", "block").orderBy(order_of(F.lit("doc"), F.col("whole"), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(F.col("source").alias("of"), F.col("block").alias("of_block"), F.col("cut").alias("of_cut"), "whole", "rest", "before_block")
+    joined = placed.join(last, placed["source"].eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")) & (F.col("cut") == F.col("of_cut"))).drop("of", "of_block", "of_cut")
+    inside = Window.partitionBy("source", "block", "cut").orderBy(order_of(F.lit("doc"), F.col("whole"), F.col("doc_id")), "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     joined = joined.withColumn("before", F.col("before_block") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     uses = F.col("whole") + (F.col("before") < F.col("rest")).cast("long")
-    return joined.withColumn("pass", F.explode(F.sequence(F.lit(0), (uses - 1).cast("int")))).select("doc_id", "source", "n_tokens", "pass", "block")
+    return joined.select("doc_id", "source", "n_tokens", "block", "digest", uses.alias("uses"))
+
+
+def digest_of(source: Column, text: Column) -> Column:
+    return F.xxhash64(source.cast("string"), text.cast("string"))
+
+
+def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target: float = ENTROPY, most_passes: float = PASSES, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """One row per use of a document: doc_id, source, n_tokens, pass, block.
+
+    Every document is used once at least, those of sources with a larger budget again, in whole passes and a last one
+    that ends within a block. Null sources are a source of their own, null texts have one token; null ids and rows that
+    repeat an id are drawn as their own rows. One source gives every row once; an empty table nothing. Other columns are ignored.
+    """
+    found = used(docs, id_col, source_col, text_col, target, most_passes, block_docs)
+    return found.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), (F.col("uses") - 1).cast("int"))).alias("pass"), "block")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """docs with every row as often as the mix uses it, all columns kept; rows that repeat an id are used alike."""
-    uses = draws(docs, id_col, source_col, text_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.max("pass").alias("__last"))
-    found = docs.join(uses, docs[id_col].eqNullSafe(F.col("__id")))
-    return found.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.col("__last")))).drop("__id", "__last", "__pass")
+    """docs with every row as often as the mix uses it, all columns kept. Rows alike in id, source and text are used alike, as often as the most used of them."""
+    of, digest, uses, turn = fresh(docs, "__of", "__digest", "__uses", "__pass")
+    plan_of = used(docs, id_col, source_col, text_col, **options).groupBy(F.col("doc_id").alias(of), F.col("digest").alias(digest)).agg(F.max("uses").alias(uses))
+    found = docs.join(plan_of, docs[id_col].eqNullSafe(F.col(of)) & (digest_of(docs[source_col], docs[text_col]) == F.col(digest)))
+    return found.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(uses)))).drop(of, digest, uses, turn)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.llm.shared import fresh
+
 #: Production parameters: the table is prime and over a hundred times as large as the number of shards.
 SHARDS, SLOTS = 32, 4099
 #: A table of at most this many slots (8 bytes each) is broadcast to every task.
@@ -59,10 +61,11 @@ def shard(docs: DataFrame, shards: list[str] | None = None, slots: int = SLOTS,
     replaced. All other columns are kept.
     """
     shards = shards or [f"shard-{k:05d}" for k in range(SHARDS)]
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(k, s) for k, s in enumerate(lookup_table(shards, slots))], "__slot long, __shard int")
-    placed = docs.drop(name).withColumn("__slot", slot_of(F.col(id_col), slots)).join(F.broadcast(table), "__slot")
-    return placed.drop("__slot").withColumnRenamed("__shard", name)
+    spark, kept = docs.sparkSession, docs.drop(name) if name.lower() != id_col.lower() else docs
+    slot, place = fresh(docs, "__slot", "__shard")
+    table = spark.createDataFrame([(k, s) for k, s in enumerate(lookup_table(shards, slots))], f"{slot} long, {place} int")
+    placed = kept.withColumn(slot, slot_of(F.col(id_col), slots)).join(F.broadcast(table), slot)
+    return placed.drop(slot).withColumnRenamed(place, name)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="fathom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         path = f"file://{path}"
@@ -34,9 +38,40 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders made within scratch(), innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared one; runs at the same time don't meet in it."""
-    return f"{shared_dir(spark)}/fathom-{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared one; runs at the same time don't meet in it. It is deleted at the end of scratch(), else of the session."""
+    path = f"{shared_dir(spark)}/fathom-{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work folders made within are deleted at its end: what is to stay is written to a folder made outside of it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_dir(spark, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as make it no column of df."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

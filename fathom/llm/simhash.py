@@ -17,15 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.components import components
-from fathom.llm.shared import lookup, written
+from fathom.llm.shared import fresh, lookup, words_of, written
 
 SHINGLE, BITS_APART, SEED = 4, 4, 42
 #: Fingerprints of one anchor that a task compares with each other; more are cut into blocks of about this many.
 BLOCK = 4096
+#: Replicas that a task compares, about; linked fingerprints that it holds before it hands on their links.
+TASK_ROWS, HELD_LINKS = 4_000_000, 1 << 18
 #: Bytes of Arrow batches are bounded by the session's maxRecordsPerBatch; hashes are voted on in slices of so many.
 SLICE = 1 << 16
 
@@ -51,7 +53,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)], names=["doc_id", "fp", "digest"])
 
 
 #: Columns of the parity check of the Hamming code: position p (1 to 31) has the bits of p.
@@ -159,6 +161,9 @@ def _compare(most: int):
                 cells(block, fp, np.concatenate(([0], new)))
                 cols = [c[int(new[-1]) :] for c in cols]
             held = cols
+            if len(forest.up) > HELD_LINKS:
+                yield forest.links()
+                forest.up.clear()
         if held is not None and len(held[0]):
             cells(held[3], held[4], np.array([0, len(held[4])]))
         yield forest.links()
@@ -167,9 +172,13 @@ def _compare(most: int):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, digest): the fingerprint as a signed 64-bit number, and a hash of the text as it is, by which rows of one id are told apart."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), digest_of(F.col(text_col)).alias("digest"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, digest long")
+
+
+def digest_of(text: Column) -> Column:
+    return F.xxhash64(words_of(text))
 
 
 def near_links(fps: DataFrame, bits: int = BITS_APART, block: int = BLOCK) -> DataFrame:
@@ -182,7 +191,7 @@ def near_links(fps: DataFrame, bits: int = BITS_APART, block: int = BLOCK) -> Da
     cut = at.join(large, "anchor", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("fp"), F.col("blocks")))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 34 * fps.count() // TASK_ROWS)
     return cells.repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "block", "fp").mapInArrow(_compare(bits), "u long, v long")
 
 
@@ -194,6 +203,11 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     other. Rows that repeat an id, ties and equal texts each keep their row; an empty table gives an empty result;
     other columns are ignored.
     """
+    return classed(docs, id_col, text_col, bits, block).drop("digest")
+
+
+def classed(docs: DataFrame, id_col: str, text_col: str, bits: int = BITS_APART, block: int = BLOCK) -> DataFrame:
+    """near_dups() with the digest of each row's text."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     n = rows.count()
     fps = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "distinct")
@@ -206,7 +220,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     least = several.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     several = lookup(several, "root", least, "members", n).select("fp", "copies", "component_id")
     classes = written(alone.unionByName(several), "classes")
-    return lookup(rows, "fp", classes, "copies", n).select("doc_id", "fp", "component_id")
+    return lookup(rows, "fp", classes, "copies", n).select("doc_id", "fp", "component_id", "digest")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +228,18 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without near copies: of each component the document with the smallest id stays, with all its columns."""
-    found = near_dups(docs, id_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each component the document with the smallest id stays, with all its columns.
+
+    Where rows of that id have several texts in the component, one text stays; rows that repeat both id and text stay or go
+    together. A row that has the id of another component's document doesn't stay for that. Of a component without
+    ids one text of each fingerprint stays.
+    """
+    found = classed(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of, digest = fresh(docs, "__of", "__digest")
+    least = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("digest").alias(digest))
+    kept = least.select(F.col("component_id").alias(of), digest).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col(of)) & (digest_of(docs[text_col]) == F.col(digest)), "left_semi")
 
 
 QUERIES = {"op6_simhash_near_dedup": op6_simhash_near_dedup}

@@ -48,3 +48,17 @@ def test_edges(spark):
     one = spark.createDataFrame([(k, "a b c", "s") for k in range(50)], "doc_id long, text string, source string")
     assert mixing.draws(one).count() == 50
     assert not math.isnan(mixing.plan({"a": 1, "b": 10**15}).exponent)
+
+
+def test_hot_and_missing_ids(spark):
+    """Rows without an id, or with one that many share, go to blocks of the usual size; every row is used, budgets are met."""
+    rows = [(None, f"text {k} of many", "a", k) for k in range(3000)] + [(7, "the same", "b", k) for k in range(3000)] + [(k, "some text here", "c", k) for k in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    uses = mixing.used(df, "doc_id", "source", "text")
+    per_block = {r["source"]: r["most"] for r in uses.groupBy("source", "block").count().groupBy("source").agg(F.max("count").alias("most")).collect()}
+    assert uses.count() == len(rows) and per_block["a"] < 16 * mixing.BLOCK_DOCS
+    made = mixing.plan({r["source"]: r["t"] for r in uses.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()})
+    spent = {r["source"]: r["t"] for r in uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("t")).collect()}
+    assert all(0 <= spent[s] - b <= 8 for s, b in made.budgets.items()) and uses.where("uses < 1").count() == 0
+    out = mixing.mix(df)
+    assert out.columns == df.columns and {(r["source"], r["n"]) for r in out.select("source", "n").distinct().collect()} == {(s, n) for _, _, s, n in rows}

@@ -64,3 +64,27 @@ def test_language_rejects_foreign_prose_and_keeps_learned(spark, sf):
     kept = corpus_pipeline.language(spark, docs.unionByName(foreign), sf)
     assert kept.where(F.col("doc_id") > 10**9).count() == 0
     assert kept.count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
+def test_columns_of_the_same_names_as_ours(spark, sf):
+    """Stages keep a user's columns, whatever their names."""
+    names = ["__id", "__of", "__digest", "__uses", "__pass", "__slot", "__Shard", "__last", "__kept", "block", "row", "digest", "fp", "held", "of"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    texts = ["the cat sat on the mat and the dog", "an entirely different line of words is here", "the cat sat on the mat and the dog"]
+    df = spark.createDataFrame([(k, t, "en", "a", 9, *range(k, k + len(names))) for k, t in enumerate(texts)], schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:], 1):
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns + (["shard"] if k == 4 else [])
+        kept = {tuple(r)[: len(df.columns)] for r in out.collect()}
+        assert kept == {tuple(r) for r in df.collect()} - ({tuple(r) for r in df.where("doc_id = 2").collect()} if k == 1 else set())
+
+
+def test_run_leaves_one_table(spark, sf):
+    from fathom.llm.shared import shared_dir
+
+    p = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = lambda: {s.getPath().getName() for s in fs.listStatus(p)}
+    before = held()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert [n.split("-")[1] for n in held() - before] == ["source_mixing"]
