@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import decontaminate, langid, mixing, sharding, simhash
-from fathom.llm.shared import written
+from fathom.llm.shared import drop_dir, scratch, work_dir
 
 #: Times the phrases per 100 symbols of held-out texts of a language beyond which it doesn't explain a text, and the least such limit. Prose that
 #: whole samples learned has 17 in the tables, at most 31; other Latin-script languages have 37 and more, random letters 55, unlearned scripts 100.
@@ -54,8 +54,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's result is written to the shared folder and read again.
+
+    What a stage wrote for itself, and its predecessor's result, are deleted when its own is there.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = work_dir(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop_dir(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
