@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import stemming
+from fathom.functions.snowball import STEMMERS as STEMMERS_BY_NAME
 
 TOKENS = "array<struct<term:string,pos:int>>"
 LETTER, DIGIT = r"[\p{L}\p{M}]", r"\p{N}"
@@ -80,9 +81,13 @@ def _python_filters(definition: dict) -> Callable[[Tokens], Tokens] | None:
     kind = definition["type"]
     if kind == "snowballStemming":
         name = definition["stemmerName"]
-        if name not in stemming.LIGHT:
+        if name != "porter" and name not in STEMMERS_BY_NAME:
             raise ValueError(f"no stemmer for {name}")
-        return _each(stemming.LIGHT[name])
+        return _each(stemming.porter if name == "porter" else STEMMERS_BY_NAME[name])
+    if kind == "lightStemming":
+        return _each(stemming.LIGHT[definition["language"]])
+    if kind in ("kStemming", "stempel"):
+        raise ValueError(f"no stemmer for {kind}: its lexicon isn't here, and another's stems would be wrong")
     if kind == "icuNormalizer":
         form = {"nfc": "NFC", "nfd": "NFD", "nfkc": "NFKC", "nfkd": "NFKD"}[definition.get("normalizationForm", "nfc")]
         return _each(lambda t: unicodedata.normalize(form, t))
@@ -91,9 +96,8 @@ def _python_filters(definition: dict) -> Callable[[Tokens], Tokens] | None:
     if kind == "wordDelimiterGraph":
         return _delimited(definition.get("delimiterOptions", {}) | {"protectedWords": definition.get("protectedWords", {}).get("words", [])})
     return {
-        "icuFolding": _each(icu_fold), "porterStemming": _each(stemming.porter), "kStemming": _each(stemming.english_minimal),
+        "icuFolding": _each(icu_fold), "porterStemming": _each(stemming.porter),
         "englishMinimalStemming": _each(stemming.english_minimal), "spanishPluralStemming": _each(stemming.spanish_plural),
-        "stempel": _each(stemming._suffixes(3, "ami", "ach", "owi", "om", "ego", "emu", "ych", "ymi", "ie", "a", "e", "i", "o", "u", "y")),
     }.get(kind)
 
 
@@ -252,8 +256,8 @@ def _token_filter(definition: dict) -> Callable[[Column], Column]:
     raise ValueError(f"unknown token filter {kind}")
 
 
-STEMMERS = frozenset("porterStemming kStemming englishMinimalStemming spanishPluralStemming stempel snowballStemming".split())
-PYTHON_FILTERS = frozenset("icuFolding icuNormalizer porterStemming kStemming englishMinimalStemming spanishPluralStemming stempel snowballStemming daitchMokotoffSoundex wordDelimiterGraph".split())
+STEMMERS = frozenset("lightStemming porterStemming kStemming englishMinimalStemming spanishPluralStemming stempel snowballStemming".split())
+PYTHON_FILTERS = frozenset("lightStemming icuFolding icuNormalizer porterStemming kStemming englishMinimalStemming spanishPluralStemming stempel snowballStemming daitchMokotoffSoundex wordDelimiterGraph".split())
 
 
 def _udf(f: Callable[[Tokens], Tokens]) -> Callable[[Column], Column]:
@@ -360,8 +364,11 @@ STOCK: dict[str, Analyzer] = {
     "lucene.stop": Analyzer("lucene.stop", {"type": "letter"}, (), ({"type": "lowercase"}, {"type": "stopword", "tokens": ENGLISH_STOP})),
     "lucene.english": Analyzer("lucene.english", {"type": "standard"}, (), ({"type": "englishPossessive"}, {"type": "lowercase"}, {"type": "stopword", "tokens": ENGLISH_STOP}, {"type": "porterStemming"})),
 }
-for _name in "french german spanish italian portuguese dutch swedish norwegian danish russian".split():
+for _name in "dutch swedish norwegian danish russian".split():
     STOCK[f"lucene.{_name}"] = _language(_name, {"type": "snowballStemming", "stemmerName": _name})
+#: These languages' analyzers have light stemmers; here they are lists of suffixes, which come near to them.
+for _name in "french german spanish italian portuguese".split():
+    STOCK[f"lucene.{_name}"] = _language(_name, {"type": "lightStemming", "language": _name})
 #: Languages without a stemmer of ours: words in lower case (and without stop words, where there is a list).
 for _name in "arabic armenian basque bengali brazilian bulgarian catalan czech finnish galician greek hindi hungarian indonesian irish latvian lithuanian persian romanian sorani thai turkish morfologik polish ukrainian".split():
     STOCK[f"lucene.{_name}"] = _language(_name)

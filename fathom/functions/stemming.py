@@ -123,22 +123,14 @@ def _suffixes(least: int, *ends: str) -> Callable[[str], str]:
     return stem
 
 
-#: Light stemmers by suffix lists; english is Porter's.
+#: Light stemmers by suffix lists.
 LIGHT: dict[str, Callable[[str], str]] = {
     "french": _suffixes(3, "issements", "issement", "atrices", "atrice", "ateurs", "ateur", "ations", "ation", "ements", "ement", "euses", "euse", "ences", "ence", "ances", "ance", "ites", "ite", "ives", "ive", "ifs", "if", "aux", "eux", "ees", "ee", "es", "er", "ir", "e", "s", "x"),
     "german": _suffixes(3, "ungen", "heiten", "keiten", "heit", "keit", "lich", "isch", "ung", "ern", "em", "en", "er", "es", "e", "s", "n"),
     "spanish": _suffixes(3, "amientos", "imientos", "amiento", "imiento", "aciones", "acion", "adoras", "adores", "adora", "ador", "mente", "idades", "idad", "ancias", "ancia", "encias", "encia", "ables", "able", "ados", "adas", "ado", "ada", "idos", "idas", "ido", "ida", "ar", "er", "ir", "os", "as", "es", "o", "a", "e", "s"),
     "italian": _suffixes(3, "azioni", "azione", "amento", "amenti", "mente", "ita", "oso", "osa", "are", "ere", "ire", "i", "e", "a", "o"),
     "portuguese": _suffixes(3, "acoes", "acao", "amente", "mente", "idades", "idade", "os", "as", "es", "o", "a", "e", "s"),
-    "dutch": _suffixes(3, "heden", "heid", "ingen", "ing", "en", "er", "es", "e", "s"),
-    "swedish": _suffixes(3, "heterna", "heten", "arna", "erna", "orna", "ande", "ende", "aste", "ar", "er", "or", "en", "et", "a", "e", "s"),
-    "norwegian": _suffixes(3, "hetene", "heten", "ene", "ane", "ende", "er", "en", "et", "ar", "e", "a", "s"),
-    "danish": _suffixes(3, "hederne", "heden", "erne", "ende", "ene", "er", "en", "et", "e", "s"),
-    "russian": _suffixes(3, "остями", "ость", "ыми", "ими", "ого", "его", "ому", "ему", "ами", "ями", "ах", "ях", "ов", "ев", "ый", "ии", "ая", "ое", "ые", "ам", "ом", "ть", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь"),
-    "english": porter,
-    "porter": porter,
 }
-LIGHT |= {"german2": LIGHT["german"], "lovins": porter, "kp": LIGHT["dutch"]}
 
 DM_RULES = None
 
