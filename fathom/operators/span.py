@@ -13,8 +13,8 @@ from fathom.plans.compiler import Compiler, Row, Scope, let
 from fathom.plans.errors import need, only
 
 SPANS = "array<struct<s:int,e:int,n:int>>"
-#: Unordered clauses are tried in every order; so many at most.
-MOST_CLAUSES = 6
+#: Up to so many unordered clauses are tried in every order; more are swept over, by where their spans begin.
+TRIED_CLAUSES = 4
 
 
 class Spans:
@@ -49,7 +49,8 @@ def spans_of(c: Compiler, scope: Scope, body: dict) -> Spans:
         terms = [t for p in parts for t in p.terms]
         if x.get("inOrder", False):
             return Spans(parts[0].field, in_order(parts, x.get("slop", 0)), terms)
-        need(len(parts) <= MOST_CLAUSES, f"near without order takes at most {MOST_CLAUSES} clauses")
+        if len(parts) > TRIED_CLAUSES:
+            return Spans(parts[0].field, swept(parts, x.get("slop", 0)), terms)
         return Spans(parts[0].field, F.array_distinct(F.concat(*[in_order(list(p), x.get("slop", 0)) for p in permutations(parts)])), terms)
     if kind == "contains":
         only(x, "big! little! spanToReturn! score", "contains")
@@ -85,6 +86,22 @@ def in_order(parts: list[Spans], slop: int) -> Column:
     return found
 
 
+def swept(parts: list[Spans], slop: int) -> Column:
+    """Of any order: from each place where a span begins, the nearest span of every clause that begins there or later; one place is one clause's only."""
+    every = F.array(*[p.spans for p in parts])
+    none = F.struct(F.lit(0).alias("e"), F.lit(0).alias("n"), F.expr("array()").cast("array<int>").alias("taken"))
+
+    def from_place(all_spans: Column, v: Column) -> Column:
+        def take(acc: Column, own: Column) -> Column:
+            free = F.array_sort(F.filter(own, lambda p: (p["s"] >= v) & ~F.array_contains(acc["taken"], p["s"])))
+            return let(F.get(free, F.lit(0)), lambda p: F.struct(F.greatest(acc["e"], p["e"]).alias("e"), (acc["n"] + p["n"]).alias("n"), F.concat(acc["taken"], F.array(p["s"])).alias("taken")))
+
+        return F.aggregate(all_spans, none, take, lambda acc: F.struct(v.alias("s"), acc["e"].alias("e"), acc["n"].alias("n")))
+
+    found = let(every, lambda own: F.transform(F.array_distinct(F.transform(F.flatten(own), lambda p: p["s"])), lambda v: from_place(own, v)))
+    return F.filter(found, lambda p: p["n"].isNotNull() & (p["e"] - p["s"] - p["n"] <= slop))
+
+
 def _joined(left: Column, right: Column, slop: int) -> Column:
     pair = lambda a, right: F.transform(F.filter(right, lambda b: (b["s"] >= a["e"]) & (b["e"] - a["s"] - a["n"] - b["n"] <= slop)), lambda b: F.struct(a["s"].alias("s"), b["e"].alias("e"), (a["n"] + b["n"]).alias("n")))
     both = F.struct(left.alias("left"), right.alias("right"))

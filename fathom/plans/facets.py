@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from fathom.plans.compiler import Compiler, limit_error
 from fathom.plans.errors import need, only
 
@@ -74,18 +74,18 @@ def drills(op: dict | None) -> bool:
     return False
 
 
-def string_facet(c: Compiler, df: DataFrame, f: dict) -> DataFrame:
-    """Labels with most documents, then by label. An array counts each of its values once; empty labels don't count."""
+NOTHING = "array<struct<facet:int,label:string,at:int>>"
+
+
+def string_labels(c: Compiler, number: int, f: dict) -> Column:
+    """What a row counts for: an array's values once each; empty labels don't count."""
     path = f["path"]
     d = c.index.kind(path, "stringFacet", "token")
     need(d, f"{path} must be indexed as stringFacet or token")
     v = F.col(path)
-    label = F.explode(F.array_distinct(v.cast("array<string>"))) if c.index.is_array(path) else v.cast("string")
-    rows = df.select(label.alias("label")).where("label IS NOT NULL AND label <> ''")
-    if d.get("normalizer") == "lowercase":
-        rows = rows.select(F.lower("label").alias("label"))
-    counted = rows.groupBy("label").agg(F.count("*").alias("count"))
-    return counted.orderBy(F.col("count").desc(), F.col("label").asc()).limit(f.get("numBuckets", 10))
+    labels = F.array_distinct(v.cast("array<string>")) if c.index.is_array(path) else F.array(v.cast("string"))
+    lower = (lambda x: F.lower(x)) if d.get("normalizer") == "lowercase" else lambda x: x
+    return F.transform(F.filter(labels, lambda x: x.isNotNull() & (x != "")), lambda x: F.struct(F.lit(number).alias("facet"), lower(x).alias("label"), F.lit(None).cast("int").alias("at"))).cast(NOTHING)
 
 
 def bucket_of(v: Column, boundaries: list, date: bool) -> Column:
@@ -97,49 +97,49 @@ def bucket_of(v: Column, boundaries: list, date: bool) -> Column:
     return F.when(inside & ~F.isnan(value) if not date else inside, below)
 
 
-def boundary_facet(c: Compiler, df: DataFrame, f: dict, keep_empty: bool) -> DataFrame:
-    """A row for each boundary but the last, and for the default: what is in no bucket."""
+def boundary_bucket(c: Compiler, number: int, f: dict) -> Column:
+    """The bucket that a row counts for, -1 for none; values of an array are in none."""
     path, date = f["path"], f["type"] == "date"
     need(c.index.kind(path, *(("date", "dateFacet") if date else ("number", "numberFacet"))), f"{path} must be indexed as {f['type']}")
-    several = c.index.is_array(path)
-    v = F.col(path)
-    bucket = F.lit(None).cast("int") if several else bucket_of(v, f["boundaries"], date)
-    label = (lambda b: (b if isinstance(b, dt.datetime) else dt.datetime(b.year, b.month, b.day)).isoformat()) if date else lambda b: str(float(b))
-    counts = df.groupBy(bucket.alias("at")).agg(F.count("*").alias("n"))
-    labels = [(k, label(b)) for k, b in enumerate(f["boundaries"][:-1])]
-    if "default" in f:
-        labels.append((-1, str(f["default"])))
-        counts = counts.select(F.coalesce("at", F.lit(-1)).alias("at"), "n")
-    made = c.spark.createDataFrame(labels, "at int, label string")
-    found = made.join(counts, "at", "left" if keep_empty else "inner")
-    return found.select("label", F.coalesce("n", F.lit(0)).alias("count"), F.when(F.col("at") < 0, len(labels)).otherwise(F.col("at")).alias("at"))
+    bucket = F.lit(None).cast("int") if c.index.is_array(path) else bucket_of(F.col(path), f["boundaries"], date)
+    return F.array(F.struct(F.lit(number).alias("facet"), F.lit(None).cast("string").alias("label"), F.coalesce(bucket, F.lit(-1)).cast("int").alias("at"))).cast(NOTHING)
+
+
+def boundary_labels(f: dict) -> list[tuple[int, str]]:
+    """(bucket, label) of each boundary but the last, and of the default."""
+    day = lambda b: (b if isinstance(b, dt.datetime) else dt.datetime(b.year, b.month, b.day)).isoformat()
+    labels = [(k, day(b) if f["type"] == "date" else str(float(b))) for k, b in enumerate(f["boundaries"][:-1])]
+    return [*labels, (-1, str(f["default"]))] if "default" in f else labels
 
 
 def facet_counts(c: Compiler, operator: dict | None, facets: dict) -> DataFrame:
     """(facet, label, count, rank) of all facets.
 
-    Each facet is one partial and final count over the matched rows; Catalyst reads the facet's column and those of the
-    operator. With drill-sideways a facet's rows are those of the operator without its own clauses, and
-    boundary facets leave out empty buckets.
+    All facets are counted in one scan: a row gives what it counts for in each facet whose operator it matches, which is
+    summed in each task before it is shuffled; of string facets each task hands on its first numBuckets only. With
+    drill-sideways a facet's rows are those of the operator without its own clauses, and boundary facets leave out empty buckets.
     """
     check_facets(facets)
     sideways = drills(operator)
-    out = []
-    for name, f in facets.items():
+    every, matches = [], {}
+    for k, (name, f) in enumerate(facets.items()):
         op = without(operator, name) if sideways else operator
-        match = c.compile(op).match if op else None
-        df = c.index.docs if match is None else c.docs().where(match)
-        if f["type"] == "string":
-            counted = string_facet(c, df, f).withColumn("at", F.row_number().over(_rank()) - 1)
-        else:
-            counted = boundary_facet(c, df, f, not sideways)
-        out.append(counted.select(F.lit(name).alias("facet"), "label", "count", F.col("at").cast("int").alias("rank")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _rank():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.col("count").desc(), F.col("label").asc())  # numBuckets rows
-
-
+        match = matches.setdefault(repr(op), c.compile(op).match if op else F.lit(True))
+        counted = string_labels(c, k, f) if f["type"] == "string" else boundary_bucket(c, k, f)
+        every.append(F.coalesce(F.when(match, counted), F.expr("array()").cast(NOTHING)))  # an array that is null has no labels
+    rows = c.docs().where(reduce(or_, matches.values())) if matches else c.docs()
+    counts = rows.select(F.inline(F.flatten(F.array(*every)))).groupBy("facet", "label", "at").agg(F.count("*").alias("count"))
+    names = F.array(*[F.lit(n) for n in facets])
+    out = []
+    strings = {k: f.get("numBuckets", 10) for k, f in enumerate(facets.values()) if f["type"] == "string"}
+    if strings:
+        place = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("count").desc(), F.col("label").asc()))
+        ranked = counts.where(F.col("facet").isin(list(strings))).withColumn("place", place).where(F.col("place") <= max(strings.values()))
+        most = F.coalesce(*[F.when(F.col("facet") == k, n) for k, n in strings.items()])
+        out.append(ranked.where(F.col("place") <= most).select("facet", "label", "count", (F.col("place") - 1).alias("rank")))
+    labels = [(k, at, label, n if at < 0 else at) for k, f in enumerate(facets.values()) if k not in strings for own in [boundary_labels(f)] for n in [len(own)] for at, label in own]
+    if labels:
+        made = c.spark.createDataFrame(labels, "facet int, at int, label string, rank int")
+        found = F.broadcast(made).join(counts.where("at IS NOT NULL").select("facet", "at", "count"), ["facet", "at"], "inner") if sideways else made.join(counts.where("at IS NOT NULL").select("facet", "at", "count"), ["facet", "at"], "left")
+        out.append(found.select("facet", "label", F.coalesce("count", F.lit(0)).alias("count"), "rank"))
+    return reduce(DataFrame.unionByName, out).select(F.element_at(names, F.col("facet") + 1).alias("facet"), "label", "count", F.col("rank").cast("int").alias("rank"))

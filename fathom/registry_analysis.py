@@ -159,3 +159,11 @@ def facets_sideways_without_empty_buckets(spark, sf_dir):
     facets = {"price": FACETS["price"] | {"boundaries": [0, 100, 1e9]}}
     facets["price"].pop("default")
     return q.search_meta(orders(spark, sf_dir), {"facet": {"operator": SIDEWAYS, "facets": facets}})
+
+
+NEAR_TERMS = ["of", "the", "and", "in", "to"]
+_FIRST = [f"list_min(list_filter(range(i, least(i + 9, len(t) + 1)), lambda j: t[j] = '{w}'))" for w in NEAR_TERMS]
+by(
+    documents, {"span": {"near": {"clauses": [{"term": {"path": "text", "query": w}} for w in NEAR_TERMS], "slop": 4}}}, name="span_near_many_unordered", score=False,
+    sql=f"WITH {TOK} SELECT doc_id FROM tok WHERE len(list_filter(range(1, len(t) + 1), lambda i: " + " AND ".join(f"{x} IS NOT NULL" for x in _FIRST) + f" AND greatest({', '.join(_FIRST)}) - i + 1 - {len(NEAR_TERMS)} <= 4)) > 0",
+)
