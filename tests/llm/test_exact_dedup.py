@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathom.llm import exact_dedup
 
@@ -48,3 +49,19 @@ def test_directory_splits_overfull_buckets(spark):
 def test_native(spark, sf):
     plan = exact_dedup.op9_exact_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "ArrowEval", "InPandas"))
+
+
+@pytest.mark.parametrize(("keys", "bits"), [(0, 64), (0, 5), (10**6, 5)])
+def test_chained_hashes_broadcast_or_shuffled(spark, monkeypatch, keys, bits):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
+    rows = [(k, f"text {k % 40}" if k % 3 else "the hot  text") for k in range(600)]
+    got = sorted((tuple(r) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), key_bits=bits).collect()), key=repr)
+    assert got == brute(rows)
+
+
+def test_owners_have_whole_buckets(spark):
+    entries = spark.range(3000).selectExpr("xxhash64(id) AS key", "id AS keep_id", "1L AS group_size")
+    leaves = exact_dedup.directory(entries, 50, 5)
+    found = exact_dedup.index(entries, leaves, 7).withColumn("file", F.input_file_name())
+    assert found.count() == 3000 and found.groupBy("bucket").agg(F.count_distinct("file").alias("files")).where("files > 1").count() == 0
+    assert found.select("file").distinct().count() > 3 and found.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 50

@@ -1,3 +1,4 @@
+import html.parser
 import itertools
 import random
 import time
@@ -155,3 +156,38 @@ def test_hostile_pages_take_linear_time(piece):
     began = time.perf_counter()
     hx.main_text("<article><p>" + PROSE + piece * (1_000_000 // len(piece)))
     assert time.perf_counter() - began < 20
+
+
+def test_query_on_the_table(spark, sf):
+    """The tables' pages have one article and no boilerplate in it: its blocks by a parser of this test's own."""
+    ends = {"p", "h1", "h2", "h3", "li", "ul", "ol", "div", "br", "article", "blockquote", "table", "tr", "td", "section"}
+
+    class Blocks(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.skip, self.parts = 0, 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.skip += tag in ("script", "style")
+            if tag in ends:
+                self.parts.append("")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.skip -= tag in ("script", "style")
+            if tag in ends:
+                self.parts.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.parts[-1] += data
+
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in hx.op3_html_extraction(spark, sf).collect()}
+    assert len(rows) == len(got) > 0
+    for r in rows:
+        own = Blocks()
+        own.feed(r["html"] or "")
+        own.close()
+        assert got[r["page_id"]] == " ".join(t for p in own.parts if (t := " ".join(p.split()))), r["page_id"]

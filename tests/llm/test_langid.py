@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -123,3 +125,26 @@ def test_languages_with_long_texts_alone_are_learned(spark):
     assert sorted(found) == ["de", "en"] and [len(t) for t in found["de"]] == [langid.LONGEST] and found["de"][0] in book
     assert found == langid.sample(df.repartition(3), "text", "lang")
     assert langid.Model(found).predict([prose(de, 30), prose(en, 30)])[0][0] == "de"
+
+
+def test_query_against_brute_force(spark, sf):
+    """Each prediction of the query's table by parsing whole texts, letter by letter, against the samples' own text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    samples = langid.sample(docs.where(~langid.in_fold(F.col("doc_id"))), "text", "lang")
+    learned = {c for ts in samples.values() for t in ts for c in t.lower() if c.isalpha()}
+    plain = lambda text: re.sub(" +", " ", "".join((c.lower()[0] if c.lower()[0] in learned else "\0") if c.isalpha() else " " for c in text))
+    joined = {k: "".join(plain(t) + " " for t in ts) for k, ts in sorted(samples.items())}
+    got = {r["doc_id"]: r for r in langid.op5_language_id(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        found = got[r["doc_id"]]
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (found["lang_pred"], found["score"]) == ("und", 0.0)
+            continue
+        text = plain(r["text"])
+        parts = [text[k : k + langid.SEGMENT] for k in range(0, len(text), langid.SEGMENT)]
+        rates = {k: sum(phrases(s, p) for p in parts) / len(text) for k, s in joined.items()}
+        best = min(rates.values())
+        assert found["lang_pred"] == next(k for k, x in rates.items() if x == best), r["doc_id"]
+        assert abs(found["score"] - 1 / sum(math.exp(-20 * (x - best)) for x in rates.values())) < 1e-5

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -88,3 +89,33 @@ def test_run_leaves_one_table(spark, sf):
     before = held()
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert [n.split("-")[1] for n in held() - before] == ["source_mixing"]
+
+
+def test_rows_passes_and_shards_of_run(spark, sf):
+    """Each row of run() by its last two stages' rules alone: how often a document is used, and where its rows go."""
+    import hashlib
+    import math
+
+    from fathom.llm import sharding
+
+    rows = corpus_pipeline.run(spark, sf).collect()
+    table = sharding.lookup_table([f"shard-{k:05d}" for k in range(sharding.SHARDS)])
+    assert all(r["shard"] == table[int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16) % sharding.SLOTS] for r in rows)
+    docs = {r["doc_id"]: r for r in rows}
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) + 1
+    md5 = lambda *parts: hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+    sources = {}
+    for r in docs.values():
+        sources.setdefault(r["source"], []).append(r)
+    made = mixing.plan({s: sum(map(size, rs)) for s, rs in sources.items()})
+    want = {}
+    for s, rs in sources.items():
+        held, blocks = sum(map(size, rs)), max(1, math.ceil(len(rs) / mixing.BLOCK_DOCS))
+        whole, rest = divmod(made.budgets[s], held)
+        block = {r["doc_id"]: int(md5("block", r["doc_id"])[:15], 16) % blocks for r in rs}
+        order = sorted(rs, key=lambda r: (md5("pass", whole, s, block[r["doc_id"]]), block[r["doc_id"]], md5("doc", whole, r["doc_id"]), r["doc_id"]))
+        spent = 0
+        for r in order:
+            want[r["doc_id"]] = whole + (spent < rest)
+            spent += size(r)
+    assert Counter(r["doc_id"] for r in rows) == want

@@ -163,3 +163,13 @@ def test_digests_of_other_writers():
     assert ids(ok.replace(value, b"A" * 32) + revisit) == ["<urn:x:1>"]
     shown = re.sub(rb"Payload-Digest: sha1:[A-Z2-7]+", b"Payload-Digest: sha1:" + hashlib.sha1(b"p").hexdigest().upper().encode(), revisit)
     assert next(warc.salvage(shown))[0]["payload_digest"] == hashlib.sha1(b"p").hexdigest()
+
+
+def test_archives_are_closed_at_their_size(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    folder = work_dir(spark, "warc-test")
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html")).coalesce(1)
+    files = warc.write_archives(pages, folder).collect()
+    assert len(files) > 10 and sum(f["records"] for f in files) == 300
+    assert sorted(f["bytes"] >= 5000 for f in files)[1:] == [True] * (len(files) - 1) and max(f["bytes"] for f in files) < 6000
+    assert warc.read_archives(spark.createDataFrame(files), folder).where("gap IS NULL").count() == 300
