@@ -275,6 +275,14 @@ class SearchIndex:
 
     # Synonyms
 
+    def refresh_synonyms(self, name: str, rows: DataFrame) -> None:
+        """Takes a mapping's rows anew; queries that are compiled later have them."""
+        need(name in self.definition.synonyms, f"no synonym mapping {name}")
+        from fathom.sources.synonyms import load
+
+        a = self.definition.analyzer_named(self.definition.synonyms[name]["analyzer"])
+        self._synonyms[name] = load(rows, lambda text: [t for t, _ in a.analyze(self.spark, text)])
+
     def synonyms(self, name: str) -> list[tuple[list[str], list[str]]]:
         """(input, synonyms) pairs, analysed by the mapping's analyzer; a synonym collection is a small table."""
         from fathom.sources.synonyms import load

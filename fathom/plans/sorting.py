@@ -55,14 +55,27 @@ class Key:
         return past, F.coalesce(v == t, F.lit(False))
 
 
+#: Ranks of a VARIANT's types among each other: null, numbers, strings, objects, arrays, binary, booleans, dates and times.
+NULL, NUMBER, STRING, OBJECT, ARRAY, BINARY, OBJECT_ID, BOOLEAN, DATE = range(9)
+
+
 def bracket(v: Column) -> Column:
-    """Sort key of a VARIANT: type bracket (null, number, string, object, array, boolean, date), number, string."""
+    """Sort key of a VARIANT: the rank of its type, and its value as a number (dates in microseconds, false before true) or a text.
+
+    An object of the one field $oid or $uuid is an object id or a UUID; a UUID ranks as binary.
+    """
     kind = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    text = F.try_variant_get(v, "$", "string")
-    is_number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)")
-    rank = F.when(v.isNull() | (kind == "VOID"), 0).when(is_number, 1).when(kind == "STRING", 2).when(kind.startswith("OBJECT"), 3).when(kind.startswith("ARRAY"), 4).when(kind == "BOOLEAN", 5).otherwise(6)
-    return F.struct(rank.alias("rank"), F.when(is_number, number).alias("number"), F.when(~is_number, text).alias("text"))
+    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+    oid, uid = F.try_variant_get(v, "$['$oid']", "string"), F.try_variant_get(v, "$['$uuid']", "string")
+    is_number, is_date = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)"), kind.rlike("^(DATE|TIMESTAMP)")
+    rank = (
+        F.when(v.isNull() | (kind == "VOID"), NULL).when(is_number, NUMBER).when(kind == "STRING", STRING).when(oid.isNotNull(), OBJECT_ID).when(uid.isNotNull(), BINARY)
+        .when(kind.startswith("OBJECT"), OBJECT).when(kind.startswith("ARRAY"), ARRAY).when(kind == "BINARY", BINARY).when(kind == "BOOLEAN", BOOLEAN).otherwise(DATE)
+    )
+    # Casts of values of another type are an error, so each branch has its own.
+    value = F.when(is_number, number).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(is_date, F.unix_micros(F.try_variant_get(v, "$", "timestamp")).cast("double"))
+    binary = F.when(kind == "BINARY", F.hex(F.try_variant_get(v, "$", "binary")))
+    return F.struct(rank.alias("rank"), value.alias("number"), F.coalesce(oid, F.upper(F.replace(uid, F.lit("-"))), binary, F.when(~is_number & ~is_date & (kind != "BOOLEAN"), text)).alias("text"))
 
 
 def keys_of(c: Compiler, sort: dict | None, legacy: bool = False) -> list[Key]:

@@ -18,7 +18,7 @@ from fathom.registry import FORMULAS, ORDERS, QUERY, VECTORS, by, filtered, hits
 from fathom.registry import ORACLE_SQL, QUERIES
 from fathom.sources import tables
 from fathom.sources.storage import shared_dir
-from fathom.streaming.cdc import IndexedTable, apply_stream
+from fathom.streaming.cdc import IndexedTable, apply_stream, follow_synonyms
 
 # Orders with a value of each type
 
@@ -119,6 +119,20 @@ def sort_nan_below_numbers(spark, sf_dir):
     return spark.createDataFrame([(k, r["o_orderkey"]) for k, r in enumerate((x for b in tables.batches(found) for x in b), 1)], "place long, o_orderkey long")
 
 
+@query("""WITH m AS (SELECT event_id, event_id % 6 AS kind, value FROM events)
+SELECT row_number() OVER (ORDER BY CASE kind WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 6 WHEN 4 THEN 7 ELSE 8 END, CASE kind WHEN 1 THEN round(value, 2) WHEN 4 THEN CAST(event_id % 12 = 4 AS INT) WHEN 5 THEN event_id END, CASE kind WHEN 2 THEN 's' || event_id WHEN 3 THEN md5(CAST(event_id AS VARCHAR)) END, event_id) AS place, event_id FROM m""")
+def sort_mixed_types(spark, sf_dir):
+    """Values of one path of several types: nulls, numbers, strings, object ids, booleans, dates."""
+    e, kind = F.col("event_id"), F.col("event_id") % 6
+    oid = F.parse_json(F.concat(F.lit('{"$oid":"'), F.md5(e.cast("string").cast("binary")), F.lit('"}')))
+    plain = F.parse_json(F.when(kind == 1, F.round("value", 2).cast("string")).when(kind == 2, F.concat(F.lit('"s'), e.cast("string"), F.lit('"'))).when(kind == 4, (e % 12 == 4).cast("string")).otherwise("null"))
+    date = F.timestamp_seconds(e).cast("variant")
+    df = read(spark, sf_dir, "events").select("event_id", F.when(kind == 3, oid).when(kind == 5, date).otherwise(plain).alias("mixed"))
+    index = SearchIndex(df, {"mappings": {"fields": {"event_id": {"type": "number"}, "mixed": [{"type": "number"}, {"type": "token"}]}}}, "event_id")
+    found = q.search(index, {"exists": {"path": "event_id"}, "sort": {"mixed": 1}, "limit": None}).select("event_id")
+    return spark.createDataFrame([(k, r["event_id"]) for k, r in enumerate((x for b in tables.batches(found) for x in b), 1)], "place long, event_id long")
+
+
 # Facets of several values, counts beside hits
 
 
@@ -374,3 +388,17 @@ def cdc_stream(spark, sf_dir):
 @query(f"WITH {CHANGES} SELECT user_id AS _id, event_id, value FROM e WHERE r = 1 AND op <> 'delete'")
 def cdc_stream_resumed(spark, sf_dir):
     return _changed(spark, sf_dir, 2)
+
+
+@query("SELECT p_partkey FROM part WHERE split_part(p_name, ' ', 2) IN ('bolt', 'gear')")
+def synonyms_followed(spark, sf_dir):
+    """A synonym mapping after its collection changed: one row replaced, one deleted."""
+    mapping = {"mappings": {"fields": {"p_name": {"type": "string", "analyzer": "lucene.simple"}}}, "synonyms": [{"name": "words", "source": {"collection": "words"}, "analyzer": "lucene.simple"}]}
+    doc = "_id int, mappingType string, synonyms array<string>, input array<string>"
+    index = SearchIndex(read(spark, sf_dir, "part"), mapping, "p_partkey", synonyms={"words": spark.createDataFrame([(1, "equivalent", ["bolt", "anvil"], None), (2, "equivalent", ["gear", "red"], None)], doc)})
+    schema, folder = f"op string, _id int, seq int, doc struct<{doc.replace(' ', ':').replace(',:', ', ')}>", _folder(spark, "synonyms")
+    rows = [("insert", 1, 1, (1, "equivalent", ["bolt", "anvil"], None)), ("insert", 2, 2, (2, "equivalent", ["gear", "red"], None)), ("replace", 1, 3, (1, "equivalent", ["bolt", "gear"], None)), ("delete", 2, 4, None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/events")
+    events = spark.readStream.schema(schema).parquet(f"{folder}/events")
+    follow_synonyms(events, index, "words", IndexedTable(spark, f"{folder}/table", doc), f"{folder}/checkpoint", once=True).awaitTermination()
+    return q.search(index, {"text": {"path": "p_name", "query": "bolt", "synonyms": "words"}, "limit": None}).select("p_partkey")

@@ -85,3 +85,21 @@ def test_stream(spark, tmp_path):
     assert len(table.versions()) == 2
     with pytest.raises(Exception, match="drop"):
         feed(3, [("drop", None, 6, None, None)])
+
+
+def test_a_merge_writes_touched_buckets_only(spark, tmp_path):
+    import os
+
+    table = IndexedTable(spark, f"file://{tmp_path}/table", "_id long, n int", buckets=8)
+    rows = lambda pairs: spark.createDataFrame([(i, n, False) for i, n in pairs], "_id long, n int, deleted boolean")
+    table.merge(rows([(k, k) for k in range(200)]), 0)
+    table.merge(rows([(5, -5)]), 1)
+    assert len([d for d in os.listdir(f"{tmp_path}/table/v=1") if d.startswith("__bucket=")]) == 1
+    assert {r["_id"]: r["n"] for r in table.read().collect()} == {k: k for k in range(200)} | {5: -5}
+    assert {r["_id"]: r["n"] for r in table.read(0).collect()} == {k: k for k in range(200)}  # the version before is still whole
+    table.merge(rows([(5, 50)]), 1)  # a batch that is run again
+    table.merge(rows([(k, 0) for k in range(200)]).withColumn("deleted", F.col("_id") != 7), 2)
+    assert [tuple(r) for r in table.read().collect()] == [(7, 0)] and table.versions() == [1, 2]
+    table.merge(rows([(300, 3)]), 3)
+    assert sorted(map(tuple, table.read().collect())) == [(7, 0), (300, 3)] and table.versions() == [2, 3]
+    assert sorted(d for d in os.listdir(f"{tmp_path}/table") if d.startswith("v=")) == ["v=2", "v=3"]
