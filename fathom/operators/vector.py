@@ -78,7 +78,8 @@ def top(df: DataFrame, score: str, id_col: str, n: int) -> DataFrame:
 def vector_search(c: Compiler, body: dict, embedder: Callable | None = None) -> DataFrame:
     """The `limit` best documents: all columns and __score. Ties by id.
 
-    Exact and plain approximate search are one scan with a top-k in each task (an exact answer has recall one). With
+    Exact search is one scan with a top-k in each task, and so is approximate search, of the nearest lists of a written
+    index, else of all rows (an exact answer has recall one). With
     scalar quantisation numCandidates come from components in seven bits, and are scored in full. With binary quantisation numCandidates come from Hamming distances, are scored against their signs, and the best
     sqrt(limit * numCandidates) in full; each stage is a bounded top-k of the one before.
     """
@@ -108,6 +109,9 @@ def vector_search(c: Compiler, body: dict, embedder: Callable | None = None) ->
         hits = top(best, "__score", ident, body["limit"])
         return c.index.docs.join(F.broadcast(hits), ident) if body["limit"] <= 10_000 else c.index.docs.join(hits, ident)
     v = F.col(path)
+    if path in c.index.lists and not body.get("exact") and not isinstance(q, bytes):
+        # Rows of the nearest lists only; a filter is among those that they have.
+        df = df.where(F.col("__list").isin(c.index.lists[path].nearest(q, body["numCandidates"])))
     if d["quantization"] == "binary" and not body.get("exact") and not isinstance(q, bytes):
         stored = f"__sgn_{path}"
         words = F.col(stored) if stored in c.index.docs.columns else vectors.signs(v, len(q))

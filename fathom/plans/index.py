@@ -15,6 +15,7 @@ from dataclasses import replace
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ from fathom.functions import analysis
 from fathom.functions.distance import osa
 from fathom.plans.definition import IndexDefinition, leaf_paths, type_at
 from fathom.plans.errors import need
+from fathom.plans.lists import LEAST_LISTS, Lists, fitted, list_of
 
 
 #: Columns that an index adds to its documents.
-OWN = ("__tok_", "__len_", "__docrow")
+OWN = ("__tok_", "__len_", "__docrow", "__list")
+LISTS = "field string, number int, centroid array<double>, n long, cosine boolean"
 #: Hits of a query that are broadcast: at most so many bytes, by the term table's counts and HIT_BYTES for each.
 BROADCAST_HITS, HIT_BYTES = 64 << 20, 64
 
@@ -63,6 +66,7 @@ class SearchIndex:
         self.postings: DataFrame | None = None
         self.terms: DataFrame | None = None
         self.totals: DataFrame | None = None
+        self.lists: dict[str, Lists] = {}
         self._stats: dict = {}
         self._occurrences: dict[tuple[str, str], int] = {}
         self._frequencies: dict[tuple[str, str], int] = {}
@@ -130,7 +134,12 @@ class SearchIndex:
         """
         docs, cores = self.docs, self.spark.sparkContext.defaultParallelism
         n = self.definition.partitions if self.definition.partitions > 1 else cores if docs.rdd.getNumPartitions() < cores else 0
-        if n:
+        listed = self._listed()
+        if listed:
+            field, centroids, cosine = listed
+            docs = docs.withColumn("__list", list_of(F.col(field), centroids, cosine))
+            docs = docs.repartitionByRange(n or docs.rdd.getNumPartitions(), "__list", self.id_col).sortWithinPartitions("__list")
+        elif n:
             docs = docs.repartition(n, self.id_col)
         df = SearchIndex(docs, self._plain(), self.id_col, self.field_names_col, self.synonym_rows).materialized().docs
         if self.definition.sort:
@@ -138,8 +147,22 @@ class SearchIndex:
         df = df.select("*", *[F.size(c).alias(length_column(c)) for c in df.columns if c.startswith("__tok_")], F.monotonically_increasing_id().alias("__docrow"))
         df.write.mode(mode).parquet(path)
         self._write_postings(path)
+        if listed:
+            sizes = {r["__list"]: r["n"] for r in self.spark.read.parquet(path).where("__list IS NOT NULL").groupBy("__list").agg(F.count("*").alias("n")).collect()}  # a row for each list
+            rows = [(field, k, x.tolist(), sizes.get(k, 0), cosine) for k, x in enumerate(centroids)]
+            self.spark.createDataFrame(rows, LISTS).coalesce(1).write.parquet(f"{path}/_lists")
         return SearchIndex.open(self.spark, path, self._plain(), self.id_col, self.field_names_col, self.synonym_rows)
 
+    def _listed(self) -> tuple[str, np.ndarray, bool] | None:
+        """The field, centroids and whether they are of unit vectors, of a vector index of one plain field without quantisation and sort; others have no lists."""
+        found = [(p, d) for p, ds in self.definition.fields.items() for d in ds if d["type"] == "vector" and isinstance(type_at(self.schema, p), T.ArrayType)]
+        if self.definition.type != "vectorSearch" or self.definition.sort or self.definition.nested_root or len(found) != 1 or "." in found[0][0] or found[0][1].get("indexingMethod") == "flat":
+            return None
+        (path, d), n = found[0], self.docs.count()
+        cosine = d["similarity"] == "cosine"
+        centroids = fitted(self.docs, path, d["numDimensions"], cosine, n)
+        return (path, centroids, cosine) if len(centroids) > LEAST_LISTS else None
+
     def _write_postings(self, path: str) -> None:
         """Below the documents, in a folder that scans of these pass over: a task writes a range of terms, and a frequent term is in several ranges."""
         docs = self.spark.read.parquet(path)
@@ -162,8 +185,12 @@ class SearchIndex:
         made = cls(spark.read.parquet(path), definition, id_col, field_names_col, synonyms)
         made.path = path
         made.schema = T.StructType([f for f in made.schema if not f.name.startswith(OWN)])
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_totals/_SUCCESS")
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        there = lambda name: at(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(at(f"{path}/{name}/_SUCCESS"))
+        if "__list" in made.docs.columns and there("_lists"):
+            rows = sorted(spark.read.schema(LISTS).parquet(f"{path}/_lists").collect(), key=lambda r: r["number"])  # MOST_LISTS at most
+            made.lists = {rows[0]["field"]: Lists("__list", np.array([r["centroid"] for r in rows]), np.array([r["n"] for r in rows]), rows[0]["cosine"])} if rows else {}
+        if there("_totals"):
             made.postings = spark.read.schema("term string, __docrow long, pos int, field string").parquet(f"{path}/_postings")
             made.terms = spark.read.schema("term string, df long, n long, field string").parquet(f"{path}/_terms")
             made.totals = spark.read.schema("field string, n long, length long").parquet(f"{path}/_totals")
