@@ -17,7 +17,7 @@ from fathom.plans.index import SearchIndex
 from fathom.registry import FORMULAS, ORDERS, QUERY, VECTORS, by, filtered, hits, orders, parts, query, read, vector_by
 from fathom.registry import ORACLE_SQL, QUERIES
 from fathom.sources import tables
-from fathom.sources.storage import shared_dir
+from fathom.sources.storage import work_dir
 from fathom.streaming.cdc import IndexedTable, apply_stream, follow_synonyms
 
 # Orders with a value of each type
@@ -167,6 +167,13 @@ def stored_source_included(spark, sf_dir):
     return found.drop(*[c for c in found.columns if c.startswith("__")])
 
 
+@query("""SELECT 'compound' AS operator, count(*) FILTER (o_totalprice > 50000 AND o_orderstatus <> 'O') AS matches FROM orders UNION ALL SELECT 'compound.must[0].range', count(*) FILTER (o_totalprice > 50000) FROM orders
+UNION ALL SELECT 'compound.mustNot[0].equals', count(*) FILTER (o_orderstatus = 'O') FROM orders UNION ALL SELECT 'compound.should[0].in', count(*) FILTER (o_orderpriority IN ('1-URGENT', '5-LOW')) FROM orders""")
+def explain_operators(spark, sf_dir):
+    parts_of = {"must": [{"range": {"path": "o_totalprice", "gt": 50000}}], "mustNot": [{"equals": {"path": "o_orderstatus", "value": "O"}}], "should": [{"in": {"path": "o_orderpriority", "value": ["1-URGENT", "5-LOW"]}}]}
+    return q.operator_stats(orders(spark, sf_dir), {"compound": parts_of})
+
+
 # Several indexes of one collection
 
 SHARD = {"range": {"path": "o_totalprice", "gte": 1000}}
@@ -326,13 +333,9 @@ def scan_resumed(spark, sf_dir):
     return tables.scan(spark, f"{sf_dir}/orders.parquet", "o_orderkey", 500).select("o_orderkey", "o_totalprice")
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/fathom-{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def sink_partitioned(spark, sf_dir):
-    path = _folder(spark, "partitioned")
+    path = work_dir(spark, "partitioned")
     tables.write_partitioned(read(spark, sf_dir, "orders"), path, 5, "o_orderkey")
     return tables.scan(spark, path).select("o_orderkey", "o_custkey", "o_totalprice")
 
@@ -340,7 +343,7 @@ def sink_partitioned(spark, sf_dir):
 @query("SELECT p_partkey, p_name, 1.0::DOUBLE AS score FROM part WHERE p_size >= 40")
 def index_written_and_opened(spark, sf_dir):
     held = parts(spark, sf_dir)
-    index = SearchIndex(read(spark, sf_dir, "part"), {"mappings": {"fields": {"p_name": {"type": "string"}, "p_size": {"type": "number"}}}, "numPartitions": 4, "sort": {"p_size": 1}}, held.id_col).write(_folder(spark, "written"))
+    index = SearchIndex(read(spark, sf_dir, "part"), {"mappings": {"fields": {"p_name": {"type": "string"}, "p_size": {"type": "number"}}}, "numPartitions": 4, "sort": {"p_size": 1}}, held.id_col).write(work_dir(spark, "written"))
     return q.search(SearchIndex.open(spark, index.path, index.definition, index.id_col), {"range": {"path": "p_size", "gte": 40}, "limit": None}).select("p_partkey", "p_name", F.col("__score").alias("score"))
 
 
@@ -355,7 +358,7 @@ def cursor_batches(spark, sf_dir):
 @query("SELECT p_partkey, sha256(p_name || CASE WHEN p_partkey % 10 = 0 THEN ' changed' ELSE '' END) AS digest, CAST(16 AS INT) AS dims FROM part WHERE p_partkey % 3 <> 0")
 def sink_embedding_view(spark, sf_dir):
     """The view after a change: rows gone, texts changed, the others as they were."""
-    df, path = read(spark, sf_dir, "part"), _folder(spark, "view")
+    df, path = read(spark, sf_dir, "part"), work_dir(spark, "view")
     tables.materialize_embeddings(df, path, "p_name", "vector", dims=16, id_col="p_partkey")
     later = df.where("p_partkey % 3 <> 0").withColumn("p_name", F.when(F.col("p_partkey") % 10 == 0, F.concat("p_name", F.lit(" changed"))).otherwise(F.col("p_name")))
     return tables.materialize_embeddings(later, path, "p_name", "vector", dims=16, id_col="p_partkey").select("p_partkey", "digest", F.size("vector").alias("dims"))
@@ -374,7 +377,7 @@ def _changed(spark, sf_dir, refreshes: int) -> DataFrame:
         source = spark.readStream.schema(read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
         events = source.select(F.col("user_id").alias("_id"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") == least, "delete").otherwise("insert").alias("op"), F.when(F.col("event_type") != least, doc).alias("doc"))
         if _ == 0:
-            path, checkpoint = _folder(spark, "users"), _folder(spark, "checkpoint")
+            path, checkpoint = work_dir(spark, "users"), work_dir(spark, "checkpoint")
             table = IndexedTable(spark, path, "_id long, event_id long, value double")
         apply_stream(events, table, checkpoint, once=True).awaitTermination()
     return table.read()
@@ -396,7 +399,7 @@ def synonyms_followed(spark, sf_dir):
     mapping = {"mappings": {"fields": {"p_name": {"type": "string", "analyzer": "lucene.simple"}}}, "synonyms": [{"name": "words", "source": {"collection": "words"}, "analyzer": "lucene.simple"}]}
     doc = "_id int, mappingType string, synonyms array<string>, input array<string>"
     index = SearchIndex(read(spark, sf_dir, "part"), mapping, "p_partkey", synonyms={"words": spark.createDataFrame([(1, "equivalent", ["bolt", "anvil"], None), (2, "equivalent", ["gear", "red"], None)], doc)})
-    schema, folder = f"op string, _id int, seq int, doc struct<{doc.replace(' ', ':').replace(',:', ', ')}>", _folder(spark, "synonyms")
+    schema, folder = f"op string, _id int, seq int, doc struct<{doc.replace(' ', ':').replace(',:', ', ')}>", work_dir(spark, "synonyms")
     rows = [("insert", 1, 1, (1, "equivalent", ["bolt", "anvil"], None)), ("insert", 2, 2, (2, "equivalent", ["gear", "red"], None)), ("replace", 1, 3, (1, "equivalent", ["bolt", "gear"], None)), ("delete", 2, 4, None)]
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/events")
     events = spark.readStream.schema(schema).parquet(f"{folder}/events")

@@ -32,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one, deleted with the session."""
+    path = f"{shared_dir(spark)}/fathom-{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def state_of(spark: SparkSession, path: str) -> tuple:
     """Names, lengths and modification times of a table's files: another state is another index. A store's folders have no such state."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,7 +58,7 @@ def opened(spark: SparkSession, name: str, sources: list[str], make: Callable[[]
     key = (spark.sparkContext.applicationId, name, *[state_of(spark, s) for s in sources])
     if key not in _OPENED:
         made = make()
-        _OPENED[key] = made.write(f"{shared_dir(spark)}/fathom-index-{name}-{uuid.uuid4().hex}")
+        _OPENED[key] = made.write(work_dir(spark, f"index-{name}"))
     held = _OPENED[key]
     # A new object over the same files: statistics that one query has looked up don't speed up the measure of the next.
     return SearchIndex.open(spark, held.path, held.definition, held.id_col, held.field_names_col, held.synonym_rows)
