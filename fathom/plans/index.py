@@ -173,9 +173,11 @@ class SearchIndex:
         flat = reduce(DataFrame.unionByName, each).select("field", "term", "__docrow", "pos")
         parts = max(self.spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
         flat.repartitionByRange(parts, "field", "term", "__docrow").sortWithinPartitions("field", "term", "__docrow").write.partitionBy("field").parquet(f"{path}/_postings")
-        postings = self.spark.read.parquet(f"{path}/_postings")
-        of_documents = postings.groupBy("field", "term", "__docrow").agg(F.count("*").alias("n"))
-        terms = of_documents.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+        # Documents with a term and its occurrences, summed in each task: what is shuffled is each task's vocabulary.
+        row = lambda c, term, df, n: docs.select(F.lit(c).alias("field"), term.alias("term"), F.lit(df).cast("long").alias("df"), F.lit(n).cast("long").alias("n"))
+        names = {c: F.transform(c, lambda t: t["term"]) for c in stored}
+        counts = [row(c, F.explode(own), *added) for c, terms in names.items() for own, added in ((F.array_distinct(terms), (1, 0)), (terms, (0, 1)))]
+        terms = reduce(DataFrame.unionByName, counts).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
         terms.repartitionByRange(parts, "field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/_terms")
         lengths = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(length_column(c)).cast("long").alias("length")) for c in stored]))
         docs.select(lengths).where("length > 0").groupBy("field").agg(F.count("*").alias("n"), F.sum("length").alias("length")).coalesce(1).write.parquet(f"{path}/_totals")
