@@ -366,7 +366,7 @@ STOCK: dict[str, Analyzer] = {
 }
 for _name in "dutch swedish norwegian danish russian".split():
     STOCK[f"lucene.{_name}"] = _language(_name, {"type": "snowballStemming", "stemmerName": _name})
-#: These languages' analyzers have light stemmers; here they are lists of suffixes, which come near to them.
+#: These languages' analyzers have light stemmers.
 for _name in "french german spanish italian portuguese".split():
     STOCK[f"lucene.{_name}"] = _language(_name, {"type": "lightStemming", "language": _name})
 #: Languages without a stemmer of ours: words in lower case (and without stop words, where there is a list).

@@ -123,14 +123,55 @@ def _suffixes(least: int, *ends: str) -> Callable[[str], str]:
     return stem
 
 
-#: Light stemmers by suffix lists.
+def _rules(w: str, rules: list[tuple[int, str, str]]) -> str:
+    """The first rule (letters that the word has at least, end, what stands for it) that fits."""
+    return next((w[: len(w) - len(end)] + to for least, end, to in rules if len(w) >= least and w.endswith(end)), w)
+
+
+def german_light(w: str) -> str:
+    """Plurals and cases, then comparatives: two rounds of the endings that nouns and adjectives take."""
+    w = w.translate(str.maketrans("äàáâöòóôïìíîüùúû", "aaaaooooiiiiuuuu"))
+    after = lambda w, k: len(w) > k and w[-k - 1] in "bdfghklmnt"
+    w = _rules(w, [(6, "ern", ""), (5, "em", ""), (5, "en", ""), (5, "er", ""), (5, "es", ""), (4, "e", ""), *([(4, "s", "")] if after(w, 1) else [])])
+    return _rules(w, [(6, "est", ""), (5, "er", ""), (5, "en", ""), *([(5, "st", "")] if after(w, 2) else [])])
+
+
+def spanish_light(w: str) -> str:
+    """Plurals, and the vowel of gender."""
+    if len(w) < 5:
+        return w
+    w = _plain(w.replace("ñ", "\x00")).replace("\x00", "ñ")
+    return _rules(w, [(5, "eses", "es"), (5, "ces", "z"), (5, "os", ""), (5, "as", ""), (5, "es", ""), (5, "o", ""), (5, "a", ""), (5, "e", "")])
+
+
+def italian_light(w: str) -> str:
+    """The final vowel, with the i or h before it."""
+    if len(w) < 6:
+        return w
+    w = _plain(w)
+    return _rules(w, [(6, x + v, "") for v, befores in (("e", "ih"), ("i", "ih"), ("a", "i"), ("o", "i")) for x in befores] + [(6, v, "") for v in "eiao"])
+
+
+def portuguese_light(w: str) -> str:
+    """Plurals and adverbs, then feminines, then the final vowel; accents go last."""
+    if len(w) < 4:
+        return w
+    plural = [(5, c + "es", c) for c in "rslz"] + [(4, "ns", "m"), (5, "eis", "el"), (5, "éis", "el"), (5, "ais", "al"), (5, "óis", "ol"), (5, "is", "il"), (4, "ões", "ão"), (4, "ães", "ão"), (7, "mente", ""), (4, "s", "")]
+    w = _rules(w, plural)
+    if len(w) > 3 and w.endswith("a"):
+        long = [(8, e + "a", e + "o") for e in ("inh", "iac", "eir")]
+        short = [(7, e + "a", e + "o") for e in ("os", "ic", "id", "ad", "iv", "am")]
+        w = _rules(w, [*long, *short, (7, "ona", "ão"), (7, "ora", "or"), (7, "esa", "ês"), (7, "na", "no")])
+    if len(w) > 4 and w[-1] in "eao":
+        w = w[:-1]
+    return _plain(w)
+
+
+#: Light stemmers of language analyzers; the French one is a list of suffixes that comes near to its language's.
 LIGHT: dict[str, Callable[[str], str]] = {
     "french": _suffixes(3, "issements", "issement", "atrices", "atrice", "ateurs", "ateur", "ations", "ation", "ements", "ement", "euses", "euse", "ences", "ence", "ances", "ance", "ites", "ite", "ives", "ive", "ifs", "if", "aux", "eux", "ees", "ee", "es", "er", "ir", "e", "s", "x"),
-    "german": _suffixes(3, "ungen", "heiten", "keiten", "heit", "keit", "lich", "isch", "ung", "ern", "em", "en", "er", "es", "e", "s", "n"),
-    "spanish": _suffixes(3, "amientos", "imientos", "amiento", "imiento", "aciones", "acion", "adoras", "adores", "adora", "ador", "mente", "idades", "idad", "ancias", "ancia", "encias", "encia", "ables", "able", "ados", "adas", "ado", "ada", "idos", "idas", "ido", "ida", "ar", "er", "ir", "os", "as", "es", "o", "a", "e", "s"),
-    "italian": _suffixes(3, "azioni", "azione", "amento", "amenti", "mente", "ita", "oso", "osa", "are", "ere", "ire", "i", "e", "a", "o"),
-    "portuguese": _suffixes(3, "acoes", "acao", "amente", "mente", "idades", "idade", "os", "as", "es", "o", "a", "e", "s"),
-}
+    "german": german_light, "italian": italian_light, "portuguese": portuguese_light, "spanish": spanish_light,
+}
 
 DM_RULES = None
 

@@ -36,3 +36,18 @@ def test_names_without_a_stemmer_are_refused(spark):
     for f in ({"type": "snowballStemming", "stemmerName": "finnish"}, {"type": "snowballStemming", "stemmerName": "lovins"}, {"type": "kStemming"}, {"type": "stempel"}):
         with pytest.raises(ValueError, match="no stemmer"):
             custom({"name": "mine", "tokenizer": {"type": "whitespace"}, "tokenFilters": [f]}).analyze(spark, "running")
+
+
+@pytest.mark.parametrize(
+    ("language", "cases"),
+    [
+        ("german", "häuser:haus hauses:haus haus:haus kindern:kind schönste:schon schnellsten:schnell"),
+        ("spanish", "chicas:chic chicos:chic luces:luz intereses:interes niños:niñ casa:casa canción:cancion"),
+        ("italian", "ragazzo:ragazz ragazzi:ragazz amiche:amic virtù:virtù bianchi:bianc propri:propr notizia:notiz"),
+        ("portuguese", "quilométricas:quilometric quilométricos:quilometric papéis:papel animais:animal homens:homem corações:coraca felizmente:feliz mulheres:mulher"),
+    ],
+)
+def test_light_stems(language, cases):
+    from fathom.functions.stemming import LIGHT
+
+    assert {w: LIGHT[language](w) for w, _ in (c.split(":") for c in cases.split())} == dict(c.split(":") for c in cases.split())
