@@ -27,6 +27,7 @@ LETTER, DIGIT = r"[\p{L}\p{M}]", r"\p{N}"
 STANDARD = rf"(?:[\p{{L}}\p{{M}}\p{{N}}_]|(?<={LETTER})[.'’:·](?={LETTER})|(?<={DIGIT})[.,;'](?={DIGIT}))+"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 URL_EMAIL = r"(?:https?|ftp)://[^\s<>\"']+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|" + STANDARD
+#: Published stop words of four languages.
 ENGLISH_STOP = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 STOP: dict[str, list[str]] = {
     "english": ENGLISH_STOP,

@@ -32,6 +32,7 @@ def _cvc(w: str) -> bool:
     return len(w) > 2 and _cons(w, len(w) - 1) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 3) and w[-1] not in "wxy"
 
 
+#: The endings of steps 2 to 4 of Porter's description.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
 STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
 STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"]
@@ -177,7 +178,7 @@ DM_RULES = None
 
 
 def _dm_table() -> list[tuple[str, list[str], list[str], list[str]]]:
-    """Daitch-Mokotoff: pattern and its codes at the start, before a vowel, elsewhere ('' is not coded; a second entry branches)."""
+    """Fixed values, the published table of Daitch and Mokotoff: pattern and its codes at the start, before a vowel, elsewhere ('' is not coded; a second entry branches)."""
     raw = """ai aj ay|0|1|; au|0|7|; a|0||; ei ej ey|0|1|; eu|1|1|; e|0||; ia ie io iu|1||; i|0||; oi oj oy|0|1|; o|0||; ui uj uy|0|1|; ue|0||; u|0||;
     schtsch schtsh schtch|2|4|4; shtch shch shtsh|2|4|4; stsch stch strz strs stsh|2|4|4; ttsch ttch ttsz|4|4|4; tsch tch tsh ttz ttszs|4|4|4; szcz szcs|2|4|4; zhdzh zdzh zdz|2|4|4;
     sch|4|4|4; sht scht schd|2|43|43; szt shd szd sd st|2|43|43; zsch zsh zh zs|4|4|4; drz drs ds dsh dsz dz dzh dzs dt d|DZ; csz czs cs cz|4|4|4; trz trs th t ts tts ttss tc tz tzs tsz|TZ;

@@ -146,12 +146,6 @@ def read_token(token: str, keys: list[Key]) -> tuple[list, object]:
     return values, json.loads(body["i"])["v"]
 
 
-def encode_token(values: list, ident: object, types: list[str]) -> str:
-    """A token from plain values (for callers without a result row)."""
-    parts = [json.dumps({"v": v.isoformat() if isinstance(v, (dt.datetime, dt.date)) else v, "t": t}) for v, t in zip(values, types, strict=True)]
-    return base64.b64encode(json.dumps({"k": parts, "i": json.dumps({"v": ident})}).encode()).decode()
-
-
 def after(df: DataFrame, keys: list[Key], id_col: str, token: str, inverted: bool) -> DataFrame:
     """Rows strictly after a token in the (inverted) order: a filter, so it runs before the top-k."""
     values, ident = read_token(token, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fathom.functions.analysis import STOCK, Analyzer, custom
+from fathom.functions.scores import quantized_length
 from fathom.plans import query as q
 from fathom.registry import FACETS, NAMES, ORACLE_SQL, QUERIES, SIDEWAYS, TOK, bm25, by, documents, idf, orders, parts, query, read, stats, tf
 
@@ -167,3 +168,11 @@ by(
     documents, {"span": {"near": {"clauses": [{"term": {"path": "text", "query": w}} for w in NEAR_TERMS], "slop": 4}}}, name="span_near_many_unordered", score=False,
     sql=f"WITH {TOK} SELECT doc_id FROM tok WHERE len(list_filter(range(1, len(t) + 1), lambda i: " + " AND ".join(f"{x} IS NOT NULL" for x in _FIRST) + f" AND greatest({', '.join(_FIRST)}) - i + 1 - {len(NEAR_TERMS)} <= 4)) > 0",
 )
+
+
+@query(f"""WITH {TOK}, n AS (SELECT doc_id, CAST(len(t) AS INT) AS length, CAST(greatest(floor(log2(greatest(len(t) - 24, 1))) - 3, 0) AS INT) AS s FROM tok)
+SELECT doc_id, length, CAST(CASE WHEN length < 40 THEN length ELSE 24 + (((length - 24) >> s) << s) END AS INT) AS kept FROM n""")
+def length_norms(spark, sf_dir):
+    """Lengths as one byte keeps them, beside exact ones."""
+    length = F.col("__len_text__lucene_simple")
+    return documents(spark, sf_dir).docs.select("doc_id", length.alias("length"), quantized_length(length).cast("int").alias("kept"))
