@@ -18,7 +18,7 @@ from fathom.registry import FORMULAS, ORDERS, QUERY, VECTORS, by, filtered, hits
 from fathom.registry import ORACLE_SQL, QUERIES
 from fathom.sources import tables
 from fathom.sources.storage import work_dir
-from fathom.streaming.cdc import IndexedTable, apply_stream, follow_synonyms
+from fathom.streaming.cdc import IndexedTable, apply_stream, changes, follow_synonyms, relevant
 
 # Orders with a value of each type
 
@@ -393,6 +393,28 @@ def cdc_stream_resumed(spark, sf_dir):
     return _changed(spark, sf_dir, 2)
 
 
+def _events(spark, sf_dir) -> DataFrame:
+    """Events as updates: those of every third one touch `props` alone, of every fifth one the list of fields isn't known."""
+    e = read(spark, sf_dir, "events")
+    touched = F.when(F.col("event_id") % 5 == 0, None).when(F.col("event_id") % 3 == 0, F.array(F.lit("props.k"))).otherwise(F.array(F.lit("props"), F.lit("value.amount")))
+    doc = F.struct(F.col("user_id").alias("_id"), "event_id", "value")
+    return e.select(F.col("user_id").alias("_id"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, "insert").otherwise("update").alias("op"), doc.alias("doc"), touched.alias("updated"))
+
+
+@query("SELECT user_id AS _id, event_id FROM events WHERE event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 3 <> 0")
+def cdc_irrelevant_updates(spark, sf_dir):
+    return relevant(_events(spark, sf_dir), ["value"]).select("_id", "doc.event_id")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT user_id AS _id, NOT coalesce(value >= 50, false) AS deleted, CASE WHEN value >= 50 THEN value * 2 END AS twice FROM e WHERE r = 1""")
+def cdc_view_rewriting(spark, sf_dir):
+    """The last change of each id as a view has it: what the view leaves out is deleted."""
+    view = [{"$match": {"value": {"$gte": 50}}}, {"$addFields": {"twice": {"$multiply": ["$value", 2]}}}]
+    found = changes(_events(spark, sf_dir), view=view)
+    return found.select("_id", "deleted", F.when(~F.col("deleted"), F.col("twice")).alias("twice"))
+
+
 @query("SELECT p_partkey FROM part WHERE split_part(p_name, ' ', 2) IN ('bolt', 'gear')")
 def synonyms_followed(spark, sf_dir):
     """A synonym mapping after its collection changed: one row replaced, one deleted."""
