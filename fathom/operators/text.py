@@ -61,7 +61,7 @@ class Field:
     def term(self, term: str, boost: float = 1.0, df: int | None = None) -> Row:
         freq = F.size(self.places([term]))
         score = self.weighed([term], freq, df)
-        return Row(freq > 0, score * boost if boost != 1 else score, [(f"{self.path}:{term}", score, self.parts([term], freq, df))])
+        return Row(freq > 0, score * boost if boost != 1 else score, [(f"{self.path}:{term}", score, lambda: self.parts([term], freq, df))])
 
     def terms(self, found: list[tuple[str, float]]) -> Row:
         """Any of some terms, each with its factor; rare ones don't outweigh common ones: all have the largest document frequency."""
@@ -90,7 +90,7 @@ class Field:
             freq = let(F.array(*shifted), lambda own: _sloppy(own, slop, same_terms(parts)))
         terms = [t for ts, _ in parts for t in ts]
         score = self.weighed(terms, freq)
-        return Row(freq > 0, score, [(f'{self.path}:"{" ".join(terms)}"', score, self.parts(terms, freq))])
+        return Row(freq > 0, score, [(f'{self.path}:"{" ".join(terms)}"', score, lambda: self.parts(terms, freq))])
 
     def _shift(self, terms: list[str], by: int) -> Column:
         return F.transform(self.places(terms), lambda t: t["pos"] - by)

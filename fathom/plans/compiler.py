@@ -28,7 +28,7 @@ if TYPE_CHECKING:
 
 @dataclass
 class Row:
-    """match: boolean, never null. score: a double where match holds, anything elsewhere. details: parts of the score, by name."""
+    """match: boolean, never null. score: a double where match holds, anything elsewhere. details: parts of the score: name, value, and for some a function that gives what the value is made of."""
 
     match: Column
     score: Column

@@ -163,7 +163,7 @@ def score_parts(details: list[tuple]) -> Column:
     """The parts of a score that count: array<struct<description, value, details>>, of BM25 with idf, tf, freq, dl and avgdl."""
     made = []
     for name, value, *inner in details:
-        parts = [F.struct(F.lit(k).alias("description"), v.cast("double").alias("value")) for k, v in (inner[0] if inner else {}).items()]
+        parts = [F.struct(F.lit(k).alias("description"), v.cast("double").alias("value")) for k, v in (inner[0]() if inner else {}).items()]
         made.append(F.struct(F.lit(name).alias("description"), value.cast("double").alias("value"), (F.array(*parts) if parts else F.expr("array()")).cast(PARTS).alias("details")))
     if not made:
         return F.expr("array()").cast(f"array<struct<description:string,value:double,details:{PARTS}>>")
