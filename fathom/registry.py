@@ -378,6 +378,9 @@ def highlight_passages(spark, sf_dir):
     return found.select("doc_id", F.size("__highlights").alias("passages"), F.to_json("__highlights").alias("highlights"))
 
 
-@query()
+_PARTS = " + ".join(bm25(k, tf(w)) for k, w in enumerate(["with", "thing"]))
+
+
+@query(f"WITH {TOK}, {stats(['with', 'thing'])} SELECT doc_id, round({_PARTS}, 6) AS score, CAST(({tf('with')} > 0)::INT + ({tf('thing')} > 0)::INT AS INT) AS parts FROM tok, st WHERE {tf('with')} > 0 OR {tf('thing')} > 0 ORDER BY {_PARTS} DESC, doc_id LIMIT 50")
 def score_details(spark, sf_dir):
     return q.search(documents(spark, sf_dir), {"text": {"path": "text", "query": "with thing"}, "scoreDetails": True, "limit": 50}).select("doc_id", F.round("__details.value", 6).alias("score"), F.size("__details.details").alias("parts"))

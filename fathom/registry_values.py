@@ -156,7 +156,7 @@ def facet_hits_and_counts(spark, sf_dir):
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 250000")
-def options_of_a_query(spark, sf_dir):
+def query_options(spark, sf_dir):
     body = {"range": {"path": "o_totalprice", "gt": 250000}, "concurrent": True, "searchNodePreference": {"key": "a"}, "tracking": {"searchTerms": "large orders"}, "index": "default", "limit": None}
     return q.search(orders(spark, sf_dir), body).select("o_orderkey", "o_orderstatus")
 
