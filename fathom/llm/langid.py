@@ -25,8 +25,8 @@ SEGMENT = 512
 #: first. Steps of symbols below SYMBOLS are in a table, those of the others (there are some where scripts mix, or are large) in a sorted list.
 SYMBOLS = 64
 UNDETERMINED = "und"
-#: Phrases that a text may have beyond its language's limit.
-SPARE = 2
+#: Phrases that a text may have beyond its language's limit: about those of an e-mail address or a key, which in a short text are much of it.
+SPARE = 7
 MARK = np.uint32(1 << 31)
 #: Characters parsed in lockstep at a time, which bounds memory.
 BATCH_CHARS = 1 << 21
@@ -129,12 +129,16 @@ class Model:
 
     def phrases(self, encoded: list[np.ndarray]) -> np.ndarray:
         """(texts, languages) phrases of each text, the last of each segment included."""
-        counts = np.zeros((len(encoded), len(self.langs)), np.int64)
+        return self.parse(encoded)[0]
+
+    def parse(self, encoded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """phrases(), and the phrases of each text if each of its segments is parsed by the language that needs the fewest for it."""
+        counts, least = np.zeros((len(encoded), len(self.langs)), np.int64), np.zeros(len(encoded), np.int64)
         sizes = np.array([len(e) for e in encoded], np.int64)
         n_seg = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(encoded)), n_seg)
         if not len(owner):
-            return counts
+            return counts, least
         flat = np.zeros(int(n_seg.sum()) * SEGMENT, np.int32)
         at = np.concatenate(([0], np.cumsum(n_seg)[:-1])) * SEGMENT
         for a, e in zip(at.tolist(), encoded, strict=True):
@@ -161,17 +165,18 @@ class Model:
             state[:, :n] = step
         for lang in range(len(self.langs)):
             np.add.at(counts[:, lang], owner[order], breaks[lang])
-        return counts
+        np.add.at(least, owner[order], breaks.min(axis=0))
+        return counts, least
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, score, phrases per 100 symbols) of each text.
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, float]]:
+        """(language, score, phrases per 100 symbols, those with the best language for each segment) of each text.
 
         score is the winner's share of exp(-20 * difference in phrases per symbol to the best); ties go to the first
         name in order.
         """
         if not self.langs:
-            return [(UNDETERMINED, 0.0, 0.0)] * len(texts)
-        out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+            return [(UNDETERMINED, 0.0, 0.0, 0.0)] * len(texts)
+        out: list[tuple[str, float, float, float]] = [(UNDETERMINED, 0.0, 0.0, 0.0)] * len(texts)
         some: list[int] = []
         held: list[np.ndarray] = []
         size = 0
@@ -180,12 +185,14 @@ class Model:
             nonlocal some, held, size
             if not some:
                 return
-            rate = self.phrases(held) / np.array([len(e) for e in held])[:, None]
+            counts, least = self.parse(held)
+            sizes = np.array([len(e) for e in held])
+            rate = counts / sizes[:, None]
             best = rate.argmin(axis=1)
             gap = np.exp(-20 * (rate - rate.min(axis=1, keepdims=True)))
             score = 1 / gap.sum(axis=1)
             for k, at in enumerate(some):
-                out[at] = (self.langs[best[k]], round(float(score[k]), 6), round(float(rate[k, best[k]]) * 100, 3))
+                out[at] = (self.langs[best[k]], round(float(score[k]), 6), round(float(rate[k, best[k]]) * 100, 3), round(float(least[k] / sizes[k]) * 100, 3))
             some, held, size = [], [], 0
 
         for at, text in enumerate(texts):
@@ -254,7 +261,7 @@ def limits(samples: dict[str, list[str]], margin: float, least: float) -> dict[s
         for one, other in (halves, halves[::-1]):
             if any(map(str.isalpha, "".join(one))):
                 model = Model({lang: one})
-                rates += [(rate, len(t)) for t, (found, _, rate) in zip(other, model.predict(other), strict=True) if found != UNDETERMINED]
+                rates += [(rate, len(t)) for t, (found, _, rate, _) in zip(other, model.predict(other), strict=True) if found != UNDETERMINED]
         total, seen, high = sum(n for _, n in rates), 0, 100.0
         for rate, n in sorted(rates):
             seen += n
@@ -284,6 +291,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def filter_known(docs: DataFrame, model: Model, most_rate: float | dict[str, float], text_col: str = "text") -> DataFrame:
     """docs, all columns and repeated rows included, without texts that are undetermined or have more than most_rate phrases per 100 symbols.
 
+    Each segment of a text counts with the language that explains it best, so texts in several learned languages stay.
     Given by language, most_rate is that of the predicted one, and SPARE phrases more are let through, which only matters to very short texts.
     Rows are judged where they are: no join, no shuffle. A model without languages keeps every text that has a letter.
     """
@@ -301,7 +309,7 @@ def filter_known(docs: DataFrame, model: Model, most_rate: float | dict[str, flo
         for b in batches:
             texts = b.column(at).to_pylist()
             if held.value.langs:
-                keep = [known(held.value, t, f[0], f[2]) for t, f in zip(texts, held.value.predict(texts), strict=True)]
+                keep = [known(held.value, t, f[0], f[3]) for t, f in zip(texts, held.value.predict(texts), strict=True)]
             else:
                 keep = [bool(t) and any(map(str.isalpha, t)) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))

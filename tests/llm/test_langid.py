@@ -148,3 +148,14 @@ def test_query_against_brute_force(spark, sf):
         best = min(rates.values())
         assert found["lang_pred"] == next(k for k, x in rates.items() if x == best), r["doc_id"]
         assert abs(found["score"] - 1 / sum(math.exp(-20 * (x - best)) for x in rates.values())) < 1e-5
+
+
+def test_texts_in_several_learned_languages_are_kept(spark):
+    rng = random.Random(9)
+    prose = lambda words, n: " ".join(rng.choices(words.split(), k=n))
+    en, de = "the cat and dog sat on mat with their house when it was raining again", "der Hund und die Katze auf Matte mit ihrem Haus als es wieder regnete"
+    foreign = "kissa koira istui matolla talonsa kanssa kun satoi taas vettä ja nukkui pitkään"
+    samples = {"en": [prose(en, 300) for _ in range(10)], "de": [prose(de, 300) for _ in range(10)]}
+    rows = [(1, prose(en, 400) + " " + prose(de, 400)), (2, prose(en, 400)), (3, prose(foreign, 400)), (4, prose(en, 60) + prose(foreign, 600)), (5, "the house token=Xq8Zr4Tn2Lk9 sat on mat")]
+    kept = langid.filter_known(spark.createDataFrame(rows, "doc_id long, text string"), langid.Model(samples), dict.fromkeys(samples, 32.0))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
