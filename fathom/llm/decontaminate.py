@@ -33,7 +33,8 @@ RUN, NEAR = 3, 16
 BLOCK, FREQUENT, LEAST_WINDOW = 8, 0.03, 64
 #: Items of one index: larger benchmarks are taken in slices of so many, one after another; slices are bounded in memory. Results don't hang on it.
 SLICE_ITEMS = 20_000
-BATCH_WORDS = 1 << 20
+#: Words held against the index at a time.
+BATCH_WORDS = 1 << 18
 WORD = re.compile(r"\w+")
 ANSWER_MARK = re.compile(r"(?i)\b(?:answer|antwort|respuesta|réponse)\s*:")
 #: What ends before a colon and is a label, in lower case; no label with its spaces is longer than LABEL_MOST.
