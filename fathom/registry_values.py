@@ -114,9 +114,8 @@ def sort_by_largest_of_several(spark, sf_dir):
 
 @query(f"WITH {TYPES} SELECT row_number() OVER (ORDER BY ratio IS NOT NULL, NOT isnan(ratio), ratio, o_orderkey) AS place, o_orderkey FROM t")
 def sort_nan_below_numbers(spark, sf_dir):
-    found = q.search(typed(spark, sf_dir), {"exists": {"path": "flag"}, "sort": {"ratio": 1}, "limit": None}).select("o_orderkey", "__token")
-    # The order of the result as a column: a cursor's batches, numbered.
-    return spark.createDataFrame([(k, r["o_orderkey"]) for k, r in enumerate((x for b in tables.batches(found) for x in b), 1)], "place long, o_orderkey long")
+    found = q.search(typed(spark, sf_dir), {"exists": {"path": "flag"}, "sort": {"ratio": 1}, "limit": None}).select("o_orderkey")
+    return tables.numbered(found)  # the order of the result as a column
 
 
 @query("""WITH m AS (SELECT event_id, event_id % 6 AS kind, value FROM events)
@@ -130,7 +129,7 @@ def sort_mixed_types(spark, sf_dir):
     df = read(spark, sf_dir, "events").select("event_id", F.when(kind == 3, oid).when(kind == 5, date).otherwise(plain).alias("mixed"))
     index = SearchIndex(df, {"mappings": {"fields": {"event_id": {"type": "number"}, "mixed": [{"type": "number"}, {"type": "token"}]}}}, "event_id")
     found = q.search(index, {"exists": {"path": "event_id"}, "sort": {"mixed": 1}, "limit": None}).select("event_id")
-    return spark.createDataFrame([(k, r["event_id"]) for k, r in enumerate((x for b in tables.batches(found) for x in b), 1)], "place long, event_id long")
+    return tables.numbered(found)
 
 
 # Facets of several values, counts beside hits
@@ -352,7 +351,7 @@ UNION ALL SELECT k + 1, begin_at + CAST(floor(size) AS BIGINT), power(size, 1.03
 SELECT k AS batch, least(CAST(floor(size) AS BIGINT), total - begin_at) AS n FROM b""")
 def cursor_batches(spark, sf_dir):
     found = q.search(orders(spark, sf_dir), {"exists": {"path": "o_orderkey"}, "limit": None}).select("o_orderkey")
-    return spark.createDataFrame([(k, len(b)) for k, b in enumerate(tables.batches(found))], "batch int, n long")
+    return tables.in_batches(found).groupBy("batch").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, sha256(p_name || CASE WHEN p_partkey % 10 = 0 THEN ' changed' ELSE '' END) AS digest, CAST(16 AS INT) AS dims FROM part WHERE p_partkey % 3 <> 0")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import accumulate
+from operator import add
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from fathom.sources.storage import work_dir
+
 FIRST_BATCH, GROWTH = 101, 1.03
 
 
@@ -41,6 +46,32 @@ def batches(df: DataFrame, batch_size: int | None = None) -> Iterator[list[Row]]
         yield held
 
 
+def numbered(df: DataFrame, name: str = "place") -> DataFrame:
+    """Rows with their place in df's order, from 1. The rows are written once as their sort deals them out, each task numbers its own, and what is before a task's first comes from a count for each task: none of the rows come to the driver."""
+    path = work_dir(df.sparkSession, "numbered")
+    df.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    held = df.sparkSession.read.parquet(path)
+    counts = sorted((r["task"], r["n"]) for r in held.groupBy(F.shiftright("__at", 33).alias("task")).agg(F.count("*").alias("n")).collect())  # a row for each task
+    before = [(task, sum_before) for (task, _), sum_before in zip(counts, accumulate((n for _, n in counts), initial=0))]
+    starts = df.sparkSession.createDataFrame(before, "__task long, __before long")
+    place = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.join(F.broadcast(starts), F.shiftright("__at", 33) == F.col("__task")).select(*df.columns, place.alias(name))
+
+
+def in_batches(df: DataFrame, batch_size: int | None = None, name: str = "batch") -> DataFrame:
+    """Rows with the number, from 0, of the cursor's batch that they are in (`batches`), without the driver."""
+    held = numbered(df, "__place")
+    if batch_size:
+        number = F.floor((F.col("__place") - 1) / F.lit(batch_size))
+    else:
+        total, ends, size = held.count(), [], float(FIRST_BATCH)
+        while (ends[-1] if ends else 0) < total:
+            ends.append((ends[-1] if ends else 0) + int(size))
+            size = size**GROWTH
+        number = reduce(add, [(F.col("__place") > end).cast("int") for end in ends[:-1]], F.lit(0))  # sizes grow: a few dozen ends for any table
+    return held.select(*df.columns, number.cast("int").alias(name))
+
+
 def materialize_embeddings(docs: DataFrame, path: str, text_col: str, vector_col: str, embedder=None, dims: int = 64, id_col: str = "_id") -> DataFrame:
     """Writes (id, digest, vector) of a text column; texts whose digest is already there keep their vector: only changed ones are embedded.
 

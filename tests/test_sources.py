@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401 - registers the queries
+from fathom import registry
 from fathom.plans import query as q
 from fathom.plans.errors import QueryError
 from fathom.plans.index import SearchIndex
 from fathom.sources.synonyms import load
-from fathom.sources.tables import batches, materialize_embeddings, scan, upserted, write_partitioned
+from fathom.sources.tables import batches, in_batches, materialize_embeddings, numbered, scan, upserted, write_partitioned
 from fathom.sources.views import apply_view
 from fathom.streaming.cdc import IndexedTable, apply_stream, changes, relevant
 
@@ -51,6 +53,23 @@ def test_sinks_and_cursor(spark, tmp_path):
     assert sorted(map(tuple, new.collect())) == [(0, 0), (1, 7), (9, 9)]
 
 
+def test_places_and_batches_of_an_ordered_result(spark):
+    df = spark.range(0, 3000, 1, 7).select(((F.col("id") * 7919) % 3001).alias("_id"), (F.col("id") % 5).alias("v"))
+    result = df.orderBy(F.col("v").desc(), "_id")
+    want = [(k, r["_id"]) for k, r in enumerate(result.collect(), 1)]
+    assert [tuple(r) for r in numbered(result).select("place", "_id").orderBy("place").collect()] == want
+    for size in (None, 400):
+        own = {r["batch"]: r["n"] for r in in_batches(result, size).groupBy("batch").agg(F.count("*").alias("n")).collect()}
+        assert own == dict(enumerate(len(b) for b in batches(result, size)))
+    assert in_batches(result.where("v > 9")).count() == numbered(result.where("v > 9")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["sort_nan_below_numbers", "sort_mixed_types", "cursor_batches"])
+def test_ordered_results_stay_off_the_driver(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("rows come to the driver"))
+    assert registry.QUERIES[name](spark, sf).count() > 1
+
+
 def test_embeddings_are_kept_for_unchanged_texts(spark, tmp_path):
     calls = f"{tmp_path}/vectors"
     one = spark.createDataFrame([(1, "a b"), (2, None)], "_id int, t string")
