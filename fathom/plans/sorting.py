@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ class Key:
     ascending: bool
     nulls_first: bool
     floating: bool = False
+    computed: bool = False
 
     def orders(self, inverted: bool = False) -> list[Column]:
         up, first = self.ascending != inverted, self.nulls_first != inverted
@@ -96,7 +97,7 @@ def keys_of(c: Compiler, sort: dict | None, legacy: bool = False) -> list[Key]:
         need(c.index.kind(path, *SORTABLE), f"{path} isn't sortable")
         kind = type_at(c.index.schema, path)
         need(kind is not None, f"no field {path}")
-        v = F.col(path)
+        v = plain = F.col(path)
         if c.index.is_array(path):
             v = F.array_min(v) if up else F.array_max(v)
         if isinstance(kind, T.VariantType):
@@ -107,7 +108,7 @@ def keys_of(c: Compiler, sort: dict | None, legacy: bool = False) -> list[Key]:
         base = kind
         while isinstance(base, T.ArrayType):
             base = base.elementType
-        keys.append(Key(path, v, up, (no_data == "lowest") == up, isinstance(base, (T.DoubleType, T.FloatType))))
+        keys.append(Key(path, v, up, (no_data == "lowest") == up, isinstance(base, (T.DoubleType, T.FloatType)), v is not plain))
     return keys or [Key("__score", F.col("__score"), False, False)]
 
 
@@ -117,9 +118,14 @@ def direction(order: object) -> int:
 
 
 def ordered(df: DataFrame, keys: list[Key], id_col: str, inverted: bool = False) -> DataFrame:
-    """In the keys' order, ties by id: with a limit this is a top-k in each task, not a sort of all."""
+    """In the keys' order, ties by id: with a limit this is a top-k in each task, not a sort of all.
+
+    Computed keys are columns while rows are sorted: a sort evaluates its expressions anew for each comparison.
+    """
     ident = F.col(id_col)
-    return df.orderBy(*[o for k in keys for o in k.orders(inverted)], ident.desc() if inverted else ident.asc())
+    made = {f"__sort_key{n}": k.value for n, k in enumerate(keys) if k.computed}
+    keys = [replace(k, value=F.col(f"__sort_key{n}")) if k.computed else k for n, k in enumerate(keys)]
+    return df.withColumns(made).orderBy(*[o for k in keys for o in k.orders(inverted)], ident.desc() if inverted else ident.asc()).drop(*made)
 
 
 def token_column(keys: list[Key], id_col: str) -> Column:

@@ -70,6 +70,13 @@ def test_ordered_results_stay_off_the_driver(spark, sf, monkeypatch, name):
     assert registry.QUERIES[name](spark, sf).count() > 1
 
 
+def test_a_sort_compares_columns(spark):
+    index = SearchIndex(spark.range(50).select("id", F.parse_json(F.col("id").cast("string")).alias("m")), {"mappings": {"fields": {"id": {"type": "number"}, "m": {"type": "number"}}}}, "id")
+    df = q.search(index, {"exists": {"path": "id"}, "sort": {"m": -1}, "limit": None})
+    sort = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in x)
+    assert "variant" not in sort and [r["id"] for r in df.collect()] == list(range(49, -1, -1))
+
+
 def test_embeddings_are_kept_for_unchanged_texts(spark, tmp_path):
     calls = f"{tmp_path}/vectors"
     one = spark.createDataFrame([(1, "a b"), (2, None)], "_id int, t string")
