@@ -95,25 +95,29 @@ class Compiler:
         """The index's rows with the token arrays that what was compiled so far needs and the index doesn't store.
 
         Native steps of all of them share a generator, in which each row is analysed once. With hits, the places of the
-        terms sought come with each row: from a written index's postings by a join, which Catalyst makes an inner one
-        where no other row can match; else another generator goes once through each array. Operators look at those few places only.
+        terms sought come with each row: few of them from a written index's postings by a broadcast, which Catalyst makes
+        an inner join where no other row can match; else another generator goes once through each array. Operators look at those few places only.
         """
         df = analysed(self.index.docs, self.used)
         for rows, name, small in self.joins.values() if hits else ():
             df = df.join(F.broadcast(rows) if small else rows, F.col(self.index.id_col) == F.col(f"{name}_id"), "left").drop(f"{name}_id")
-        found, posted = [], {}
-        for stored, terms in self.sought.items() if hits else ():
-            if self.index.posted(stored):
-                posted[stored] = terms
-            else:
-                found += [_places(F.col(stored), sorted(terms)).alias(hits_column(stored)), F.size(stored).alias(length_column(stored))]
+        sought = self.sought if hits else {}
+        posted = {stored: terms for stored, terms in sought.items() if self.index.posted(stored)}
+        if posted and not self.index.few(posted):
+            posted = {stored: terms for stored, terms in posted.items() if not any(terms)}
+        found = []
+        for stored in sought:
+            if stored not in posted:
+                found.append(_places(F.col(stored), sorted(sought[stored])).alias(hits_column(stored)))
+                if length_column(stored) not in df.columns:
+                    found.append(F.size(stored).alias(length_column(stored)))
         if found:
             df = df.select("*", F.inline(F.array(F.struct(*found))))
         if not posted:
             return df
-        places, small = self.index.hits(posted)
+        places = self.index.hits(posted)
         if places is not None:
-            df = df.join(F.broadcast(places) if small else places, "__docrow", "left")
+            df = df.join(F.broadcast(places), "__docrow", "left")
         none = F.expr("array()").cast("array<struct<term:string,pos:int>>")
         made = {hits_column(c): F.coalesce(F.col(hits_column(c)), none) if any(posted[c]) else none for c in posted}
         return df.withColumns(made)
@@ -124,11 +128,6 @@ class Compiler:
         self.joins[key] = (rows.select(F.col(self.index.id_col).alias(f"{name}_id"), F.col(value).alias(name)), name, small)
         return F.col(name)
 
-    def shuffled(self) -> bool:
-        """Whether the hits are too many to be broadcast, so that rows of the index are joined with them by a shuffle."""
-        posted = {c: terms for c, terms in self.sought.items() if self.index.posted(c)}
-        return bool(posted) and not self.index.hits(posted)[1]
-
     def seek(self, path: str, analyzer: analysis.Analyzer, scope: Scope, terms: Iterable[str]) -> None:
         """Says which terms of a document's field operators look for."""
         if not scope.root:

@@ -4,19 +4,22 @@ Analysed text is an array column beside its field, so positions, frequencies and
 need neither a join nor a shuffle. Statistics (document counts, lengths, document frequencies of a query's terms)
 come from one aggregation with a partial result in each task; vocabularies only where a query expands terms.
 A written index keeps the arrays in Parquet and prunes columns that a query doesn't name. Beside them it has postings
-(a row for each token, sorted by field and term), a table of terms with their counts, and the fields' totals: a query
-for terms reads only their postings, and its statistics are look-ups.
+(blocks of a term's places in some documents, sorted by field and term in each file), a table of terms with their counts,
+and the fields' totals: a query for terms that aren't too frequent reads only their postings, and its statistics are
+look-ups. Frequent terms are looked for in the arrays: most documents have them, and a join would cost more than the scan.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
 from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,10 @@ from fathom.plans.lists import LEAST_LISTS, Lists, fitted, list_of
 
 #: Columns that an index adds to its documents.
 OWN = ("__tok_", "__len_", "__docrow", "__list")
+#: A block: where a term stands in some documents, their rows less a base; the numbers of these documents and of places.
+POSTINGS = "term string, df long, n long, base long, rows array<int>, places array<int>, field string"
+#: Tokens of a block at most, and the rows that its base reaches.
+BLOCK_TOKENS, BLOCK_ROWS = 1 << 21, 1 << 31
 LISTS = "field string, number int, centroid array<double>, n long, cosine boolean"
 #: Hits of a query that are broadcast: at most so many bytes, by the term table's counts and HIT_BYTES for each.
 BROADCAST_HITS, HIT_BYTES = 64 << 20, 64
@@ -164,20 +171,15 @@ class SearchIndex:
         return (path, centroids, cosine) if len(centroids) > LEAST_LISTS else None
 
     def _write_postings(self, path: str) -> None:
-        """Below the documents, in a folder that scans of these pass over: a task writes a range of terms, and a frequent term is in several ranges."""
+        """Below the documents, in a folder that scans of these pass over: each task sorts blocks of postings by term, and no token is shuffled."""
         docs = self.spark.read.parquet(path)
         stored = [c for c in docs.columns if c.startswith("__tok_")]
         if not stored or len(docs.inputFiles()) == 0:
             return
-        each = [docs.select(F.lit(c).alias("field"), "__docrow", F.inline(c)) for c in stored]
-        flat = reduce(DataFrame.unionByName, each).select("field", "term", "__docrow", "pos")
+        blocks = docs.select("__docrow", *stored).mapInArrow(_blocks, POSTINGS)
+        blocks.sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/_postings")
         parts = max(self.spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
-        flat.repartitionByRange(parts, "field", "term", "__docrow").sortWithinPartitions("field", "term", "__docrow").write.partitionBy("field").parquet(f"{path}/_postings")
-        # Documents with a term and its occurrences, summed in each task: what is shuffled is each task's vocabulary.
-        row = lambda c, term, df, n: docs.select(F.lit(c).alias("field"), term.alias("term"), F.lit(df).cast("long").alias("df"), F.lit(n).cast("long").alias("n"))
-        names = {c: F.transform(c, lambda t: t["term"]) for c in stored}
-        counts = [row(c, F.explode(own), *added) for c, terms in names.items() for own, added in ((F.array_distinct(terms), (1, 0)), (terms, (0, 1)))]
-        terms = reduce(DataFrame.unionByName, counts).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+        terms = self.spark.read.schema(POSTINGS).parquet(f"{path}/_postings").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
         terms.repartitionByRange(parts, "field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/_terms")
         lengths = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(length_column(c)).cast("long").alias("length")) for c in stored]))
         docs.select(lengths).where("length > 0").groupBy("field").agg(F.count("*").alias("n"), F.sum("length").alias("length")).coalesce(1).write.parquet(f"{path}/_totals")
@@ -193,7 +195,7 @@ class SearchIndex:
             rows = sorted(spark.read.schema(LISTS).parquet(f"{path}/_lists").collect(), key=lambda r: r["number"])  # MOST_LISTS at most
             made.lists = {rows[0]["field"]: Lists("__list", np.array([r["centroid"] for r in rows]), np.array([r["n"] for r in rows]), rows[0]["cosine"])} if rows else {}
         if there("_totals"):
-            made.postings = spark.read.schema("term string, __docrow long, pos int, field string").parquet(f"{path}/_postings")
+            made.postings = spark.read.schema(POSTINGS).parquet(f"{path}/_postings")
             made.terms = spark.read.schema("term string, df long, n long, field string").parquet(f"{path}/_terms")
             made.totals = spark.read.schema("field string, n long, length long").parquet(f"{path}/_totals")
         return made
@@ -203,20 +205,24 @@ class SearchIndex:
     def posted(self, stored: str) -> bool:
         return self.postings is not None and stored in self.ready
 
-    def hits(self, sought: dict[str, set[str]]) -> tuple[DataFrame | None, bool]:
-        """(__docrow, a column of hits for each field) of the documents that have some of the terms, and whether it may be broadcast.
+    def few(self, sought: dict[str, set[str]]) -> bool:
+        """Whether the hits of some terms, by the table of terms, are few enough to be broadcast."""
+        self.load_terms({(c, t) for c, terms in sought.items() for t in terms if t})
+        return sum(self._occurrences[c, t] for c, terms in sought.items() for t in terms if t) * HIT_BYTES <= BROADCAST_HITS
+
+    def hits(self, sought: dict[str, set[str]]) -> DataFrame | None:
+        """(__docrow, a column of hits for each field) of the documents that have some of the terms.
 
         Only the terms' ranges of the postings are read; each field's hits are sorted by position, as they are in the document.
         """
         named = {c: sorted(t for t in terms if t) for c, terms in sought.items() if any(terms)}
         if not named:
-            return None, True
-        self.load_terms({(c, t) for c, terms in named.items() for t in terms})
-        n = sum(self._occurrences[c, t] for c, terms in named.items() for t in terms)
+            return None
         some = self.postings.where(reduce(or_, [(F.col("field") == c) & F.col("term").isin(terms) for c, terms in named.items()]))
+        some = some.select("field", "term", "base", F.inline(F.arrays_zip("rows", "places"))).select("field", "term", (F.col("base") + F.col("rows")).alias("__docrow"), F.col("places").alias("pos"))
         place = F.struct("pos", "term")
         sorted_hits = [F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == c, place) if len(named) > 1 else place)), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))).alias(hits_column(c)) for c in named]
-        return some.groupBy("__docrow").agg(*sorted_hits), n * HIT_BYTES <= BROADCAST_HITS
+        return some.groupBy("__docrow").agg(*sorted_hits)
 
     def load_terms(self, wanted: set[tuple[str, str]]) -> None:
         """Document frequency and occurrences of (field, term): a look-up in the sorted table of terms."""
@@ -326,6 +332,42 @@ class SearchIndex:
         return self._synonyms[name]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (__docrow, token arrays) inverted: a block for each term of a run of documents."""
+    for batch in batches:
+        rows = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for name in batch.schema.names[1:]:
+            tokens = batch.column(name)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < len(rows):
+                before = int(ends[at - 1]) if at else 0
+                far = np.flatnonzero(np.abs(rows[at:] - rows[at]) >= BLOCK_ROWS)  # files of a scan come in any order
+                end = min(max(int(np.searchsorted(ends, before + BLOCK_TOKENS, "right")), at + 1), at + int(far[0]) if len(far) else len(rows))
+                if ends[end - 1] > before:
+                    yield _block(name, rows[at:end], tokens.slice(at, end - at))
+                at = end
+
+
+def _block(field: str, rows: np.ndarray, tokens: pa.Array) -> pa.RecordBatch:
+    flat = tokens.flatten()
+    terms = pc.struct_field(flat, "term").dictionary_encode(null_encoding="encode")
+    codes, n = terms.indices.to_numpy(), len(terms.dictionary)
+    order = np.argsort(codes.astype(np.uint16) if n <= 1 << 16 else codes, kind="stable")
+    at = np.repeat((rows - rows[0]).astype(np.int32), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))[order]
+    codes = codes[order]
+    counts = np.bincount(codes, minlength=n)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    fresh = np.ones(len(codes), np.int64)  # the first place of a term in a document
+    fresh[1:] = (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, pa.int32()))
+    made = {
+        "term": terms.dictionary, "df": pa.array(np.add.reduceat(fresh, starts[:-1]), pa.int64()), "n": pa.array(counts, pa.int64()), "base": pa.array(np.full(n, rows[0]), pa.int64()),
+        "rows": lists(at), "places": lists(pc.struct_field(flat, "pos").to_numpy(zero_copy_only=False)[order]), "field": pa.array([field] * n, pa.string()),
+    }
+    return pa.RecordBatch.from_pydict(made)
+
+
 def _counted(field: int, term: Column, length: Column) -> Column:
     return F.struct(F.lit(field).alias("f"), term.alias("term"), length.cast("long").alias("length"))
 

@@ -18,8 +18,6 @@ from fathom.plans.definition import leaf_paths, type_at
 from fathom.plans.errors import need, only
 from fathom.plans.index import SearchIndex
 
-#: Hits that are found first and fetched then, where hits of terms are shuffled.
-MOST_FETCHED = 10_000
 OPTIONS = "index count highlight concurrent sort sortBetaV1 returnStoredSource returnScope scoreDetails searchAfter searchBefore tracking searchNodePreference limit facet"
 
 
@@ -104,9 +102,10 @@ def scoped(c: Compiler, path: str) -> tuple[Callable[[DataFrame], DataFrame], Sc
     return (lambda df: reduce(lambda d, s: d.select("*", s), steps, df)), scope, len(steps)
 
 
-def search(index: SearchIndex, query: dict) -> DataFrame:
+def search(index: SearchIndex, query: dict, in_order: bool = True) -> DataFrame:
     """Hits: the stored columns, __score, and as asked for __highlights, __details, __token, __root_id; ordered, `limit` (10) of them.
 
+    Without a limit and not in_order they come as the scan has them: a sort of all would find them twice, first for its ranges.
     Ties are in the order of ids. A result is one scan, a filter and a top-k in each task; columns that neither the
     query nor the result needs aren't read.
     """
@@ -138,12 +137,11 @@ def search(index: SearchIndex, query: dict) -> DataFrame:
     if token is not None:
         df = sorting.after(df, keys, ident, token, inverted)
     limit = query.get("limit", 10)
-    df = sorting.ordered(df, keys, ident, inverted).limit(limit) if limit is not None else sorting.ordered(df, keys, ident, inverted)
+    in_order = in_order or limit is not None
+    df = sorting.ordered(df, keys, ident, inverted) if in_order else df
+    df = df.limit(limit) if limit is not None else df
     extra = ["__score", *(["__details"] if query.get("scoreDetails") else [])]
-    if limit is not None and limit <= MOST_FETCHED and c.shuffled():
-        # Whole documents aren't shuffled to find a few of them: only what the query looks at is; those found are then fetched.
-        df = sorting.ordered(index.docs.join(F.broadcast(df.select("__docrow", *extra)), "__docrow"), keys, ident, inverted)
-    if inverted:
+    if inverted and in_order:
         df = sorting.ordered(df, keys, ident)
     columns = [F.col(x) for x in extra]
     columns.append(sorting.token_column(keys, ident).alias("__token"))

@@ -63,8 +63,8 @@ def nested_orders(spark: SparkSession, sf_dir: str) -> SearchIndex:
 
 
 def hits(index: SearchIndex, query: dict, *columns: str, limit: int | None = None, score: bool = True) -> DataFrame:
-    """Ids, other columns and the rounded score. Without a limit all matches: these queries are held against SQL as a whole."""
-    found = q.search(index, query | {"limit": limit})
+    """Ids, other columns and the rounded score. Without a limit all matches, in order where a sort is given: these queries are held against SQL as a whole."""
+    found = q.search(index, query | {"limit": limit}, in_order="sort" in query)
     out = found.select(index.id_col, *columns, *([F.round("__score", 6).alias("score")] if score else []))
     return out
 

@@ -67,3 +67,25 @@ def test_what_is_read(indexes):
 def test_an_index_without_rows(spark, tmp_path):
     written = SearchIndex(spark.createDataFrame([], "_id long, title string, tags array<string>, n int"), DEFINITION).write(f"file://{tmp_path}/i")
     assert found(written, QUERIES[0], 5) == [] and found(written, QUERIES[5], None) == []
+
+
+def test_frequent_terms_are_scanned(indexes, monkeypatch):
+    _, written = indexes
+    monkeypatch.setattr(plans, "BROADCAST_HITS", 0)
+    plan = q.search(written, QUERIES[0] | {"limit": 5})._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan  # a top-k over one scan
+
+
+def test_blocks_hold_every_place(indexes, monkeypatch):
+    _, written = indexes
+    name = "__tok_title__lucene_simple"
+    want = sorted((r["__docrow"], r["term"], r["pos"]) for r in written.docs.select("__docrow", F.inline(name)).collect())
+    blocks = written.postings.where(F.col("field") == name).select("term", "base", F.inline(F.arrays_zip("rows", "places")))
+    assert sorted((r["base"] + r["rows"], r["term"], r["places"]) for r in blocks.collect()) == want
+    monkeypatch.setattr(plans, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(plans, "BLOCK_ROWS", 40)
+    made = list(plans._blocks(written.docs.select("__docrow", name).toArrow().combine_chunks().to_batches()))
+    rows = [r for b in made for r in b.to_pylist()]
+    assert len(made) > 7 and sum(r["n"] for r in rows) == len(want)
+    assert sorted((r["base"] + d, r["term"], p) for r in rows for d, p in zip(r["rows"], r["places"], strict=True)) == want
+    assert all(r["df"] == len(set(r["rows"])) and r["n"] == len(r["rows"]) for r in rows)
