@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,17 +91,38 @@ def in_order(parts: list[Spans], slop: int) -> Column:
 def swept(parts: list[Spans], slop: int) -> Column:
     """Of any order: from each place where a span begins, the nearest span of every clause that begins there or later; one place is one clause's only."""
     every = F.array(*[p.spans for p in parts])
-    none = F.struct(F.lit(0).alias("e"), F.lit(0).alias("n"), F.expr("array()").cast("array<int>").alias("taken"))
+    free = F.struct(F.lit(0).alias("e"), F.lit(0).alias("n"), F.expr("array()").cast("array<int>").alias("taken"))
 
     def from_place(all_spans: Column, v: Column) -> Column:
         def take(acc: Column, own: Column) -> Column:
-            free = F.array_sort(F.filter(own, lambda p: (p["s"] >= v) & ~F.array_contains(acc["taken"], p["s"])))
-            return let(F.get(free, F.lit(0)), lambda p: F.struct(F.greatest(acc["e"], p["e"]).alias("e"), (acc["n"] + p["n"]).alias("n"), F.concat(acc["taken"], F.array(p["s"])).alias("taken")))
+            left = F.array_sort(F.filter(own, lambda p: (p["s"] >= v) & ~F.array_contains(acc["taken"], p["s"])))
+            return let(F.get(left, F.lit(0)), lambda p: F.struct(F.greatest(acc["e"], p["e"]).alias("e"), (acc["n"] + p["n"]).alias("n"), F.concat(acc["taken"], F.array(p["s"])).alias("taken")))
 
-        return F.aggregate(all_spans, none, take, lambda acc: F.struct(v.alias("s"), acc["e"].alias("e"), acc["n"].alias("n")))
+        return F.aggregate(all_spans, free, take, lambda acc: F.struct(v.alias("s"), acc["e"].alias("e"), acc["n"].alias("n")))
 
-    found = let(every, lambda own: F.transform(F.array_distinct(F.transform(F.flatten(own), lambda p: p["s"])), lambda v: from_place(own, v)))
-    return F.filter(found, lambda p: p["n"].isNotNull() & (p["e"] - p["s"] - p["n"] <= slop))
+    def tried(own: Column) -> Column:
+        found = F.transform(F.array_distinct(F.transform(F.flatten(own), lambda p: p["s"])), lambda v: from_place(own, v))
+        return F.filter(found, lambda p: p["n"].isNotNull() & (p["e"] - p["s"] - p["n"] <= slop))
+
+    def passed(flat: Column) -> Column:
+        """The same in one pass from the last place to the first, where no two spans begin at one place: the nearest span of each clause is the last one seen."""
+
+        def step(acc: Column, x: Column) -> Column:
+            last = F.transform(acc["last"], lambda y, k: F.when(k == x["k"], F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].alias("n"))).otherwise(y))
+
+            def added(last: Column) -> Column:
+                each = [last[k] for k in range(len(parts))]
+                e, n = F.greatest(*[p["e"] for p in each]), reduce(add, [p["n"] for p in each])  # no sum where a clause has no span yet
+                return F.struct(last.alias("last"), F.when(e - x["s"] - n <= slop, F.concat(acc["found"], F.array(F.struct(x["s"].alias("s"), e.alias("e"), n.alias("n"))))).otherwise(acc["found"]).alias("found"))
+
+            return let(last, added)
+
+        start = F.struct(F.array_repeat(F.lit(None).cast("struct<s:int,e:int,n:int>"), len(parts)).alias("last"), none().alias("found"))
+        return F.aggregate(F.reverse(F.array_sort(flat)), start, step, lambda acc: acc["found"])
+
+    flat = F.flatten(F.transform(every, lambda own, k: F.transform(own, lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e"), p["n"].alias("n"), k.alias("k")))))
+    apart = lambda flat: F.size(F.array_distinct(F.transform(flat, lambda p: p["s"]))) == F.size(flat)
+    return F.when(F.exists(every, lambda own: F.size(own) == 0), none()).otherwise(let(flat, lambda flat: F.when(apart(flat), passed(flat)).otherwise(tried(every))))
 
 
 def _joined(left: Column, right: Column, slop: int) -> Column:
