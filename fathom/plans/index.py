@@ -140,7 +140,9 @@ class SearchIndex:
         A table of fewer input splits than the session has cores is dealt out before its texts are analysed.
         """
         docs, cores = self.docs, self.spark.sparkContext.defaultParallelism
-        n = self.definition.partitions if self.definition.partitions > 1 else cores if docs.rdd.getNumPartitions() < cores else 0
+        # What a shuffle made is dealt out already; asking for its partitions would run it once more.
+        dealt = "Exchange" in docs._jdf.queryExecution().executedPlan().toString()
+        n = self.definition.partitions if self.definition.partitions > 1 else cores if not dealt and docs.rdd.getNumPartitions() < cores else 0
         listed = self._listed()
         if listed:
             field, centroids, cosine = listed

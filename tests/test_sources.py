@@ -129,3 +129,16 @@ def test_a_merge_writes_touched_buckets_only(spark, tmp_path):
     table.merge(rows([(300, 3)]), 3)
     assert sorted(map(tuple, table.read().collect())) == [(7, 0), (300, 3)] and table.versions() == [2, 3]
     assert sorted(d for d in os.listdir(f"{tmp_path}/table") if d.startswith("v=")) == ["v=2", "v=3"]
+
+
+def test_a_join_is_made_once_for_an_index(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(100).mapInArrow(counted, "id long").groupBy("id").agg(F.count("*").alias("n"))
+    SearchIndex(rows, {"mappings": {"fields": {"n": {"type": "number"}}}}, "id").write(f"file://{tmp_path}/i")
+    assert seen.value == 100
