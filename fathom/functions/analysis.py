@@ -272,6 +272,23 @@ def _udf(f: Callable[[Tokens], Tokens]) -> Callable[[Column], Column]:
     return lambda tokens: wrapped(tokens)
 
 
+def _letters(text: Column) -> Column:
+    """Runs of letters in lower case, as the letter tokenizer and the lowercase filter give them: from the text in lower case, without a lambda for each term.
+
+    A text in lower case has its letters where they were, but for the dotted capital I, which becomes two characters, capital sigma, of which the letters around it decide, and characters
+    that the patterns' Unicode doesn't know yet. Those texts and those that may have a term of over 32,766 bytes have each term changed by itself.
+    """
+    letters = lambda c: F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0))
+    each = F.transform(F.filter(letters(text), lambda w: F.octet_length(w) <= 32766), F.lower)
+    alone = text.rlike("[\u0130\u03a3\\p{Cn}]") | ((F.octet_length(text) > 32766) & text.rlike(r"\p{L}{8000}"))
+    return F.when(alone, each).otherwise(letters(F.lower(text)))
+
+
+def placed(words: Column) -> Column:
+    """Terms with their places. Without a lambda, so in compiled code; words must be a column, as they are named three times."""
+    return F.when(F.size(words) > 0, F.arrays_zip(words.alias("term"), F.sequence(F.lit(0), F.size(words) - 1).alias("pos"))).otherwise(F.expr("array()").cast(TOKENS))
+
+
 def generated(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is computed once for each row, where it stands."""
     rest = [F.col(f"`{c}`") for c in df.columns if c != name]
@@ -292,6 +309,17 @@ class Analyzer:
     def native(self) -> bool:
         return not any(f["type"] in PYTHON_FILTERS for f in self.token_filters) and not any(f["type"] == "icuNormalize" for f in self.char_filters)
 
+    def words(self, text: Column) -> Column | None:
+        """array<string> of the terms, to be placed(); None of an analyzer that doesn't have them at once."""
+        if self.tokenizer["type"] == "letter" and not self.char_filters and [f["type"] for f in self.token_filters] == ["lowercase"]:
+            return _letters(F.coalesce(text.cast("string"), F.lit("")))
+        return None
+
+    @property
+    def counted(self) -> bool:
+        """Whether terms of a text stand at 0, 1, 2 and so on: no filter leaves one out or adds one."""
+        return all(f["type"] == "lowercase" for f in self.token_filters)
+
     def tokens(self, text: Column) -> Column:
         """array<struct<term, pos>>; null text has no tokens."""
         return reduce(lambda c, step: step(c), self.steps(), text)

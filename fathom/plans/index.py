@@ -12,7 +12,7 @@ look-ups. Frequent terms are looked for in the arrays: most documents have them,
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from functools import reduce
 from operator import or_
@@ -38,6 +38,8 @@ POSTINGS = "term string, df long, n long, base long, rows array<int>, places arr
 #: Tokens of a block at most, and the rows that its base reaches.
 BLOCK_TOKENS, BLOCK_ROWS = 1 << 21, 1 << 31
 LISTS = "field string, number int, centroid array<double>, n long, cosine boolean"
+#: Parquet options of postings: whole numbers as differences, not from a dictionary.
+DELTAS = {"parquet.writer.version": "PARQUET_2_0"} | {f"parquet.enable.dictionary#{c}": "false" for c in ("rows.list.element", "places.list.element", "df", "n", "base")}
 #: Hits of a query that are broadcast: at most so many bytes, by the term table's counts and HIT_BYTES for each.
 BROADCAST_HITS, HIT_BYTES = 64 << 20, 64
 
@@ -154,7 +156,9 @@ class SearchIndex:
         if self.definition.sort:
             df = df.sortWithinPartitions(*[F.col(p).asc_nulls_first() if (o if isinstance(o, int) else o.get("order", 1)) == 1 else F.col(p).desc_nulls_last() for p, o in self.definition.sort.items()])
         df = df.select("*", *[F.size(c).alias(length_column(c)) for c in df.columns if c.startswith("__tok_")], F.monotonically_increasing_id().alias("__docrow"))
-        df.write.mode(mode).parquet(path)
+        # Places are all different: looking them up in a dictionary takes longer, to write and to read, than their bytes.
+        spelled = {f"parquet.enable.dictionary#{c}.list.element.pos": "false" for c in df.columns if c.startswith("__tok_")}
+        df.write.mode(mode).options(**spelled).parquet(path)
         self._write_postings(path)
         if listed:
             sizes = {r["__list"]: r["n"] for r in self.spark.read.parquet(path).where("__list IS NOT NULL").groupBy("__list").agg(F.count("*").alias("n")).collect()}  # a row for each list
@@ -178,11 +182,15 @@ class SearchIndex:
         stored = [c for c in docs.columns if c.startswith("__tok_")]
         if not stored or len(docs.inputFiles()) == 0:
             return
-        blocks = docs.select("__docrow", *stored).mapInArrow(_blocks, POSTINGS)
-        blocks.sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/_postings")
-        parts = max(self.spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+        counted = {c for c, (_, several, analyzer) in self.fields_analysed().items() if analyzer.counted and not several}
+        for c in stored:
+            # Terms and places as two plain arrays: Arrow writes these faster than structs, and a sort by the term alone compares its first bytes.
+            own = docs.select("__docrow", F.col(c)["term"].alias("term"), *([] if c in counted else [F.col(c)["pos"].alias("pos")]))
+            blocks = own.mapInArrow(_inverted(c), POSTINGS).drop("field")
+            blocks.sortWithinPartitions("term").write.options(**DELTAS).parquet(f"{path}/_postings/field={c}")
         terms = self.spark.read.schema(POSTINGS).parquet(f"{path}/_postings").groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
-        terms.repartitionByRange(parts, "field", "term").sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/_terms")
+        # Sorted as the aggregation deals them out: each file has a hash's share of the terms, and its statistics say where a term is.
+        terms.sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/_terms")
         lengths = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(length_column(c)).cast("long").alias("length")) for c in stored]))
         docs.select(lengths).where("length > 0").groupBy("field").agg(F.count("*").alias("n"), F.sum("length").alias("length")).coalesce(1).write.parquet(f"{path}/_totals")
 
@@ -334,6 +342,20 @@ class SearchIndex:
         return self._synonyms[name]
 
 
+def _inverted(field: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks of a field, of rows (__docrow, terms, places); without places terms are counted."""
+
+    def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, terms, *places = batch.columns
+        lengths = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(lengths)])
+        pos = places[0].flatten() if places else pa.array(np.arange(starts[-1]) - np.repeat(starts[:-1], lengths), pa.int32())
+        both = pa.StructArray.from_arrays([terms.flatten(), pos], ["term", "pos"])
+        return pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), both)], ["__docrow", field])
+
+    return lambda batches: _blocks(map(tokens, batches))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (__docrow, token arrays) inverted: a block for each term of a run of documents."""
     for batch in batches:
@@ -355,7 +377,7 @@ def _block(field: str, rows: np.ndarray, tokens: pa.Array) -> pa.RecordBatch:
     flat = tokens.flatten()
     terms = pc.struct_field(flat, "term").dictionary_encode(null_encoding="encode")
     codes, n = terms.indices.to_numpy(), len(terms.dictionary)
-    order = np.argsort(codes.astype(np.uint16) if n <= 1 << 16 else codes, kind="stable")
+    order = _by_code(codes, n)
     at = np.repeat((rows - rows[0]).astype(np.int32), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))[order]
     codes = codes[order]
     counts = np.bincount(codes, minlength=n)
@@ -370,6 +392,12 @@ def _block(field: str, rows: np.ndarray, tokens: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(made)
 
 
+def _by_code(codes: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by codes below n: numpy sorts 16 bits by their digits, so larger codes go in two steps."""
+    order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if n <= 1 << 16 else order[np.argsort((codes >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 def _counted(field: int, term: Column, length: Column) -> Column:
     return F.struct(F.lit(field).alias("f"), term.alias("term"), length.cast("long").alias("length"))
 
@@ -379,10 +407,14 @@ def _each_counted(field: int, terms: Column) -> Column:
 
 
 def analysed(df: DataFrame, columns: dict[str, tuple[Column, bool, analysis.Analyzer]]) -> DataFrame:
-    """df with token arrays as columns: those without steps in Python from one generator, the others after it."""
-    native = [tokens_of(*x).alias(c) for c, x in columns.items() if x[2].native]
+    """df with token arrays as columns: those without steps in Python from one generator, the others after it. Plain words get their places in a second one."""
+    words = {c: w for c, (value, several, analyzer) in columns.items() if not several and (w := analyzer.words(value)) is not None}
+    native = [words.get(c, tokens_of(*x)).alias(c) for c, x in columns.items() if x[2].native]
     if native:
         df = df.select("*", F.inline(F.array(F.struct(*native))))
+    if words:
+        kept = [c for c in df.columns if c not in words]
+        df = df.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*[analysis.placed(F.col(c)).alias(c) for c in words]))))
     for c, (value, several, analyzer) in columns.items():
         if not analyzer.native:
             df = analyzer.added(df, joined(value) if several else value, c)

@@ -80,3 +80,13 @@ def test_distance_and_patterns():
     assert re.match(whole_regex('a@"."'), "axyz.")
     with pytest.raises(ValueError):
         whole_regex("~a")
+
+
+def test_words_from_a_text_in_lower_case(spark):
+    """Whole texts in lower case give what each word in lower case gives, for every character, in words and alone."""
+    c = spark.range(1, 0x110000).where("id < 55296 OR id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    df = c.select(F.concat(F.lit("aB"), "c", F.lit("Cd "), "c", F.lit(" x"), "c", F.lit(" Éa")).alias("t"))
+    more = spark.createDataFrame([("",), (None,), ("ΟΔΟΣ ΣΑΣ",), ("İI ıi",), (f"Ab {'X' * 40_000} cD",), (f"Ab {'é' * 9_000} cD",), ("x " * 20_000,)], "t string")
+    each = F.transform(F.filter(F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.octet_length(w) <= 32766), lambda w, k: F.struct(F.lower(w).alias("term"), k.alias("pos")))
+    found = df.union(more).select(each.alias("want"), analysis.STOCK["lucene.simple"].words(F.col("t")).alias("w")).select("want", analysis.placed(F.col("w")).alias("got"))
+    assert found.where("NOT (want <=> got)").count() == 0

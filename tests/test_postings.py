@@ -89,3 +89,34 @@ def test_blocks_hold_every_place(indexes, monkeypatch):
     assert len(made) > 7 and sum(r["n"] for r in rows) == len(want)
     assert sorted((r["base"] + d, r["term"], p) for r in rows for d, p in zip(r["rows"], r["places"], strict=True)) == want
     assert all(r["df"] == len(set(r["rows"])) and r["n"] == len(r["rows"]) for r in rows)
+
+
+def test_postings_of_all_analyzers(indexes):
+    _, written = indexes
+    for name in [c for c in written.docs.columns if c.startswith("__tok_")]:
+        want = sorted((r["__docrow"], r["term"], r["pos"]) for r in written.docs.select("__docrow", F.inline(name)).collect())
+        blocks = written.postings.where(F.col("field") == name).select("term", "base", F.inline(F.arrays_zip("rows", "places")))
+        assert sorted((r["base"] + r["rows"], r["term"], r["places"]) for r in blocks.collect()) == want and want
+
+
+def test_terms_keep_places_that_are_not_counted(spark, tmp_path):
+    """Places come from a count only where no filter leaves terms out."""
+    fields = {"a": {"type": "string", "analyzer": "lucene.stop"}, "b": {"type": "string", "analyzer": "lucene.simple"}, "c": {"type": "string", "analyzer": "lucene.simple"}}
+    df = spark.createDataFrame([(1, "the oak and Elm", "Oak elm oak", ["oak", None, "Elm oak"]), (2, None, "", [])], "_id long, a string, b string, c array<string>")
+    made = SearchIndex(df, {"mappings": {"fields": fields}}).write(f"file://{tmp_path}/i")
+    at = lambda c: sorted((r["term"], r["places"]) for r in made.postings.where(F.col("field") == f"__tok_{c}").select("term", F.inline(F.arrays_zip("rows", "places"))).collect())
+    assert at("a__lucene_stop") == [("elm", 3), ("oak", 1)]
+    assert at("b__lucene_simple") == [("elm", 1), ("oak", 0), ("oak", 2)]
+    assert at("c__lucene_simple") == [("elm", 200_000), ("oak", 0), ("oak", 200_001)]
+
+
+def test_an_index_is_made_without_sampling(spark, tmp_path, monkeypatch):
+    """Terms are written as their counts deal them out, and words get their places in compiled code."""
+    from pyspark.sql import DataFrame
+
+    df = spark.createDataFrame([(1, "oak elm")], "_id long, a string")
+    index = SearchIndex(df, {"mappings": {"fields": {"a": {"type": "string", "analyzer": "lucene.simple"}}}})
+    assert "arrays_zip" in index.materialized().docs._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda *a: pytest.fail("a range partition reads its rows twice"), raising=False)
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda *a: pytest.fail("a range partition reads its rows twice"))
+    assert index.write(f"file://{tmp_path}/i").terms.count() == 2
