@@ -87,7 +87,7 @@ class Field:
                 starts = F.array_intersect(starts, other)
             freq = F.size(starts)
         else:
-            freq = let(F.array(*shifted), lambda own: _sloppy(own, slop, same_terms(parts)))
+            freq = _sloppy(shifted, slop, same_terms(parts))
         terms = [t for ts, _ in parts for t in ts]
         score = self.weighed(terms, freq)
         return Row(freq > 0, score, [(f'{self.path}:"{" ".join(terms)}"', score, lambda: self.parts(terms, freq))])
@@ -103,28 +103,40 @@ def same_terms(parts: list[tuple[list[str], int]]) -> list[tuple[int, int]] | No
     return None if len({g for _, g in groups}) == len(groups) else groups
 
 
-def _sloppy(places: Column, slop: int, groups: list[tuple[int, int]] | None) -> Column:
+def _sloppy(places: list[Column], slop: int, groups: list[tuple[int, int]] | None) -> Column:
     """Sum of 1 / (1 + width) over the first places of matches: width is how far the nearest following places of all parts reach.
 
     One place of the text stands for one of the parts with the same term only: each takes the nearest that is left.
+    Places of all parts are sorted as numbers (the place, then the part), so what a first place can reach are the next few of them.
     """
-    first, far = F.array_distinct(F.flatten(places)), F.lit(1 << 30)
-    if groups is None:
-        width = lambda v: F.array_max(F.transform(places, lambda own: F.coalesce(F.array_min(F.filter(own, lambda p: p >= v)), far))) - v
-    else:
-        shape = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(g).alias("group")) for at, g in groups])
-        none = F.struct(F.lit(0).alias("reach"), F.expr("array()").cast("array<struct<group:int,pos:int>>").alias("taken"))
-
-        def step(v: Column) -> Callable[[Column, Column], Column]:
-            def take(acc: Column, x: Column) -> Column:
-                place = lambda p: F.struct(x["part"]["group"].alias("group"), (p + x["part"]["at"]).alias("pos"))
-                nearest = F.coalesce(F.array_min(F.filter(x["own"], lambda p: (p >= v) & ~F.array_contains(acc["taken"], place(p)))), far)
-                return let(nearest, lambda p: F.struct(F.greatest(acc["reach"], p - v).alias("reach"), F.concat(acc["taken"], F.array(place(p))).alias("taken")))
-
-            return take
-
-        width = lambda v: F.aggregate(F.arrays_zip(places.alias("own"), shape.alias("part")), none, step(v), lambda acc: acc["reach"])
-    return F.aggregate(F.filter(F.transform(first, width), lambda w: w <= slop), F.lit(0.0), lambda acc, w: acc + F.lit(1.0) / (F.lit(1.0) + w))
+    bits, far, most = (len(places) - 1).bit_length(), F.lit(1 << 60), min((slop + 1) * len(places), 1 << 30)
+    place, part = lambda x: F.shiftright(x, bits), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    coded = F.flatten(F.transform(F.array(*places), lambda own, k: F.transform(own, lambda p: F.shiftleft(p.cast("long") + F.lit(1 << 31), bits).bitwiseOR(k.cast("long")))))
+
+    def plain(near: Column, v: Column) -> Column:
+        nearest = lambda k: F.coalesce(place(F.get(F.filter(near, lambda x: part(x) == k), F.lit(0))), far)
+        return F.array_max(F.array(*map(nearest, range(len(places))))) - v
+
+    def grouped(near: Column, v: Column) -> Column:
+        shape = F.array(*[F.struct(F.lit(k).cast("long").alias("part"), F.lit(at).alias("at"), F.lit(g).alias("group")) for k, (at, g) in enumerate(groups or [])])
+        none = F.struct(F.lit(0).cast("long").alias("reach"), F.expr("array()").cast("array<struct<group:int,pos:bigint>>").alias("taken"))
+
+        def take(acc: Column, own: Column) -> Column:
+            stands = lambda p: F.struct(own["group"].alias("group"), (p + own["at"]).alias("pos"))
+            nearest = F.coalesce(place(F.get(F.filter(near, lambda x: (part(x) == own["part"]) & ~F.array_contains(acc["taken"], stands(place(x)))), F.lit(0))), far)
+            return let(nearest, lambda p: F.struct(F.greatest(acc["reach"], p - v).alias("reach"), F.concat(acc["taken"], F.array(stands(p))).alias("taken")))
+
+        return F.aggregate(shape, none, take, lambda acc: acc["reach"])
+
+    def widths(every: Column) -> Column:
+        def width(x: Column, k: Column) -> Column:
+            fresh = F.coalesce(place(F.get(every, k - 1)) < place(x), F.lit(True))
+            return F.when(fresh, let(F.slice(every, k + 1, F.lit(most)), lambda near: (plain if groups is None else grouped)(near, place(x)))).otherwise(far)
+
+        return F.transform(every, width)
+
+    found = let(F.sort_array(F.array_distinct(coded)), widths)
+    return F.aggregate(F.filter(found, lambda w: w <= slop), F.lit(0.0), lambda acc, w: acc + F.lit(1.0) / (F.lit(1.0) + w))
 
 
 def fields(c: Compiler, scope: Scope, path, positions: bool = False) -> list[tuple[Field, Analyzer]]:

@@ -231,7 +231,7 @@ class SearchIndex:
         some = self.postings.where(reduce(or_, [(F.col("field") == c) & F.col("term").isin(terms) for c, terms in named.items()]))
         some = some.select("field", "term", "base", F.inline(F.arrays_zip("rows", "places"))).select("field", "term", (F.col("base") + F.col("rows")).alias("__docrow"), F.col("places").alias("pos"))
         place = F.struct("pos", "term")
-        sorted_hits = [F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == c, place) if len(named) > 1 else place)), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))).alias(hits_column(c)) for c in named]
+        sorted_hits = [F.transform(F.sort_array(F.collect_list(F.when(F.col("field") == c, place) if len(named) > 1 else place)), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))).alias(hits_column(c)) for c in named]
         return some.groupBy("__docrow").agg(*sorted_hits)
 
     def load_terms(self, wanted: set[tuple[str, str]]) -> None:

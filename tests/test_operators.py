@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,3 +259,33 @@ def test_shards_merge_to_one_result(spark, index):
     meta = {"facet": {"facets": {"c": {"type": "string", "path": "colours"}, "s": {"type": "number", "path": "size", "boundaries": [-2, 0, 5]}}}}
     rows = lambda df: sorted((r["facet"], r["rank"], r["label"], r["count"]) for r in df.collect())
     assert rows(sharded.search_meta(halves, meta)) == rows(q.search_meta(index, meta))
+
+
+@pytest.mark.parametrize(("slop", "groups"), [(3, None), (3, [(0, 0), (1, 0)]), (40, [(0, 0), (1, 0), (3, 0)]), (4, [(0, 0), (1, 1), (2, 0)])])
+def test_sloppy_phrases_against_a_plain_loop(spark, slop, groups):
+    from fathom.operators.text import _sloppy
+
+    rng, n = random.Random(slop), len(groups or [0, 0, 0])
+    rows = []
+    for k in range(100):
+        own = {g: [rng.randrange(60) for _ in range(rng.randint(0, 20))] for g in range(n)}
+        rows.append((k, [[p - at for p in own[g]] for at, g in groups or [(j, j) for j in range(n)]]))
+    got = {r["k"]: r["f"] for r in spark.createDataFrame(rows, "k int, p array<array<int>>").select("k", _sloppy([F.col("p")[j] for j in range(n)], slop, groups).alias("f")).collect()}
+    for k, places in rows:
+        total = 0.0
+        for v in {p for own in places for p in own}:
+            reach, taken = 0, set()
+            for own, (at, g) in zip(places, groups or [(j, j) for j in range(n)], strict=True):
+                p = min((p for p in own if p >= v and (g, p + at) not in taken), default=1 << 30)
+                reach = max(reach, p - v)
+                taken.add((g, p + at))
+            total += 1 / (1 + reach) if reach <= slop else 0.0
+        assert got[k] == pytest.approx(total), places
+
+
+def test_sloppy_phrases_in_a_text_of_one_word(spark):
+    """Time grows with the number of places: pair by pair this takes minutes."""
+    index = SearchIndex(spark.createDataFrame([(1, "de " * 40_000)], "_id long, t string"), {"mappings": {"fields": {"t": {"type": "string", "analyzer": "lucene.simple"}}}})
+    start = time.monotonic()
+    assert ids(index, {"phrase": {"path": "t", "query": "de de", "slop": 3}}) == [1]
+    assert time.monotonic() - start < 30
