@@ -289,3 +289,26 @@ def test_sloppy_phrases_in_a_text_of_one_word(spark):
     start = time.monotonic()
     assert ids(index, {"phrase": {"path": "t", "query": "de de", "slop": 3}}) == [1]
     assert time.monotonic() - start < 30
+
+
+@pytest.mark.parametrize(("n", "slop"), [(2, 0), (2, 3), (3, 2), (3, 8)])
+def test_terms_in_order_against_pairs(spark, n, slop):
+    """Spans of single terms, found by sets of places, are those found pair by pair."""
+    import importlib
+
+    span, rng = importlib.import_module("fathom.operators.span"), random.Random(n * 10 + slop)
+    df = spark.createDataFrame([(k, [[rng.randrange(30) for _ in range(rng.randint(0, 12))] for _ in range(n)]) for k in range(100)], "k int, p array<array<int>>")
+    own = [F.transform(F.col("p")[j], lambda p: F.struct(p.alias("s"), (p + 1).alias("e"), F.lit(1).alias("n"))) for j in range(n)]
+    sets = span.in_order([span.Spans(None, x, [], F.col("p")[j]) for j, x in enumerate(own)], slop)
+    pairs = span.in_order([span.Spans(None, x, []) for x in own], slop)
+    assert df.where(~F.sort_array(sets).eqNullSafe(F.sort_array(pairs))).count() == 0
+    assert df.select(F.sum(F.size(sets))).first()[0] > 0
+
+
+def test_spans_in_a_text_of_two_words(spark):
+    """Time grows with the number of spans: pair by pair this takes minutes."""
+    index = SearchIndex(spark.createDataFrame([(1, "the of " * 30_000)], "_id long, t string"), {"mappings": {"fields": {"t": {"type": "string", "analyzer": "lucene.simple"}}}})
+    clauses = [{"term": {"path": "t", "query": w}} for w in ("the", "of")]
+    start = time.monotonic()
+    assert ids(index, {"span": {"near": {"clauses": clauses, "slop": 1, "inOrder": True}}}) == [1]
+    assert time.monotonic() - start < 30
